@@ -99,3 +99,67 @@ def stop_words_sql() -> str:
 
 
 __all__ = ["CLEAN_STATS", "CLEAN_POSTS", "DEDUP_POSTS", "NEWEST_POSTS", "TOKEN_PATTERN"]
+
+
+CONFORM_DEFAULTS = """
+SELECT doc_id AS post_id,
+       coalesce(lang, '') AS username,
+       '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS timestamp,
+       coalesce(text, '') AS content,
+       CAST(CASE WHEN doc_id % 5 = 0 THEN 0 ELSE n_chars END AS BIGINT) AS retweets,
+       CAST(0 AS BIGINT) AS likes,
+       CAST(0 AS BIGINT) AS replies,
+       '' AS mentions,
+       '' AS hashtags,
+       'HOLD' AS trading_signal
+FROM documents
+"""
+
+
+def collect_recent_sql(since: str) -> str:
+    return f"""
+SELECT event_type AS tag, ts AS date, 'user_' || CAST(user_id AS VARCHAR) AS "user",
+       props AS content
+FROM events
+WHERE ts >= TIMESTAMP '{since}' AND event_type IN ('click', 'purchase', 'signup', 'view')
+QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) <= 501
+"""
+
+
+COLLECT_RECENT = collect_recent_sql("2024-01-01 00:00:00")
+COLLECT_RECENT_WINDOW = collect_recent_sql("2024-01-28 00:00:00")
+
+
+def engagement_ctes() -> str:
+    return f"""{clean_ctes()},
+    est AS (
+      SELECT avg(retweets) AS mr, stddev_pop(retweets) AS sr,
+             avg(likes) AS ml, stddev_pop(likes) AS sl,
+             avg(replies) AS mp, stddev_pop(replies) AS sp,
+             min(0.4::DOUBLE * retweets + 0.3::DOUBLE * likes + 0.3::DOUBLE * replies) AS vmin,
+             max(0.4::DOUBLE * retweets + 0.3::DOUBLE * likes + 0.3::DOUBLE * replies) AS vmax
+      FROM clean),
+    eng AS (
+      SELECT c.*,
+             ((retweets - mr) / CASE WHEN coalesce(sr, 0) = 0 THEN 1 ELSE sr END
+              + (likes - ml) / CASE WHEN coalesce(sl, 0) = 0 THEN 1 ELSE sl END
+              + (replies - mp) / CASE WHEN coalesce(sp, 0) = 0 THEN 1 ELSE sp END) / 3.0::DOUBLE
+               AS engagement_signal,
+             0.4::DOUBLE * retweets + 0.3::DOUBLE * likes + 0.3::DOUBLE * replies AS viral_score,
+             CASE WHEN vmax = vmin THEN 0.5::DOUBLE
+                  ELSE (0.4::DOUBLE * retweets + 0.3::DOUBLE * likes + 0.3::DOUBLE * replies - vmin)
+                       / (vmax - vmin) END AS viral_score_norm
+      FROM clean c, est)"""
+
+
+ENGAGEMENT_SIGNAL = f"""
+WITH {engagement_ctes()}
+SELECT post_id, round(engagement_signal, {ROUND}) AS engagement_signal FROM eng
+"""
+
+VIRAL_NORM = f"""
+WITH {engagement_ctes()}
+SELECT post_id, round(viral_score, {ROUND}) AS viral_score,
+       round(viral_score_norm, {ROUND}) AS viral_score_norm
+FROM eng
+"""

@@ -6,13 +6,18 @@ as wall-clock ``timestamp_ntz`` so results compare across engines.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, TimestampType
 
 from buzzscore.operators import clean as C
+from buzzscore.operators.collect import collect_recent
+from buzzscore.operators.engagement import add_engagement
+from buzzscore.schema import RAW_POST, conform, fill_text_nulls
 from buzzscore.session import prepare
-from buzzscore.sources.posts import posts_from_testdata
+from buzzscore.sources.posts import posts_from_testdata, tagged_events
 
 ROUND = 6
 
@@ -57,3 +62,52 @@ def q_dedup_posts(spark, sf_dir):
 
 def q_newest_posts(spark, sf_dir):
     return finalize(C.preview(_clean(spark, sf_dir)))
+
+
+# --- conform / collection / engagement ------------------------------------------
+
+TAGS_WANTED = ("click", "purchase", "signup", "view")
+
+
+def q_conform_defaults(spark, sf_dir):
+    prepare(spark)
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    partial = d.select(
+        F.col("doc_id").alias("post_id"),
+        F.col("text").alias("content"),
+        F.col("lang").alias("user"),
+        F.concat(F.lit("2024-01-"), F.lpad(((F.col("doc_id") % 28) + 1).cast("string"), 2, "0")).alias(
+            "date"
+        ),
+        F.when(F.col("doc_id") % 5 == 0, F.concat(F.col("n_chars").cast("string"), F.lit("f")))
+        .otherwise(F.col("n_chars").cast("string"))
+        .alias("retweets"),
+    )
+    out = fill_text_nulls(conform(partial, RAW_POST, coerce_metrics=True, default_signal=True))
+    return finalize(out)
+
+
+def _collect(spark, sf_dir, as_of):
+    prepare(spark)
+    posts = tagged_events(spark, sf_dir)
+    return finalize(collect_recent(posts, TAGS_WANTED, as_of=as_of))
+
+
+def q_collect_recent(spark, sf_dir):
+    """as_of 2024-01-02: about 2,000 posts per tag qualify, the cap of 501 bites."""
+    return _collect(spark, sf_dir, dt.date(2024, 1, 2))
+
+
+def q_collect_recent_window(spark, sf_dir):
+    """as_of 2024-01-29: a couple of hundred posts per tag, the cap is idle."""
+    return _collect(spark, sf_dir, dt.date(2024, 1, 29))
+
+
+def q_engagement_signal(spark, sf_dir):
+    df = add_engagement(_clean(spark, sf_dir))
+    return finalize(df.select("post_id", "engagement_signal"))
+
+
+def q_viral_norm(spark, sf_dir):
+    df = add_engagement(_clean(spark, sf_dir))
+    return finalize(df.select("post_id", "viral_score", "viral_score_norm"))

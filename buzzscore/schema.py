@@ -131,3 +131,8 @@ def cast_losses(df: DataFrame, schema: StructType = RAW_POST) -> DataFrame:
     if not aggs:
         return df.sparkSession.range(1).select(F.lit(0).alias("none"))
     return df.agg(*aggs)
+
+
+def fill_text_nulls(df: DataFrame, columns=("content", "username")) -> DataFrame:
+    """Tolerant load rule: null text becomes ``''``."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in columns if c in df.columns})
