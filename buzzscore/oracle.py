@@ -163,3 +163,61 @@ SELECT post_id, round(viral_score, {ROUND}) AS viral_score,
        round(viral_score_norm, {ROUND}) AS viral_score_norm
 FROM eng
 """
+
+
+def text_ctes() -> str:
+    """Tokens, terms, per-document counts, vocabulary and weights over documents."""
+    return f"""
+    docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    ndocs AS (SELECT count(*) AS n FROM docs),
+    toks AS (
+      SELECT doc_id,
+             list_filter(regexp_extract_all(strip_accents(lower(text)), '{TOKEN_PATTERN}'),
+                         lambda t: NOT list_contains({stop_words_sql()}, t)) AS t
+      FROM docs),
+    terms AS (
+      SELECT doc_id,
+             unnest(t || CASE WHEN len(t) > 1
+                              THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])
+                              ELSE [] END) AS term
+      FROM toks),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term),
+    dfs AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term),
+    top_terms AS (
+      SELECT term, df, cf FROM dfs, ndocs
+      WHERE df >= 3 AND df <= 0.85::DOUBLE * ndocs.n
+      ORDER BY cf DESC, term LIMIT 1000),
+    vocab AS (
+      SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_id,
+             CAST(df AS BIGINT) AS df, CAST(cf AS BIGINT) AS cf,
+             ln((1 + ndocs.n) / (1 + df)) + 1 AS idf
+      FROM top_terms, ndocs),
+    weighted AS (
+      SELECT tf.doc_id, v.term, v.term_id, tf.tf * v.idf AS w
+      FROM tf JOIN vocab v ON tf.term = v.term),
+    normed AS (
+      SELECT doc_id, term, term_id, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS x
+      FROM weighted)"""
+
+
+VOCABULARY = f"""
+WITH {text_ctes()}
+SELECT term, term_id, df, cf FROM vocab
+"""
+
+IDF_TABLE = f"""
+WITH {text_ctes()}
+SELECT term, round(idf, {ROUND}) AS idf FROM vocab
+"""
+
+TFIDF_WEIGHTS = f"""
+WITH {text_ctes()}
+SELECT doc_id, term, round(x, {ROUND}) AS weight FROM normed
+"""
+
+TFIDF_GRAM = f"""
+WITH {text_ctes()}
+SELECT a.term_id AS term_id_i, b.term_id AS term_id_j, round(sum(a.x * b.x), {ROUND}) AS gram
+FROM normed a JOIN normed b ON a.doc_id = b.doc_id AND a.term_id <= b.term_id
+GROUP BY a.term_id, b.term_id
+"""

@@ -15,9 +15,18 @@ from pyspark.sql.types import DoubleType, TimestampType
 from buzzscore.operators import clean as C
 from buzzscore.operators.collect import collect_recent
 from buzzscore.operators.engagement import add_engagement
+from buzzscore.operators.lsa import doc_vectors, feature_names, gram_matrix
+from buzzscore.operators.tfidf import (
+    TfidfParams,
+    doc_terms,
+    fit_vocabulary,
+    normalized_weights,
+    weighted_terms,
+)
+from buzzscore.plans.text import add_text_features, fit_text_model
 from buzzscore.schema import RAW_POST, conform, fill_text_nulls
 from buzzscore.session import prepare
-from buzzscore.sources.posts import posts_from_testdata, tagged_events
+from buzzscore.sources.posts import documents_as_posts, posts_from_testdata, tagged_events
 
 ROUND = 6
 
@@ -111,3 +120,54 @@ def q_engagement_signal(spark, sf_dir):
 def q_viral_norm(spark, sf_dir):
     df = add_engagement(_clean(spark, sf_dir))
     return finalize(df.select("post_id", "viral_score", "viral_score_norm"))
+
+
+# --- text features ----------------------------------------------------------------
+
+
+def _docs(spark, sf_dir):
+    prepare(spark)
+    return documents_as_posts(spark, sf_dir)
+
+
+def _vocab(spark, sf_dir, params=None):
+    docs = _docs(spark, sf_dir)
+    params = params or TfidfParams()
+    terms = doc_terms(docs, params)
+    return docs, terms, fit_vocabulary(terms, docs.count(), params)
+
+
+def q_vocabulary(spark, sf_dir):
+    _, _, vocab = _vocab(spark, sf_dir)
+    return vocab.to_spark(spark).select("term", "term_id", "df", "cf")
+
+
+def q_idf_table(spark, sf_dir):
+    _, _, vocab = _vocab(spark, sf_dir)
+    return finalize(vocab.to_spark(spark).select("term", "idf"))
+
+
+def q_tfidf_weights(spark, sf_dir):
+    _, terms, vocab = _vocab(spark, sf_dir)
+    w = normalized_weights(weighted_terms(terms, vocab.to_spark(spark)))
+    return finalize(w.select(F.col("post_id").alias("doc_id"), "term", F.col("x").alias("weight")))
+
+
+def q_tfidf_gram(spark, sf_dir):
+    _, terms, vocab = _vocab(spark, sf_dir)
+    vectors = doc_vectors(weighted_terms(terms, vocab.to_spark(spark)))
+    g = gram_matrix(vectors, vocab.size)
+    return finalize(
+        g.select(
+            F.col("i").alias("term_id_i"), F.col("j").alias("term_id_j"), F.col("g").alias("gram")
+        )
+    )
+
+
+def q_text_features(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    model = fit_text_model(docs)
+    feats = add_text_features(docs, model)
+    return finalize(
+        feats.select(F.col("post_id").alias("doc_id"), *feature_names(model.k))
+    )
