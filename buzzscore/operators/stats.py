@@ -1,21 +1,36 @@
-"""Global statistics as lazy scalar subqueries.
-
-``df.select(agg).scalar()`` plans an aggregate whose one-row result is used
-as a constant by the outer query.  Several scalars over the same frame are
-merged by Catalyst (``MergeScalarSubqueries``) into a single aggregation with
-map-side partial results, so a pass costs one scan and one row per task —
-never an unpartitioned window over all rows and never a join.
+"""Global statistics for column expressions.
+
+``scalars(df, name=agg, ...)`` runs one aggregation job (map-side partial
+aggregates, one row per task into the final step) and returns its single
+row as literal Columns.  The outer plan therefore carries constants, not
+nested subqueries: later statistics that depend on earlier ones (composite
+score -> its own mean/σ) stay flat plans, and codegen folds the constants.
+Never an unpartitioned window over all rows, never a join.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 
 def scalars(df: DataFrame, **aggs: Column) -> dict[str, Column]:
-    """Map each name to a scalar-subquery Column computing ``aggs[name]``."""
-    return {name: df.select(agg.alias(name)).scalar() for name, agg in aggs.items()}
+    """Map each name to a literal Column holding ``aggs[name]`` over ``df``."""
+    agg_df = df.agg(*[agg.alias(name) for name, agg in aggs.items()])
+    types = {f.name: f.dataType for f in agg_df.schema.fields}
+    row = agg_df.first()
+    out = {}
+    for name in aggs:
+        value = row[name]
+        dtype = types[name]
+        if isinstance(dtype, DoubleType):
+            out[name] = F.lit(None if value is None else float(value)).cast("double")
+        elif isinstance(dtype, LongType):
+            out[name] = F.lit(None if value is None else int(value)).cast("bigint")
+        else:
+            out[name] = F.lit(value).cast(dtype)
+    return out
 
 
 def zscore(x: Column, mean: Column, sd: Column, mode: str) -> Column:

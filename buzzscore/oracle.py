@@ -12,6 +12,11 @@ from buzzscore.functions.text import TOKEN_PATTERN, WS, spark_stop_words
 ROUND = 6
 
 
+def rnd(x: str) -> str:
+    """Round a double to 6 places; ``+ 0.0`` turns -0.0 into 0.0."""
+    return f"(round({x}, {ROUND}) + 0.0::DOUBLE)"
+
+
 def _strip(x: str) -> str:
     return f"regexp_replace({x}, '^{WS}+|{WS}+\\z', '', 'g')"
 
@@ -67,8 +72,8 @@ SELECT (SELECT count(*) FROM raw) AS initial_count,
        (SELECT count(*) FROM normed WHERE timestamp IS NOT NULL) AS after_cleaning,
        count(*) AS final_count,
        (SELECT count(*) FROM normed WHERE timestamp IS NOT NULL) - count(*) AS duplicates_removed,
-       round(avg(content_length), {ROUND}) AS avg_content_length,
-       round(avg(total_engagement), {ROUND}) AS avg_engagement,
+       {rnd('avg(content_length)')} AS avg_content_length,
+       {rnd('avg(total_engagement)')} AS avg_engagement,
        count(DISTINCT username) AS unique_users,
        strftime(min(timestamp), '%Y-%m-%d %H:%M:%S') AS earliest,
        strftime(max(timestamp), '%Y-%m-%d %H:%M:%S') AS latest
@@ -154,13 +159,13 @@ def engagement_ctes() -> str:
 
 ENGAGEMENT_SIGNAL = f"""
 WITH {engagement_ctes()}
-SELECT post_id, round(engagement_signal, {ROUND}) AS engagement_signal FROM eng
+SELECT post_id, {rnd('engagement_signal')} AS engagement_signal FROM eng
 """
 
 VIRAL_NORM = f"""
 WITH {engagement_ctes()}
-SELECT post_id, round(viral_score, {ROUND}) AS viral_score,
-       round(viral_score_norm, {ROUND}) AS viral_score_norm
+SELECT post_id, {rnd('viral_score')} AS viral_score,
+       {rnd('viral_score_norm')} AS viral_score_norm
 FROM eng
 """
 
@@ -207,17 +212,170 @@ SELECT term, term_id, df, cf FROM vocab
 
 IDF_TABLE = f"""
 WITH {text_ctes()}
-SELECT term, round(idf, {ROUND}) AS idf FROM vocab
+SELECT term, {rnd('idf')} AS idf FROM vocab
 """
 
 TFIDF_WEIGHTS = f"""
 WITH {text_ctes()}
-SELECT doc_id, term, round(x, {ROUND}) AS weight FROM normed
+SELECT doc_id, term, {rnd('x')} AS weight FROM normed
 """
 
 TFIDF_GRAM = f"""
 WITH {text_ctes()}
-SELECT a.term_id AS term_id_i, b.term_id AS term_id_j, round(sum(a.x * b.x), {ROUND}) AS gram
+SELECT a.term_id AS term_id_i, b.term_id AS term_id_j, {rnd('sum(a.x * b.x)')} AS gram
 FROM normed a JOIN normed b ON a.doc_id = b.doc_id AND a.term_id <= b.term_id
 GROUP BY a.term_id, b.term_id
 """
+
+
+FEATURE_FIXTURE = (
+    (7, 1, 0, 0.3),
+    (11, 3, 1, 0.8),
+    (13, 0, 5, 0.1),
+    (17, 7, 0, 0.6),
+    (19, 1, 3, 0.5),
+    (23, 9, 0, 0.2),
+    (29, 0, 1, 0.7),
+    (31, 5, 2, 0.4),
+)
+
+
+def scored_ctes(day_grain: bool = True) -> str:
+    feats = ",\n".join(
+        f"CAST((e.post_id * {a} + d.n_chars * {b} + length(d.source) * {c}) % 100 AS DOUBLE)"
+        f" * {scale}::DOUBLE AS text_feature_{i}"
+        for i, (a, b, c, scale) in enumerate(FEATURE_FIXTURE, start=1)
+    )
+    names = ", ".join(f"text_feature_{i}" for i in range(1, len(FEATURE_FIXTURE) + 1))
+    eng = engagement_ctes().replace(clean_ctes(), clean_ctes(day_grain))
+    return f"""{eng},
+    feat AS (SELECT e.*, {feats} FROM eng e JOIN documents d ON e.post_id = d.doc_id),
+    flong AS (UNPIVOT (SELECT post_id, {names} FROM feat) ON {names}
+              INTO NAME feature VALUE value),
+    fvar AS (SELECT feature, var_samp(value) AS variance FROM flong GROUP BY feature),
+    franked AS (
+      SELECT feature, variance,
+             CAST(row_number() OVER (ORDER BY variance DESC NULLS LAST,
+                  CAST(regexp_extract(feature, '([0-9]+)$', 1) AS INTEGER)) AS INTEGER) AS rank
+      FROM fvar),
+    txt AS (
+      SELECT post_id, avg(value) AS text_component
+      FROM flong JOIN franked USING (feature) WHERE rank <= 5 GROUP BY post_id),
+    comp0 AS (SELECT f.*, t.text_component FROM feat f JOIN txt t USING (post_id)),
+    cst AS (
+      SELECT avg(text_component) AS tm, stddev_samp(text_component) AS tsd,
+             avg(engagement_signal) AS em, stddev_samp(engagement_signal) AS esd,
+             avg(viral_score_norm) AS vm, stddev_samp(viral_score_norm) AS vsd
+      FROM comp0),
+    comp AS (
+      SELECT c.*,
+             0.5::DOUBLE * CASE WHEN tsd > 0 THEN (text_component - tm) / tsd ELSE 0.0 END
+             + 0.3::DOUBLE * CASE WHEN esd > 0 THEN (engagement_signal - em) / esd ELSE 0.0 END
+             + 0.2::DOUBLE * CASE WHEN vsd > 0 THEN (viral_score_norm - vm) / vsd ELSE 0.0 END
+               AS composite_signal
+      FROM comp0 c, cst),
+    sst AS (SELECT avg(composite_signal) AS sm, stddev_samp(composite_signal) AS ssd FROM comp),
+    conf AS (
+      SELECT c.*,
+             CASE WHEN ssd > 0
+                  THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE,
+                         1.0::DOUBLE - abs(composite_signal - sm) / (3.0::DOUBLE * ssd)))
+                  ELSE 1.0::DOUBLE END AS signal_confidence
+      FROM comp c, sst),
+    scored AS (
+      SELECT *,
+             CASE WHEN composite_signal > 0.5 AND signal_confidence > 0.7 THEN 'STRONG_BUY'
+                  WHEN composite_signal > 0.2 AND signal_confidence > 0.6 THEN 'BUY'
+                  WHEN composite_signal < -0.5 AND signal_confidence > 0.7 THEN 'STRONG_SELL'
+                  WHEN composite_signal < -0.2 AND signal_confidence > 0.6 THEN 'SELL'
+                  ELSE 'HOLD' END AS trading_signal
+      FROM conf)"""
+
+
+TOP_FEATURES = f"""
+WITH {scored_ctes()}
+SELECT feature, {rnd('variance')} AS variance, rank FROM franked WHERE rank <= 5
+"""
+
+COMPOSITE_SCORES = f"""
+WITH {scored_ctes()}
+SELECT post_id, {rnd('text_component')} AS text_component,
+       {rnd('composite_signal')} AS composite_signal,
+       {rnd('signal_confidence')} AS signal_confidence
+FROM scored
+"""
+
+SIGNALS = f"""
+WITH {scored_ctes()}
+SELECT username, timestamp, content, retweets, likes, replies,
+       {rnd('composite_signal')} AS composite_signal,
+       {rnd('signal_confidence')} AS signal_confidence, trading_signal
+FROM scored
+"""
+
+SIGNAL_DISTRIBUTION = f"""
+WITH {scored_ctes()}
+SELECT trading_signal, count(*) AS count,
+       {rnd('100.0::DOUBLE * count(*) / (SELECT count(*) FROM scored)')} AS percent
+FROM scored GROUP BY trading_signal
+"""
+
+SUMMARY_REPORT = f"""
+WITH {scored_ctes()}
+SELECT count(*) AS total_posts, min(timestamp) AS earliest, max(timestamp) AS latest,
+       count(DISTINCT username) AS unique_users,
+       {rnd('avg(composite_signal)')} AS composite_mean,
+       {rnd('stddev_samp(composite_signal)')} AS composite_std,
+       {rnd('min(composite_signal)')} AS composite_min,
+       {rnd('max(composite_signal)')} AS composite_max,
+       {rnd('1.96::DOUBLE * stddev_samp(composite_signal) / sqrt(count(*))')} AS margin_of_error,
+       {rnd('avg(signal_confidence)')} AS avg_confidence,
+       count(*) FILTER (WHERE signal_confidence > 0.7) AS high_confidence,
+       {rnd('100.0::DOUBLE * count(*) FILTER (WHERE signal_confidence > 0.7) / count(*)')}
+         AS high_confidence_pct
+FROM scored
+"""
+
+HOURLY_TREND = f"""
+WITH {scored_ctes(day_grain=False)}
+SELECT time_bucket(INTERVAL 1 HOUR, timestamp) AS bucket_start,
+       time_bucket(INTERVAL 1 HOUR, timestamp) + INTERVAL 1 HOUR AS bucket_end,
+       count(*) AS posts,
+       {rnd('avg(composite_signal)')} AS mean_signal,
+       {rnd('min(composite_signal)')} AS min_signal,
+       {rnd('max(composite_signal)')} AS max_signal
+FROM scored GROUP BY 1, 2
+"""
+
+SIGNAL_HISTOGRAM = f"""
+WITH {scored_ctes()},
+    hst AS (SELECT min(composite_signal) AS lo, max(composite_signal) AS hi FROM scored),
+    hb AS (SELECT CASE WHEN hi = lo THEN lo - 0.5::DOUBLE ELSE lo END AS start,
+                  (CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE hi - lo END) / 30.0::DOUBLE AS width
+           FROM hst),
+    binned AS (
+      SELECT least(greatest(CAST(floor((composite_signal - start) / width) AS INTEGER) + 1, 1), 30)
+               AS bin, start, width
+      FROM scored, hb WHERE composite_signal IS NOT NULL)
+SELECT bin, {rnd('start + (bin - 1) * width')} AS bin_lower, {rnd('start + bin * width')} AS bin_upper,
+       count(*) AS count
+FROM binned GROUP BY bin, start, width
+"""
+
+SAMPLE_ORDER = "md5('42' || '|' || CAST(post_id AS VARCHAR)), post_id"
+
+SCATTER_SAMPLE = f"""
+WITH {scored_ctes(day_grain=False)},
+    samp AS (SELECT * FROM scored ORDER BY {SAMPLE_ORDER} LIMIT 1000)
+SELECT post_id, timestamp, {rnd('composite_signal')} AS composite_signal,
+       {rnd('signal_confidence')} AS signal_confidence, {rnd('viral_score_norm')} AS viral_score_norm
+FROM samp
+"""
+
+PIE_SAMPLE = f"""
+WITH {scored_ctes(day_grain=False)},
+    samp AS (SELECT * FROM scored ORDER BY {SAMPLE_ORDER} LIMIT 1000)
+SELECT trading_signal, count(*) AS count,
+       {rnd('round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM samp), 1)')} AS percent
+FROM samp GROUP BY trading_signal
+"""

@@ -23,7 +23,18 @@ from buzzscore.operators.tfidf import (
     normalized_weights,
     weighted_terms,
 )
+from buzzscore.operators.reports import (
+    histogram,
+    hourly_trend,
+    pie_shares,
+    scatter_sample,
+    signal_distribution,
+    summary,
+)
+from buzzscore.operators.scoring import TOP_FEATURES, add_composite, feature_columns, rank_features
+from buzzscore.plans.pipeline import ScoringConfig, run_all, signals
 from buzzscore.plans.text import add_text_features, fit_text_model
+from buzzscore.sources.sinks import essential
 from buzzscore.schema import RAW_POST, conform, fill_text_nulls
 from buzzscore.session import prepare
 from buzzscore.sources.posts import documents_as_posts, posts_from_testdata, tagged_events
@@ -36,7 +47,7 @@ def finalize(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, DoubleType):
-            c = F.round(c, ROUND)
+            c = F.round(c, ROUND) + F.lit(0.0)  # + 0.0 turns -0.0 into 0.0
         elif isinstance(f.dataType, TimestampType):
             c = c.cast("timestamp_ntz")
         cols.append(c.alias(f.name))
@@ -171,3 +182,87 @@ def q_text_features(spark, sf_dir):
     return finalize(
         feats.select(F.col("post_id").alias("doc_id"), *feature_names(model.k))
     )
+
+
+# --- scoring and reports on fixed numeric features --------------------------------
+
+# Fixed feature fixture: eight doubles per post from integer arithmetic on
+# doc_id, n_chars and length(source); (a, b, c, scale) per feature, value =
+# ((a*doc_id + b*n_chars + c*length(source)) % 100) * scale.
+FEATURE_FIXTURE = (
+    (7, 1, 0, 0.3),
+    (11, 3, 1, 0.8),
+    (13, 0, 5, 0.1),
+    (17, 7, 0, 0.6),
+    (19, 1, 3, 0.5),
+    (23, 9, 0, 0.2),
+    (29, 0, 1, 0.7),
+    (31, 5, 2, 0.4),
+)
+
+
+def fixture_features(posts, documents):
+    d = documents.select("doc_id", "n_chars", "source")
+    j = posts.join(d, posts.post_id == d.doc_id).drop("doc_id")
+    cols = {}
+    for i, (a, b, c, scale) in enumerate(FEATURE_FIXTURE, start=1):
+        raw = (F.col("post_id") * a + F.col("n_chars") * b + F.length("source") * c) % 100
+        cols[f"text_feature_{i}"] = raw.cast("double") * F.lit(scale)
+    return j.withColumns(cols).drop("n_chars", "source")
+
+
+def scored_fixture(spark, sf_dir, day_grain=True):
+    posts = _clean(spark, sf_dir, day_grain)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return add_composite(add_engagement(fixture_features(posts, docs)))
+
+
+def q_top_features(spark, sf_dir):
+    posts = _clean(spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    feats = fixture_features(posts, docs)
+    ranked = rank_features(feats, feature_columns(feats))[:TOP_FEATURES]
+    rows = [(name, float(var), rank) for rank, (name, var) in enumerate(ranked, start=1)]
+    return finalize(spark.createDataFrame(rows, "feature string, variance double, rank int"))
+
+
+def q_composite_scores(spark, sf_dir):
+    df = scored_fixture(spark, sf_dir)
+    return finalize(
+        df.select("post_id", "text_component", "composite_signal", "signal_confidence")
+    )
+
+
+def q_signals(spark, sf_dir):
+    return finalize(essential(scored_fixture(spark, sf_dir)))
+
+
+def q_signal_distribution(spark, sf_dir):
+    return finalize(signal_distribution(scored_fixture(spark, sf_dir)))
+
+
+def q_summary_report(spark, sf_dir):
+    return finalize(summary(scored_fixture(spark, sf_dir)))
+
+
+def q_hourly_trend(spark, sf_dir):
+    return finalize(hourly_trend(scored_fixture(spark, sf_dir, day_grain=False)))
+
+
+def q_signal_histogram(spark, sf_dir):
+    return finalize(histogram(scored_fixture(spark, sf_dir)))
+
+
+def q_scatter_sample(spark, sf_dir):
+    return finalize(scatter_sample(scored_fixture(spark, sf_dir, day_grain=False)))
+
+
+def q_pie_sample(spark, sf_dir):
+    return finalize(pie_shares(scored_fixture(spark, sf_dir, day_grain=False)))
+
+
+def q_full_pipeline(spark, sf_dir):
+    """Raw posts -> clean -> TF-IDF/SVD features -> engagement -> composite -> signals."""
+    raw = _raw(spark, sf_dir)
+    scored, _ = run_all(raw, ScoringConfig())
+    return finalize(signals(scored))
