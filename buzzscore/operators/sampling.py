@@ -33,7 +33,7 @@ def exact_sample(
     if total is None:
         total = df.count()
     if total <= n:
-        return ordered(df)
+        return df  # every row is in the sample; no ordering needed
     frac = min(1.0, (1.1 * n + 64) / total)
     while frac < 1.0:
         threshold = format(min(int(frac * 16**8), 16**8 - 1), "08x")

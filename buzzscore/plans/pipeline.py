@@ -21,7 +21,7 @@ from buzzscore.operators.engagement import add_engagement, coerce_metrics
 from buzzscore.operators.lsa import TextModel, zero_fill
 from buzzscore.operators.scoring import Thresholds, add_composite
 from buzzscore.operators.tfidf import TfidfParams
-from buzzscore.plans.text import DEFAULT_FIT_SAMPLE, fit_text_model, text_features
+from buzzscore.plans.text import DEFAULT_FIT_SAMPLE, fit_and_featurize, text_features
 from buzzscore.schema import ESSENTIAL, METRICS, fill_text_nulls
 from buzzscore.session import checkpoint_dir
 from buzzscore.sources.sinks import write_posts
@@ -68,14 +68,15 @@ def run_scoring(
     if not config.strict:
         posts = fill_text_nulls(coerce_metrics(posts))
     if model is None:
-        model = fit_text_model(
+        model, feats = fit_and_featurize(
             posts,
             config.tfidf,
             strict=config.strict,
             sample_size=None if config.strict else config.fit_sample,
             seed=config.seed,
         )
-    feats = text_features(posts, model)
+    else:
+        feats = text_features(posts, model)
     narrow = zero_fill(posts.select("post_id", *METRICS).join(feats, "post_id", "left"), model.k)
     if config.checkpoint:
         checkpoint_dir(posts.sparkSession)

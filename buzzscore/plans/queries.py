@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType, TimestampType
 from buzzscore.operators import clean as C
 from buzzscore.operators.collect import collect_recent
 from buzzscore.operators.engagement import add_engagement
-from buzzscore.operators.lsa import doc_vectors, feature_names, gram_matrix
+from buzzscore.operators.lsa import doc_vectors, feature_names, gram_matrix, zero_fill
 from buzzscore.operators.tfidf import (
     TfidfParams,
     doc_terms,
@@ -33,7 +33,7 @@ from buzzscore.operators.reports import (
 )
 from buzzscore.operators.scoring import TOP_FEATURES, add_composite, feature_columns, rank_features
 from buzzscore.plans.pipeline import ScoringConfig, run_all, signals
-from buzzscore.plans.text import add_text_features, fit_text_model
+from buzzscore.plans.text import fit_and_featurize
 from buzzscore.sources.sinks import essential
 from buzzscore.schema import RAW_POST, conform, fill_text_nulls
 from buzzscore.session import prepare
@@ -177,8 +177,8 @@ def q_tfidf_gram(spark, sf_dir):
 
 def q_text_features(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    model = fit_text_model(docs)
-    feats = add_text_features(docs, model)
+    model, feats = fit_and_featurize(docs)
+    feats = zero_fill(docs.select("post_id").join(feats, "post_id", "left"), model.k)
     return finalize(
         feats.select(F.col("post_id").alias("doc_id"), *feature_names(model.k))
     )
@@ -214,7 +214,9 @@ def fixture_features(posts, documents):
 def scored_fixture(spark, sf_dir, day_grain=True):
     posts = _clean(spark, sf_dir, day_grain)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return add_composite(add_engagement(fixture_features(posts, docs)))
+    # The statistics passes re-read this table: cut the lineage once.
+    featured = fixture_features(posts, docs).checkpoint(eager=True)
+    return add_composite(add_engagement(featured))
 
 
 def q_top_features(spark, sf_dir):

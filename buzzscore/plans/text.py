@@ -43,23 +43,61 @@ def fit_text_model(
     posts; strict: fit on every post.  Null content counts as ``''``.
     """
     params = params or TfidfParams()
-    spark = posts.sparkSession
     fit_set = posts.select("post_id", "content")
-    if not strict and sample_size is not None:
-        fit_set = exact_sample(fit_set, sample_size, seed)
     n_docs = fit_set.count()
+    if not strict and sample_size is not None and n_docs > sample_size:
+        fit_set = exact_sample(fit_set, sample_size, seed, total=n_docs)
+        n_docs = min(n_docs, sample_size)
     terms = doc_terms(fit_set, params).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        vocab = fit_vocabulary(terms, n_docs, params)
-        weighted = weighted_terms(terms, vocab.to_spark(spark))
-        gram = collect_gram(gram_matrix(doc_vectors(weighted), vocab.size), vocab.size)
+        return fit_from_terms(terms, n_docs, params, strict, n_components)
     finally:
         terms.unpersist()
+
+
+def fit_from_terms(
+    terms: DataFrame,
+    n_docs: int,
+    params: TfidfParams,
+    strict: bool = False,
+    n_components: int = MAX_COMPONENTS,
+) -> TextModel:
+    """Fit from ``(post_id, term, tf)`` rows of the fit set (``n_docs`` posts)."""
+    spark = terms.sparkSession
+    vocab = fit_vocabulary(terms, n_docs, params)
+    weighted = weighted_terms(terms, vocab.to_spark(spark))
+    gram = collect_gram(gram_matrix(doc_vectors(weighted), vocab.size), vocab.size)
     k = n_components_for(vocab.size, strict, n_components)
     v, sig = components_from_gram(gram, k)
     return TextModel(vocab, v, sig, params)
 
 
+def fit_and_featurize(
+    posts: DataFrame,
+    params: TfidfParams | None = None,
+    strict: bool = False,
+    sample_size: int | None = DEFAULT_FIT_SAMPLE,
+    seed: int = DEFAULT_SEED,
+    n_components: int = MAX_COMPONENTS,
+) -> tuple[TextModel, DataFrame]:
+    """Fit a model and compute ``(post_id, text_feature_*)`` for all posts.
+
+    When the fit set is every post (strict mode, or fewer posts than the
+    sample size) the tokenised terms are computed once and serve both the
+    fit and the transform; otherwise the fit runs on the sample and the
+    transform tokenises every post once.
+    """
+    params = params or TfidfParams()
+    n_posts = posts.count()
+    if strict or sample_size is None or n_posts <= sample_size:
+        terms = doc_terms(posts.select("post_id", "content"), params)
+        terms = terms.persist(StorageLevel.MEMORY_AND_DISK)
+        model = fit_from_terms(terms, n_posts, params, strict, n_components)
+        return model, project(terms, model, posts.sparkSession)
+    model = fit_text_model(posts, params, strict, sample_size, seed, n_components)
+    return model, text_features(posts, model)
+
+
 def text_features(posts: DataFrame, model: TextModel) -> DataFrame:
     """``(post_id, text_feature_1..k)`` for posts with at least one vocabulary term."""
     terms = doc_terms(posts.select("post_id", "content"), model.params)
