@@ -65,7 +65,9 @@ def doc_terms(df: DataFrame, params: TfidfParams, id_col: str = "post_id", text_
     else:
         terms = F.col("_kept")
     # Sorted term array, then run starts: positions where the value changes.
-    sorted_terms = kept.select("post_id", F.array_sort(terms).alias("_s"))
+    # sort_array uses the native string ordering (array_sort plans a lambda
+    # comparator that is interpreted per comparison).
+    sorted_terms = kept.select("post_id", F.sort_array(terms).alias("_s"))
     starts = sorted_terms.withColumn(
         "_starts",
         F.expr(

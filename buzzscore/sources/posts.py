@@ -50,6 +50,20 @@ def read_posts(
     return df
 
 
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin a text input over ``factor`` x the cores when the scan
+    yields fewer splits than that (e.g. one large file with few row groups).
+
+    Post lengths vary by orders of magnitude, so more, smaller tasks keep
+    the per-row text work balanced.  Inputs that already arrive in many
+    splits (the normal case for large tables) are left alone: no shuffle.
+    """
+    target = factor * df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
@@ -63,7 +77,7 @@ def posts_from_testdata(spark: SparkSession, sf_dir: str, day_grain: bool = True
     which creates (content, timestamp) duplicates; otherwise the full
     microsecond time is kept.
     """
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    docs = spread(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars"))
     events = _read(spark, sf_dir, "events").select(
         "event_id", "ts", "user_id", "event_type", "value"
     )
@@ -103,5 +117,5 @@ def tagged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents_as_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` alone: ``post_id`` and ``content`` (text features input)."""
-    d = _read(spark, sf_dir, "documents")
+    d = spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select(F.col("doc_id").alias("post_id"), F.col("text").alias("content"))
