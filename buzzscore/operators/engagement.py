@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from buzzscore.functions.values import to_double_or_zero
-from buzzscore.operators.stats import scalars, zscore
+from buzzscore.operators.stats import as_literals, collect_stats, zscore
 from buzzscore.schema import METRICS
 
 # --- fixed values -----------------------------------------------------------
@@ -39,21 +39,17 @@ def viral_score(weights=VIRAL_WEIGHTS):
     return expr
 
 
-def add_engagement(df: DataFrame, strict: bool = False, weights=VIRAL_WEIGHTS) -> DataFrame:
-    """Add ``engagement_signal``, ``viral_score``, ``viral_score_norm``.
-
-    engagement_signal = mean of the three metric z-scores (population σ,
-    σ = 0 -> 0); null if any metric is null (strict mode only — tolerant mode
-    coerces nulls to 0 first).  viral_score_norm = min-max of viral_score;
-    all-equal scores give 0.5 (tolerant) or null (strict).
-    """
+def _with_viral(df: DataFrame, strict: bool, weights) -> DataFrame:
     if strict:
         missing = [m for m in METRICS if m not in df.columns]
         if missing:
             raise ValueError(f"missing metric columns: {missing}")
     else:
         df = coerce_metrics(df)
-    df = df.withColumn("viral_score", viral_score(weights))
+    return df.withColumn("viral_score", viral_score(weights))
+
+
+def _engagement_aggs() -> dict:
     aggs = {}
     for m in METRICS:
         x = F.col(m).cast("double")
@@ -61,7 +57,29 @@ def add_engagement(df: DataFrame, strict: bool = False, weights=VIRAL_WEIGHTS) -
         aggs[f"{m}_sd"] = F.stddev_pop(x)
     aggs["viral_min"] = F.min("viral_score")
     aggs["viral_max"] = F.max("viral_score")
-    s = scalars(df, **aggs)
+    return aggs
+
+
+def engagement_stats(df: DataFrame, strict: bool = False, weights=VIRAL_WEIGHTS) -> dict:
+    """Fitted scaler means/σ and the viral range, as plain numbers."""
+    return collect_stats(_with_viral(df, strict, weights), **_engagement_aggs())
+
+
+def add_engagement(
+    df: DataFrame, strict: bool = False, weights=VIRAL_WEIGHTS, stats: dict | None = None
+) -> DataFrame:
+    """Add ``engagement_signal``, ``viral_score``, ``viral_score_norm``.
+
+    engagement_signal = mean of the three metric z-scores (population σ,
+    σ = 0 -> 0); null if any metric is null (strict mode only — tolerant mode
+    coerces nulls to 0 first).  viral_score_norm = min-max of viral_score;
+    all-equal scores give 0.5 (tolerant) or null (strict).  ``stats`` (from
+    ``engagement_stats``) freezes the statistics, e.g. for streams.
+    """
+    df = _with_viral(df, strict, weights)
+    if stats is None:
+        stats = collect_stats(df, **_engagement_aggs())
+    s = as_literals(stats)
     z = [zscore(F.col(m).cast("double"), s[f"{m}_mean"], s[f"{m}_sd"], "scaler") for m in METRICS]
     engagement = (z[0] + z[1] + z[2]) / F.lit(3.0)
     span = s["viral_max"] - s["viral_min"]

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buzzscore.operators.stats import scalars, zscore
+from buzzscore.operators.stats import as_literals, collect_stats, zscore
 
 # --- fixed values -----------------------------------------------------------
 COMPONENT_WEIGHTS = {"text": 0.5, "engagement": 0.3, "viral": 0.2}
@@ -93,6 +93,7 @@ def add_composite(
     weights: dict[str, float] = COMPONENT_WEIGHTS,
     thresholds: Thresholds = Thresholds(),
     strict: bool = False,
+    frozen: dict | None = None,
 ) -> DataFrame:
     """Add ``text_component``, ``composite_signal``, ``signal_confidence`` and
     ``trading_signal`` to a frame that has engagement columns and (optionally)
@@ -101,23 +102,51 @@ def add_composite(
     Tolerant: σ = 0 components contribute 0, composite σ = 0 gives
     confidence 1, no text features gives a 0 text component.  Strict: those
     cases give null, and null scores classify as HOLD.
+
+    ``frozen`` (from ``composite_stats``) supplies the chosen features and
+    every statistic instead of computing them from ``df`` (streams, or
+    scoring new batches against an earlier fit).
     """
+    if frozen is None:
+        frozen = {}
+        df = _apply_composite(df, feature_cols, weights, thresholds, strict, frozen)
+        return df
+    return _apply_composite(df, feature_cols, weights, thresholds, strict, dict(frozen))
+
+
+def composite_stats(
+    df: DataFrame,
+    feature_cols: Sequence[str] | None = None,
+    weights: dict[str, float] = COMPONENT_WEIGHTS,
+    strict: bool = False,
+) -> dict:
+    """Fit the scoring statistics on ``df`` (with engagement columns)."""
+    frozen: dict = {}
+    _apply_composite(df, feature_cols, weights, Thresholds(), strict, frozen)
+    return frozen  # filled while the plan was built
+
+
+def _apply_composite(df, feature_cols, weights, thresholds, strict, frozen: dict) -> DataFrame:
     cols = list(feature_cols) if feature_cols is not None else feature_columns(df)
-    chosen = top_features(df, cols)
+    if "top_features" not in frozen:
+        frozen["top_features"] = top_features(df, cols)
+    chosen = frozen["top_features"]
     if chosen:
         text = row_mean(chosen)
     else:
         text = F.lit(None).cast("double") if strict else F.lit(0.0)
     df = df.withColumn("text_component", text)
-    s = scalars(
-        df,
-        t_mean=F.avg("text_component"),
-        t_sd=F.stddev_samp("text_component"),
-        e_mean=F.avg("engagement_signal"),
-        e_sd=F.stddev_samp("engagement_signal"),
-        v_mean=F.avg("viral_score_norm"),
-        v_sd=F.stddev_samp("viral_score_norm"),
-    )
+    if "components" not in frozen:
+        frozen["components"] = collect_stats(
+            df,
+            t_mean=F.avg("text_component"),
+            t_sd=F.stddev_samp("text_component"),
+            e_mean=F.avg("engagement_signal"),
+            e_sd=F.stddev_samp("engagement_signal"),
+            v_mean=F.avg("viral_score_norm"),
+            v_sd=F.stddev_samp("viral_score_norm"),
+        )
+    s = as_literals(frozen["components"])
     mode = "strict" if strict else "safe"
     composite = (
         F.lit(float(weights["text"])) * zscore(F.col("text_component"), s["t_mean"], s["t_sd"], mode)
@@ -126,7 +155,11 @@ def add_composite(
         + F.lit(float(weights["viral"])) * zscore(F.col("viral_score_norm"), s["v_mean"], s["v_sd"], mode)
     )
     df = df.withColumn("composite_signal", composite)
-    c = scalars(df, c_mean=F.avg("composite_signal"), c_sd=F.stddev_samp("composite_signal"))
+    if "composite" not in frozen:
+        frozen["composite"] = collect_stats(
+            df, c_mean=F.avg("composite_signal"), c_sd=F.stddev_samp("composite_signal")
+        )
+    c = as_literals(frozen["composite"])
     spread = F.lit(CONFIDENCE_SPREAD) * c["c_sd"]
     raw_conf = F.lit(1.0) - F.abs(F.col("composite_signal") - c["c_mean"]) / spread
     if strict:

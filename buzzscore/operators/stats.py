@@ -15,24 +15,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
 
-def scalars(df: DataFrame, **aggs: Column) -> dict[str, Column]:
-    """Map each name to a literal Column holding ``aggs[name]`` over ``df``."""
-    agg_df = df.agg(*[agg.alias(name) for name, agg in aggs.items()])
-    types = {f.name: f.dataType for f in agg_df.schema.fields}
-    row = agg_df.first()
+def collect_stats(df: DataFrame, **aggs: Column) -> dict:
+    """One aggregation job; its single row as a dict of Python numbers."""
+    row = df.agg(*[agg.alias(name) for name, agg in aggs.items()]).first()
     out = {}
     for name in aggs:
         value = row[name]
-        dtype = types[name]
-        if isinstance(dtype, DoubleType):
-            out[name] = F.lit(None if value is None else float(value)).cast("double")
-        elif isinstance(dtype, LongType):
-            out[name] = F.lit(None if value is None else int(value)).cast("bigint")
+        out[name] = float(value) if isinstance(value, float) else value
+    return out
+
+
+def as_literals(values: dict) -> dict[str, Column]:
+    """Python numbers -> typed literal Columns (None -> null double)."""
+    out = {}
+    for name, value in values.items():
+        if value is None or isinstance(value, float):
+            out[name] = F.lit(value).cast(DoubleType())
+        elif isinstance(value, int):
+            out[name] = F.lit(value).cast(LongType())
         else:
-            out[name] = F.lit(value).cast(dtype)
+            out[name] = F.lit(value)
     return out
 
 
+def scalars(df: DataFrame, **aggs: Column) -> dict[str, Column]:
+    """Map each name to a literal Column holding ``aggs[name]`` over ``df``."""
+    return as_literals(collect_stats(df, **aggs))
+
+
 def zscore(x: Column, mean: Column, sd: Column, mode: str) -> Column:
     """Standardise ``x``.
 
