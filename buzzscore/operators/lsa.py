@@ -36,7 +36,7 @@ def doc_vectors(weighted: DataFrame) -> DataFrame:
     A post has at most ``max_features`` entries, so the per-post list is
     bounded."""
     per_doc = weighted.groupBy("post_id").agg(
-        F.array_sort(F.collect_list(F.struct("term_id", "w"))).alias("_e"),
+        F.sort_array(F.collect_list(F.struct("term_id", "w"))).alias("_e"),
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"),
     )
     return per_doc.select(
@@ -46,8 +46,20 @@ def doc_vectors(weighted: DataFrame) -> DataFrame:
     )
 
 
-def gram_matrix(vectors: DataFrame, n_terms: int) -> DataFrame:
-    """Upper-triangle cells ``(i, j, g)`` of XᵀX (non-zero cells only)."""
+MAX_PARTIAL_GRAMS = 256
+
+
+def gram_matrix(vectors: DataFrame, n_terms: int, max_partials: int = MAX_PARTIAL_GRAMS) -> DataFrame:
+    """Upper-triangle cells ``(i, j, g)`` of XᵀX (non-zero cells only).
+
+    Each task emits up to F(F+1)/2 cells, so the number of partial matrices
+    is capped at ``max_partials``: the per-post vectors come out of a
+    shuffle, so the ``coalesce`` only merges that cheap read stage, never
+    the upstream tokenising tasks.  The shuffle into the final sum is then
+    at most ``max_partials · F(F+1)/2`` rows whatever the number of posts.
+    """
+    if vectors.rdd.getNumPartitions() > max_partials:
+        vectors = vectors.coalesce(max_partials)
     partial = vectors.select("term_ids", "weights").mapInPandas(
         gram_partials(n_terms), "i int, j int, g double"
     )
