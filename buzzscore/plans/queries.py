@@ -34,10 +34,10 @@ from buzzscore.operators.reports import (
 from buzzscore.operators.scoring import TOP_FEATURES, add_composite, feature_columns, rank_features
 from buzzscore.plans.pipeline import ScoringConfig, run_all, signals
 from buzzscore.plans.text import fit_and_featurize
-from buzzscore.sources.sinks import essential
+from buzzscore.sources.sinks import essential, write_posts
 from buzzscore.schema import RAW_POST, conform, fill_text_nulls
-from buzzscore.session import prepare
-from buzzscore.sources.posts import documents_as_posts, posts_from_testdata, tagged_events
+from buzzscore.session import prepare, scratch_path
+from buzzscore.sources.posts import documents_as_posts, posts_from_testdata, read_posts, tagged_events
 
 ROUND = 6
 
@@ -268,3 +268,27 @@ def q_full_pipeline(spark, sf_dir):
     raw = _raw(spark, sf_dir)
     scored, _ = run_all(raw, ScoringConfig())
     return finalize(signals(scored))
+
+
+# --- sources and sinks ------------------------------------------------------------
+
+
+def q_csv_roundtrip(spark, sf_dir):
+    """Raw posts written as CSV (quoted, multi-line fields) into the shared
+    checkpoint folder, read back with the declared schema, then cleaned."""
+    import uuid
+
+    raw = _raw(spark, sf_dir)
+    path = scratch_path(spark, f"csv-roundtrip-{uuid.uuid4().hex}")
+    write_posts(raw, path, fmt="csv")
+    return finalize(C.clean_posts(read_posts(spark, path, fmt="csv")))
+
+
+def q_signals_strict(spark, sf_dir):
+    """The strict path (nulls propagate, σ = 0 -> null -> HOLD) on the same
+    posts; with no degenerate statistics here it must equal ``signals``."""
+    posts = _clean(spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    featured = fixture_features(posts, docs).checkpoint(eager=True)
+    scored = add_composite(add_engagement(featured, strict=True), strict=True)
+    return finalize(essential(scored))
