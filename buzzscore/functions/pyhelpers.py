@@ -95,3 +95,61 @@ def gram_partials(n_terms: int):
         )
 
     return run
+
+
+def moment_partials(n_cols: int, viral_weights: list[float]):
+    """``mapInPandas`` function: per task, the count, mean vector and centred
+    co-moment matrix of the ``n_cols`` input columns (merged across Arrow
+    batches with the pairwise update), plus min/max of the viral score
+    (a weighted sum of the last columns).  Emits one row per task."""
+
+    def run(batches):
+        n = 0
+        mean = np.zeros(n_cols)
+        m2 = np.zeros((n_cols, n_cols))
+        vmin, vmax = np.inf, -np.inf
+        w = np.asarray(viral_weights, dtype=np.float64)
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x = pdf.to_numpy(dtype=np.float64)
+            nb = x.shape[0]
+            mb = x.mean(axis=0)
+            d = x - mb
+            m2b = d.T @ d
+            viral = x[:, n_cols - len(w):] @ w
+            vmin = min(vmin, float(viral.min()))
+            vmax = max(vmax, float(viral.max()))
+            delta = mb - mean
+            tot = n + nb
+            m2 = m2 + m2b + np.outer(delta, delta) * (n * nb / tot)
+            mean = mean + delta * (nb / tot)
+            n = tot
+        if n:
+            yield pd.DataFrame(
+                {
+                    "n": [n],
+                    "mean": [mean.tolist()],
+                    "m2": [m2.ravel().tolist()],
+                    "vmin": [vmin],
+                    "vmax": [vmax],
+                }
+            )
+
+    return run
+
+
+def merge_moments(parts, n_cols: int):
+    """Merge per-task (n, mean, m2) partials; returns (n, mean, m2)."""
+    n = 0
+    mean = np.zeros(n_cols)
+    m2 = np.zeros((n_cols, n_cols))
+    for pn, pmean, pm2 in parts:
+        pmean = np.asarray(pmean, dtype=np.float64)
+        pm2 = np.asarray(pm2, dtype=np.float64).reshape(n_cols, n_cols)
+        delta = pmean - mean
+        tot = n + pn
+        m2 = m2 + pm2 + np.outer(delta, delta) * (n * pn / tot)
+        mean = mean + delta * (pn / tot)
+        n = tot
+    return n, mean, m2

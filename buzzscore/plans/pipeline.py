@@ -4,9 +4,10 @@ Scale notes:
 * cleaning is one Arrow-UDF projection plus one shuffle (the dedup);
 * scoring computes text features on a narrow ``(post_id, metrics,
   features)`` table, cuts its lineage with ``checkpoint()`` (reliable, into
-  the cluster's ``spark.checkpoint.dir``) so the statistics passes re-read a
-  small table instead of re-tokenising, and joins the scores back to the
-  posts on ``post_id`` at the end.
+  the cluster's ``spark.checkpoint.dir``) so the statistics pass re-reads a
+  small table instead of re-tokenising, gets every statistic from one
+  aggregation (closed form, tolerant path) and joins the scores back to
+  the posts on ``post_id`` at the end.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from buzzscore.operators.clean import clean_posts, cleaning_stats
 from buzzscore.operators.engagement import add_engagement, coerce_metrics
 from buzzscore.operators.lsa import TextModel, zero_fill
+from buzzscore.operators.onepass import fit_scoring_stats
 from buzzscore.operators.scoring import Thresholds, add_composite
 from buzzscore.operators.tfidf import TfidfParams
 from buzzscore.plans.text import DEFAULT_FIT_SAMPLE, fit_and_featurize, text_features
@@ -45,6 +47,7 @@ class ScoringConfig:
     seed: int = 42
     thresholds: Thresholds = field(default_factory=Thresholds)
     checkpoint: bool = True
+    one_pass: bool = True  # tolerant path: all statistics from one aggregation
 
 
 def run_cleaning(raw: DataFrame, output_path: str | None = None, fmt: str = "parquet"):
@@ -81,11 +84,17 @@ def run_scoring(
     if config.checkpoint:
         checkpoint_dir(posts.sparkSession)
         narrow = narrow.checkpoint(eager=True)
-    scored = add_composite(
-        add_engagement(narrow, strict=config.strict),
-        strict=config.strict,
-        thresholds=config.thresholds,
-    )
+    if config.one_pass and not config.strict:
+        eng, frozen = fit_scoring_stats(narrow)
+        scored = add_composite(
+            add_engagement(narrow, stats=eng), thresholds=config.thresholds, frozen=frozen
+        )
+    else:
+        scored = add_composite(
+            add_engagement(narrow, strict=config.strict),
+            strict=config.strict,
+            thresholds=config.thresholds,
+        )
     keep = ["post_id", *[c for c in scored.columns if c.startswith("text_feature_")], *SCORE_COLUMNS]
     out = posts.join(scored.select(*keep), "post_id")
     return out, model
