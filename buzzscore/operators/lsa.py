@@ -47,19 +47,29 @@ def doc_vectors(weighted: DataFrame) -> DataFrame:
 
 
 MAX_PARTIAL_GRAMS = 256
+POSTS_PER_PARTIAL = 20_000
 
 
-def gram_matrix(vectors: DataFrame, n_terms: int, max_partials: int = MAX_PARTIAL_GRAMS) -> DataFrame:
+def gram_matrix(
+    vectors: DataFrame,
+    n_terms: int,
+    n_docs: int | None = None,
+    max_partials: int = MAX_PARTIAL_GRAMS,
+) -> DataFrame:
     """Upper-triangle cells ``(i, j, g)`` of XᵀX (non-zero cells only).
 
     Each task emits up to F(F+1)/2 cells, so the number of partial matrices
-    is capped at ``max_partials``: the per-post vectors come out of a
-    shuffle, so the ``coalesce`` only merges that cheap read stage, never
-    the upstream tokenising tasks.  The shuffle into the final sum is then
-    at most ``max_partials · F(F+1)/2`` rows whatever the number of posts.
+    follows the number of posts (one per ``POSTS_PER_PARTIAL``), capped at
+    ``max_partials``.  The per-post vectors come out of a shuffle, so the
+    ``coalesce`` only merges that cheap read stage, never the upstream
+    tokenising tasks.  The shuffle into the final sum is at most
+    ``max_partials · F(F+1)/2`` rows whatever the number of posts.
     """
-    if vectors.rdd.getNumPartitions() > max_partials:
-        vectors = vectors.coalesce(max_partials)
+    target = max_partials
+    if n_docs is not None:
+        target = min(max_partials, max(1, -(-n_docs // POSTS_PER_PARTIAL)))
+    if vectors.rdd.getNumPartitions() > target:
+        vectors = vectors.coalesce(target)
     partial = vectors.select("term_ids", "weights").mapInPandas(
         gram_partials(n_terms), "i int, j int, g double"
     )

@@ -167,7 +167,7 @@ def q_tfidf_weights(spark, sf_dir):
 def q_tfidf_gram(spark, sf_dir):
     _, terms, vocab = _vocab(spark, sf_dir)
     vectors = doc_vectors(weighted_terms(terms, vocab.to_spark(spark)))
-    g = gram_matrix(vectors, vocab.size)
+    g = gram_matrix(vectors, vocab.size, vocab.n_docs)
     return finalize(
         g.select(
             F.col("i").alias("term_id_i"), F.col("j").alias("term_id_j"), F.col("g").alias("gram")

@@ -66,7 +66,7 @@ def fit_from_terms(
     spark = terms.sparkSession
     vocab = fit_vocabulary(terms, n_docs, params)
     weighted = weighted_terms(terms, vocab.to_spark(spark))
-    gram = collect_gram(gram_matrix(doc_vectors(weighted), vocab.size), vocab.size)
+    gram = collect_gram(gram_matrix(doc_vectors(weighted), vocab.size, n_docs), vocab.size)
     k = n_components_for(vocab.size, strict, n_components)
     v, sig = components_from_gram(gram, k)
     return TextModel(vocab, v, sig, params)
