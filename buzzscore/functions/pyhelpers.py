@@ -58,35 +58,42 @@ def fold_series(s: pd.Series) -> pd.Series:
     return s.map(lambda x: fold_text(x) if isinstance(x, str) else None)
 
 
-def gram_partials(n_terms: int):
+def gram_partials(n_terms: int, flush_pairs: int = 4_000_000):
     """Build a ``mapInPandas`` function that sums ``x xᵀ`` over documents.
 
     Input batches carry one row per document: ``term_ids`` (array<int>) and
-    ``weights`` (array<double>, already L2-normalised).  Each task emits its
-    partial upper-triangle Gram matrix as ``(i, j, g)`` rows, at most
-    ``n_terms·(n_terms+1)/2`` of them whatever the number of documents.
+    ``weights`` (array<double>, already L2-normalised).  Work is sparse: each
+    document adds its nnz² outer-product cells, folded into a flat F·F
+    accumulator with ``np.bincount`` every ``flush_pairs`` cells.  Each task
+    emits its partial upper-triangle Gram matrix as ``(i, j, g)`` rows, at
+    most ``n_terms·(n_terms+1)/2`` of them whatever the number of documents.
     """
+    size = n_terms * n_terms
 
     def run(batches):
-        gram = np.zeros((n_terms, n_terms), dtype=np.float64)
+        acc = np.zeros(size, dtype=np.float64)
+        idx_parts, val_parts, pending = [], [], 0
         seen = False
         for pdf in batches:
-            if pdf.empty:
-                continue
-            ids = pdf["term_ids"]
-            wts = pdf["weights"]
-            lengths = ids.map(len).to_numpy()
-            if lengths.sum() == 0:
-                continue
-            rows = np.repeat(np.arange(len(pdf)), lengths)
-            cols = np.concatenate([np.asarray(a, dtype=np.int64) for a in ids if len(a)])
-            vals = np.concatenate([np.asarray(a, dtype=np.float64) for a in wts if len(a)])
-            dense = np.zeros((len(pdf), n_terms), dtype=np.float64)
-            dense[rows, cols] = vals
-            gram += dense.T @ dense
-            seen = True
+            for ids, wts in zip(pdf["term_ids"], pdf["weights"]):
+                if ids is None or len(ids) == 0:
+                    continue
+                ids = np.asarray(ids, dtype=np.int64)
+                wts = np.asarray(wts, dtype=np.float64)
+                idx_parts.append((ids[:, None] * n_terms + ids[None, :]).ravel())
+                val_parts.append(np.outer(wts, wts).ravel())
+                pending += len(ids) * len(ids)
+                seen = True
+                if pending >= flush_pairs:
+                    acc += np.bincount(
+                        np.concatenate(idx_parts), np.concatenate(val_parts), minlength=size
+                    )
+                    idx_parts, val_parts, pending = [], [], 0
+        if pending:
+            acc += np.bincount(np.concatenate(idx_parts), np.concatenate(val_parts), minlength=size)
         if not seen:
             return
+        gram = acc.reshape(n_terms, n_terms)
         iu, ju = np.triu_indices(n_terms)
         g = gram[iu, ju]
         keep = g != 0.0

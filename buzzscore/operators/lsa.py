@@ -2,8 +2,8 @@
 
 X is the n x F matrix of L2-normalised TF-IDF rows (not centred).  Its right
 singular vectors are the eigenvectors of the Gram matrix G = XᵀX, which is
-F x F whatever n is.  G is summed in one pass: each task folds its documents
-into a dense partial (``mapInPandas``, BLAS ``DᵀD`` per Arrow batch) and
+F x F whatever n is.  G is summed in one pass: each task folds its documents'
+sparse outer products into a partial (``mapInPandas``, ``np.bincount``) and
 emits at most F(F+1)/2 non-zero cells; a ``groupBy`` adds the partials.  The
 driver only sees the summed F x F matrix and runs ``eigh`` on it.
 
@@ -46,8 +46,8 @@ def doc_vectors(weighted: DataFrame) -> DataFrame:
     )
 
 
-MAX_PARTIAL_GRAMS = 256
-POSTS_PER_PARTIAL = 20_000
+MAX_PARTIAL_GRAMS = 1024
+POSTS_PER_PARTIAL = 2_500
 
 
 def gram_matrix(
