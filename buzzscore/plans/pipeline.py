@@ -70,8 +70,9 @@ def run_scoring(
     config = config or ScoringConfig()
     if not config.strict:
         posts = fill_text_nulls(coerce_metrics(posts))
+    cached = None
     if model is None:
-        model, feats = fit_and_featurize(
+        model, feats, cached = fit_and_featurize(
             posts,
             config.tfidf,
             strict=config.strict,
@@ -84,6 +85,8 @@ def run_scoring(
     if config.checkpoint:
         checkpoint_dir(posts.sparkSession)
         narrow = narrow.checkpoint(eager=True)
+        if cached is not None:
+            cached.unpersist()  # the features now live in the checkpoint
     if config.one_pass and not config.strict:
         eng, frozen = fit_scoring_stats(narrow)
         scored = add_composite(

@@ -177,7 +177,7 @@ def q_tfidf_gram(spark, sf_dir):
 
 def q_text_features(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    model, feats = fit_and_featurize(docs)
+    model, feats, _ = fit_and_featurize(docs)  # term cache lives with the result
     feats = zero_fill(docs.select("post_id").join(feats, "post_id", "left"), model.k)
     return finalize(
         feats.select(F.col("post_id").alias("doc_id"), *feature_names(model.k))

@@ -79,13 +79,15 @@ def fit_and_featurize(
     sample_size: int | None = DEFAULT_FIT_SAMPLE,
     seed: int = DEFAULT_SEED,
     n_components: int = MAX_COMPONENTS,
-) -> tuple[TextModel, DataFrame]:
+) -> tuple[TextModel, DataFrame, DataFrame | None]:
     """Fit a model and compute ``(post_id, text_feature_*)`` for all posts.
 
     When the fit set is every post (strict mode, or fewer posts than the
-    sample size) the tokenised terms are computed once and serve both the
-    fit and the transform; otherwise the fit runs on the sample and the
-    transform tokenises every post once.
+    sample size) the tokenised terms are computed once, cached, and serve
+    both the fit and the transform; otherwise the fit runs on the sample and
+    the transform tokenises every post once.  Returns ``(model, features,
+    cached)``: ``cached`` is the persisted term table (or None), to be
+    unpersisted by the caller once the features are materialised.
     """
     params = params or TfidfParams()
     n_posts = posts.count()
@@ -93,9 +95,9 @@ def fit_and_featurize(
         terms = doc_terms(posts.select("post_id", "content"), params)
         terms = terms.persist(StorageLevel.MEMORY_AND_DISK)
         model = fit_from_terms(terms, n_posts, params, strict, n_components)
-        return model, project(terms, model, posts.sparkSession)
+        return model, project(terms, model, posts.sparkSession), terms
     model = fit_text_model(posts, params, strict, sample_size, seed, n_components)
-    return model, text_features(posts, model)
+    return model, text_features(posts, model), None
 
 
 def text_features(posts: DataFrame, model: TextModel) -> DataFrame:

@@ -86,7 +86,7 @@ def test_svd_invariants_on_documents(spark):
     from buzzscore.sources.posts import documents_as_posts
 
     docs = documents_as_posts(spark, "/root/testdata/sf0.001")
-    model, feats = fit_and_featurize(docs)
+    model, feats, _ = fit_and_featurize(docs)
     v = model.components
     nz = model.singular_values > 0
     np.testing.assert_allclose(v[:, nz].T @ v[:, nz], np.eye(nz.sum()), atol=1e-9)
