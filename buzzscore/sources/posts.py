@@ -119,3 +119,14 @@ def documents_as_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` alone: ``post_id`` and ``content`` (text features input)."""
     d = spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select(F.col("doc_id").alias("post_id"), F.col("text").alias("content"))
+
+
+def union_sources(*frames: DataFrame) -> DataFrame:
+    """Union all of several post sources by column name; columns missing from
+    a source are null there (no dedup: a post in two sources appears twice)."""
+    if not frames:
+        raise ValueError("no sources")
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
