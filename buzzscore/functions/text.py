@@ -19,6 +19,15 @@ from pyspark.sql.types import StringType
 
 from buzzscore.functions import pyhelpers
 
+try:  # ship the UDF wrappers by value: executors need not import this package
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cp
+
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle
+    pass
+
 # --- fixed values -----------------------------------------------------------
 # Python's whitespace set (``str.isspace`` / ``re`` ``\s``) as a character
 # class that means the same thing in Java regex and RE2.

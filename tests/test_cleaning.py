@@ -96,3 +96,12 @@ def test_collect_recent_cap_and_window(spark):
     assert all(r.user != "old" for r in got)
     none = collect_recent(posts, [], as_of=dt.date(2024, 1, 2))
     assert none.count() == 0 and none.columns == ["tag", "date", "user", "content"]
+
+
+def test_union_sources_keeps_duplicates_and_fills_missing(spark):
+    from buzzscore.sources.posts import union_sources
+
+    a = spark.createDataFrame([(1, "x")], "post_id long, content string")
+    b = spark.createDataFrame([(1, "x", "#t")], "post_id long, content string, hashtags string")
+    out = union_sources(a, b).orderBy("hashtags").collect()
+    assert len(out) == 2 and out[0].hashtags is None and out[1].hashtags == "#t"
