@@ -8,10 +8,6 @@ built-in path, so the Python cost is proportional to non-ASCII text only.
 
 from __future__ import annotations
 
-import functools
-import os
-import zipfile
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -120,19 +116,27 @@ def tokenize(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(TOKEN_PATTERN), 0)
 
 
-@functools.lru_cache(maxsize=None)
-def spark_stop_words(language: str = "english") -> tuple[str, ...]:
-    """Spark ML's default stop-word list, read from the bundled mllib jar.
+# --- fixed values: Spark ML's English default stop words, in its order ------
+_ENGLISH_STOP_WORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she "
+    "her hers herself it its itself they them their theirs themselves what which who whom this that "
+    "these those am is are was were be been being have has had having do does did doing a an the and "
+    "but if or because as until while of at by for with about against between into through during "
+    "before after above below to from up down in out on off over under again further then once here "
+    "there when where why how all any both each few more most other some such no nor not only own "
+    "same so than too very s t can will just don should now i'll you'll he'll she'll we'll they'll "
+    "i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've we've you've "
+    "they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't "
+    "shan't shouldn't mustn't can't couldn't cannot could here's how's let's ought that's there's "
+    "what's when's where's who's why's would "
+)
+# ---------------------------------------------------------------------------
+
+
+def spark_stop_words() -> tuple[str, ...]:
+    """Spark ML's English default list, ``StopWordsRemover.loadDefaultStopWords``.
 
-    Identical to ``StopWordsRemover.loadDefaultStopWords(language)`` but needs
-    no running JVM, so SQL check queries can inline the same list.
+    Kept as plain data so that neither a running JVM nor a PySpark unpacked on
+    disk is needed to import this package (PySpark may come from a zip).
     """
-    import pyspark
-
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    for name in sorted(os.listdir(jars)):
-        if name.startswith("spark-mllib_") and name.endswith(".jar"):
-            with zipfile.ZipFile(os.path.join(jars, name)) as jar:
-                raw = jar.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt")
-            return tuple(w for w in raw.decode("utf-8").split("\n") if w)
-    raise FileNotFoundError("spark-mllib jar not found")
+    return tuple(_ENGLISH_STOP_WORDS.split())

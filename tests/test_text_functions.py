@@ -2,6 +2,7 @@
 
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from buzzscore.functions.text import (
@@ -80,3 +81,29 @@ def test_tokenize_runs_of_two_word_chars(spark):
 def test_stop_words_are_sparks_list():
     words = spark_stop_words()
     assert len(words) == 181 and "the" in words and "i" in words
+
+
+def test_entry_imports_with_pyspark_from_a_zip():
+    """PySpark may be loaded from pyspark.zip, where nothing lies on disk."""
+    import glob
+    import os
+    import subprocess
+    import sys
+
+    import pyspark
+
+    lib = os.path.join(os.path.dirname(pyspark.__file__), "python", "lib")
+    zips = sorted(glob.glob(os.path.join(lib, "*.zip")), key=lambda p: "pyspark" not in p)
+    if not zips:
+        pytest.skip("this PySpark has no zip")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import pyspark, __spark_entry__ as e; print(pyspark.__file__); print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run(
+        [sys.executable, "-c", code],
+        env={**os.environ, "PYTHONPATH": ":".join([*zips, root])},
+        capture_output=True,
+        text=True,
+        timeout=120,
+    )
+    assert out.returncode == 0, out.stderr
+    assert ".zip" in out.stdout.splitlines()[0]
