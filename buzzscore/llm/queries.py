@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buzzscore.llm import licenses, line_dedup, mixing, url_filter
-from buzzscore.llm.common import read_table
+from buzzscore.llm import licenses, line_dedup, mixing, topk, toxicity, url_filter, warc
+from buzzscore.llm.common import read_table, scratch
 
 # --- parameters of the registered queries -------------------------------------
 URL_RULES = (
@@ -72,6 +72,30 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    path = scratch(spark, "warc")
+    warc.write_archives(pages, path)
+    return warc.read_archives(spark, path).select(
+        F.col("page").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("type").alias("record_type"),
+        F.when(F.col("type") == "revisit", F.col("refers_page")).cast("long").alias("refers_to"),
+    )
+
+
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     model = url_filter.fit(url_filter.labelled_urls(spark))
@@ -133,13 +157,57 @@ FROM last WHERE last_ >= 0
 """
 
 
+def held_out(doc_id: Column) -> Column:
+    """A fifth of the ids, by checksum; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    """Learned from the labelled documents that are not held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return toxicity.fit(docs.join(labels, "doc_id").where(~held_out(F.col("doc_id"))))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity_model(spark, sf_dir)).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
+    )
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
+OP9_SQL = """
+WITH q AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS query_id, b.vec_id,
+         CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
+    "op4_warc": op4_warc,
     "op5_url_filter": op5_url_filter,
     "op7_mixing": op7_mixing,
+    "op8_toxicity": op8_toxicity,
+    "op9_topk": op9_topk,
 }
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
+    "op4_warc": OP4_SQL,
     "op7_mixing": OP7_SQL,
+    "op9_topk": OP9_SQL,
 }
