@@ -60,7 +60,7 @@ def coordinates(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Ftrl:
     """FTRL-proximal for binary labels and features that are there or not."""
 
-    alpha: float = 0.5
+    alpha: float = 1.0
     beta: float = 1.0
     l1: float = 12.0
     l2: float = 1.0
@@ -114,7 +114,7 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     max_rows: int = MAX_ROWS,
-    epochs: int = 2,
+    epochs: int = 3,
     seed: int = 11,
 ) -> ToxicityModel:
     """Learn from rows with label 0 or 1; others, null too, are left out.
