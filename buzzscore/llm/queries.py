@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buzzscore.llm import licenses, line_dedup, mixing, topk, toxicity, url_filter, warc
+from buzzscore.llm import decontaminate, licenses, line_dedup, mixing, topk, toxicity, url_filter, warc
 from buzzscore.llm.common import read_table, scratch
 
 # --- parameters of the registered queries -------------------------------------
@@ -102,6 +102,16 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, model).drop("url")
 
 
+def benchmark_index(spark: SparkSession, sf_dir: str) -> decontaminate.Benchmark:
+    return decontaminate.build_index(read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_items(docs, benchmark_index(spark, sf_dir))
+    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return mix_documents(docs).drop("text")
@@ -201,6 +211,7 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op4_warc": op4_warc,
     "op5_url_filter": op5_url_filter,
+    "op6_decontamination": op6_decontamination,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_topk": op9_topk,
