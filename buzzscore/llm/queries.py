@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buzzscore.llm import decontaminate, licenses, line_dedup, mixing, topk, toxicity, url_filter, warc
+from buzzscore.llm import decontaminate, jaccard_join, licenses, line_dedup, mixing, topk, toxicity, url_filter, warc
 from buzzscore.llm.common import read_table, scratch
 
 # --- parameters of the registered queries -------------------------------------
@@ -72,6 +72,41 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.similar_texts(docs).select(
+        F.col("id").alias("doc_id"), "class_id", "group_id", "n_copies", "n_texts", "n_links"
+    )
+
+
+OP3_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\r\f]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b, c = x.n AND c = y.n AS same FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE c * 10 >= 8 * (x.n + y.n - c)),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT l.a, r.other FROM reach r JOIN links l ON l.b = r.doc_id),
+groups AS (SELECT doc_id, min(other) AS group_id FROM reach GROUP BY doc_id),
+classes AS (
+  SELECT d.doc_id, least(d.doc_id, min(l.b)) AS class_id, count(l.b) AS n_copies
+  FROM documents d LEFT JOIN links l ON l.a = d.doc_id AND l.same GROUP BY d.doc_id),
+counts AS (
+  SELECT l.a AS doc_id, count(*) AS n_links, count(DISTINCT c.class_id) FILTER (WHERE NOT l.same) AS n_texts
+  FROM links l JOIN classes c ON c.doc_id = l.b GROUP BY l.a)
+SELECT c.doc_id, class_id, group_id, n_copies, CAST(coalesce(n_texts, 0) AS BIGINT) AS n_texts,
+       CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM classes c JOIN groups USING (doc_id) LEFT JOIN counts ON counts.doc_id = c.doc_id
+"""
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     path = scratch(spark, "warc")
@@ -209,6 +244,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_warc": op4_warc,
     "op5_url_filter": op5_url_filter,
     "op6_decontamination": op6_decontamination,
@@ -218,6 +254,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
+    "op3_jaccard_join": OP3_SQL,
     "op4_warc": OP4_SQL,
     "op7_mixing": OP7_SQL,
     "op9_topk": OP9_SQL,
