@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,3 +120,24 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return labels
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Sorted batches, cut so that no group of equal ``keys`` first columns is divided; and the group starts."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        table = pa.Table.from_batches([batch])
+        rest = pa.concat_tables([rest, table]) if rest is not None else table
+        new = np.zeros(len(rest), bool)
+        new[0] = True
+        for k in range(keys):
+            column = rest.column(k).to_numpy()
+            new[1:] |= column[1:] != column[:-1]
+        starts = np.flatnonzero(new)
+        if len(starts) > 1:
+            yield rest.slice(0, starts[-1]).combine_chunks().to_batches()[0], starts[:-1]
+            rest = rest.slice(starts[-1])
+    if rest is not None:
+        yield rest.combine_chunks().to_batches()[0], np.flatnonzero(np.arange(len(rest)) == 0)

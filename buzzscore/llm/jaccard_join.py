@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buzzscore.llm.common import connected_components, with_row_key, word_hashes, written
+from buzzscore.llm.common import connected_components, sorted_groups, with_row_key, word_hashes, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -189,27 +189,6 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Sorted batches, cut so that no group of equal ``keys`` first columns is divided; and the group starts."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        table = pa.Table.from_batches([batch])
-        rest = pa.concat_tables([rest, table]) if rest is not None else table
-        new = np.zeros(len(rest), bool)
-        new[0] = True
-        for k in range(keys):
-            column = rest.column(k).to_numpy()
-            new[1:] |= column[1:] != column[:-1]
-        starts = np.flatnonzero(new)
-        if len(starts) > 1:
-            yield rest.slice(0, starts[-1]).combine_chunks().to_batches()[0], starts[:-1]
-            rest = rest.slice(starts[-1])
-    if rest is not None:
-        yield rest.combine_chunks().to_batches()[0], np.flatnonzero(np.arange(len(rest)) == 0)
-
-
 def _pairs(starts: np.ndarray, n: int, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of rows of a group, for some groups at a time (one at least)."""
     sizes = np.diff(np.append(starts, n))
@@ -231,7 +210,7 @@ def _search_buckets(similarity: float) -> Callable:
     """Rows ``path, low, high, block, set, size, codes`` -> links ``a, b``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, starts in _groups(batches, 3):
+        for batch, starts in sorted_groups(batches, 3):
             low, high, block, ids, size = (batch.column(k).to_numpy() for k in (1, 2, 3, 4, 5))
             codes = _matrix(batch.column(6), np.uint8)
             for a, b in _pairs(starts, len(ids)):
@@ -272,7 +251,7 @@ def _check_tiles(similarity: float) -> Callable:
     """Rows ``component, low, high, block, set, copies, words`` -> ``set, texts, documents, root``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, starts in _groups(batches, 3):
+        for batch, starts in sorted_groups(batches, 3):
             low, high, block, ids, copies = (batch.column(k).to_numpy() for k in (1, 2, 3, 4, 5))
             for s, e in zip(starts, np.append(starts[1:], len(ids)), strict=True):
                 sets = list(shingle_sets(batch.column(6).slice(s, e - s)))

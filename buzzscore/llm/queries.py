@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buzzscore.llm import decontaminate, jaccard_join, licenses, line_dedup, mixing, topk, toxicity, url_filter, warc
+from buzzscore.llm import decontaminate, jaccard_join, licenses, line_dedup, mixing, suffix_dedup, topk, toxicity, url_filter, warc
 from buzzscore.llm.common import read_table, scratch
 
 # --- parameters of the registered queries -------------------------------------
@@ -241,6 +241,13 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.dedup_substrings(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
@@ -251,6 +258,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_topk": op9_topk,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
