@@ -210,8 +210,7 @@ def held_out(doc_id: Column) -> Column:
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
     """Learned from the labelled documents that are not held out."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = read_table(spark, sf_dir, "labels").where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return toxicity.fit(docs.join(labels, "doc_id").where(~held_out(F.col("doc_id"))))
+    return toxicity.fit(docs, read_table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,7 +109,8 @@ class ToxicityModel:
 
 
 def fit(
-    labelled: DataFrame,
+    docs: DataFrame,
+    labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
@@ -117,16 +118,18 @@ def fit(
     epochs: int = 3,
     seed: int = 11,
 ) -> ToxicityModel:
-    """Learn from rows with label 0 or 1; others, null too, are left out.
+    """Learn from the texts of ``docs`` whose ids ``labels`` marks 0 or 1; other labels, null too, are left out.
 
-    Beyond ``max_rows`` the rows that come first in the seeded order of their
-    ids are taken.  Without any row the model gives 0.5 to every text.
+    An id that is labelled more than once has its largest label.  Beyond
+    ``max_rows`` the ids that come first in a seeded order are taken; that
+    table of two numbers a row is broadcast, so no other text is moved.
+    Without any row the model gives 0.5 to every text.
     """
-    order = F.xxhash64(F.lit(seed), F.col(id_col))
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(
-        order.alias("o"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")
-    )
-    rows = rows.orderBy("o", "id").limit(max_rows)
+    order = F.xxhash64(F.lit(seed), F.col("id"))
+    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    known = known.where("id IS NOT NULL").groupBy("id").agg(F.max("y").alias("y"))
+    chosen = known.select("id", "y", order.alias("o")).orderBy("o", "id").limit(max_rows)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     rows = rows.select("o", "id", "y", tokens(F.col("text")).alias("words"))
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
     # another order in each epoch; one learner, so one partition of a bounded table
