@@ -134,7 +134,8 @@ def _matrix(table: pa.Table) -> np.ndarray:
 def _search_block(k: int):
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out: dict[str, list] = {n: [] for n in ("query_rk", "query_id", "rk", "vec_id", "score")}
-        if len(rows) and len(queries):
+        # the side that has no row of a key may be a table without columns
+        if all("rk" in t.column_names and len(t) for t in (rows, queries)):
             ids, rks = rows["vec_id"].to_pylist(), np.asarray(rows["rk"])
             # smaller id first, null ids last, then the order of the rows
             order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, rks[i]))
