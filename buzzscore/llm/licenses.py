@@ -90,7 +90,8 @@ RULES = (
 # ------------------------------------------------------------------------------
 #: Each known sentence holds one of these; sentences without any are not looked up.
 CUES = ("licen", "copyright", "permi", "redistribution", "warrant", "liable", "public domain", "rights reserved", "gnu", "mpl", "spdx", "bsd", "gpl")
-_SENTENCE_END = re.compile(r"(?<=[.!?:;])[ \t]*(?:\n|[ \t]+(?=[^a-z0-9 \t\n]*[A-Z0-9(\"]))|\n[ \t]*\n")
+_SENTENCE_END = re.compile(r"(?<=[.!?:;])(?<!dentifier:)[ \t]*(?:\n|[ \t]+(?=[^a-z0-9 \t\n]*[A-Z0-9(\"]))|\n[ \t]*\n")
+_SPDX_LINE = re.compile(r"(?i)(SPDX-License-Identifier:[^\n]*)")
 _OTHER = re.compile(r"[^a-z0-9]+")
 _MAX_LINES = 16
 
@@ -131,6 +132,8 @@ def sentence_ids(text: str) -> list[str]:
     if not any(c in low for c in CUES):
         return []
     out = []
+    if "spdx" in low:  # a tag ends with its line
+        text = _SPDX_LINE.sub(r"\1\n\n", text)
     for part in _SENTENCE_END.split(text):
         low = part.lower()
         if not any(c in low for c in CUES):
