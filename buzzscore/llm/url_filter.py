@@ -108,11 +108,14 @@ class UrlModel:
         return 1 / (1 + F.exp(-(F.lit(self.bias) + total / F.sqrt(size))))
 
 
-def fit(labelled: DataFrame, steps: int = 25, rate: float = 6.0, ridge: float = 1e-3) -> UrlModel:
+def fit(
+    labelled: DataFrame, steps: int = 25, rate: float = 60.0, ridge: float = 1e-3, ordinary: float = 3.0
+) -> UrlModel:
     """Fit to ``labelled (url, label)``; rows with a null label are left out.
 
-    Gradient descent with momentum on the mean logistic loss, both classes
-    weighted alike.  A step is one aggregation of the table: at most
+    Gradient descent with momentum on the mean logistic loss; the class of
+    ordinary urls weighs ``ordinary`` times that of unwanted ones, since a page
+    blocked in error is lost.  A step is one aggregation of the table: at most
     ``BUCKETS`` sums come back.
     """
     data = labelled.where("label IN (0, 1)").select(grams(F.col("url")).alias("b"), F.col("label").cast("double"))
@@ -123,7 +126,8 @@ def fit(labelled: DataFrame, steps: int = 25, rate: float = 6.0, ridge: float =
             raise ValueError(f"{n} labelled urls; the bound is {MAX_LABELLED}")
         if not n or not 0 < positive < n:
             raise ValueError("the labelled urls must have both labels")
-        share = F.when(F.col("label") == 1, 0.5 / positive).otherwise(0.5 / (n - positive))
+        whole = 1 + ordinary
+        share = F.when(F.col("label") == 1, 1 / whole / positive).otherwise(ordinary / whole / (n - positive))
         weights, bias, speed, bias_speed = [0.0] * BUCKETS, 0.0, [0.0] * BUCKETS, 0.0
         for _ in range(steps):
             model = UrlModel(bias, tuple(weights))
