@@ -12,8 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buzzscore.llm import line_dedup, queries
-from buzzscore.llm.common import fresh, read_table, written
+from buzzscore.llm import decontaminate, jaccard_join, line_dedup, queries, toxicity
+from buzzscore.llm.common import fresh, read_table, with_row_key, written
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the toxicity model, learned from ``labels``, rejects."""
+    labels = read_table(spark, sf_dir, "labels").where(~queries.held_out(F.col("doc_id")))
+    model = toxicity.fit(docs, labels)
+    return toxicity.score(docs, model).where(F.col(fresh(docs, "predicted")) == 0).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,6 +32,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return line_dedup.dedup_lines(docs).where((F.col(gone) == 0) | (F.col(gone) < F.col(lines))).select(*docs.columns)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of similar texts."""
+    key = fresh(docs, "rk")
+    others = written(jaccard_join.similar_texts(docs).where("NOT first").select(F.col("rk").alias(key)), "others")
+    return with_row_key(docs, key).join(others, key, "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a benchmark item."""
+    found = decontaminate.find_items(docs, queries.benchmark_index(spark, sf_dir))
+    return found.where(F.size(fresh(docs, "item_ids")) == 0).select(*docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each document and epoch of the mixture."""
     return queries.mix_documents(docs)
@@ -32,7 +52,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", reject_toxic),
     ("line_dedup", drop_repeated_lines),
+    ("jaccard_join", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
     ("mixing", mix_sources),
 ]
 
@@ -45,4 +68,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+#: Null: SQL cannot express the toxicity model.
 ORACLE_SQL = None
