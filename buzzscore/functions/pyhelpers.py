@@ -14,6 +14,8 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
 try:  # ship this module's functions by value to Python workers
     from pyspark import cloudpickle as _cp
@@ -58,46 +60,76 @@ def fold_series(s: pd.Series) -> pd.Series:
     return s.map(lambda x: fold_text(x) if isinstance(x, str) else None)
 
 
-def gram_partials(n_terms: int, flush_pairs: int = 4_000_000):
-    """Build a ``mapInPandas`` function that sums ``x xᵀ`` over documents.
+def _sparse_rows(terms: pa.Array, vocabulary: pa.Array, idf: np.ndarray):
+    """``(row, id, weight)`` of the vocabulary terms in a list array of (term, tf), rows of length 1."""
+    offsets = terms.offsets.to_numpy()
+    flat = terms.values.slice(offsets[0], offsets[-1] - offsets[0])
+    ids = pc.fill_null(pc.index_in(flat.field("term"), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(len(terms)), np.diff(offsets))
+    known = ids >= 0
+    rows, ids = rows[known], ids[known]
+    w = flat.field("tf").to_numpy(zero_copy_only=False)[known] * idf[ids]
+    norm = np.sqrt(np.bincount(rows, w * w, minlength=len(terms)))
+    return rows, ids, w / norm[rows]
 
-    Input batches carry one row per document: ``term_ids`` (array<int>) and
-    ``weights`` (array<double>, already L2-normalised).  Work is sparse: each
-    document adds its nnz² outer-product cells, folded into a flat F·F
-    accumulator with ``np.bincount`` every ``flush_pairs`` cells.  Each task
-    emits its partial upper-triangle Gram matrix as ``(i, j, g)`` rows, at
-    most ``n_terms·(n_terms+1)/2`` of them whatever the number of documents.
+
+def weigh_terms(vocabulary: list[str], idf: np.ndarray):
+    """Arrow UDF: ``terms`` -> the normalised TF-IDF row as term ids and weights."""
+
+    def run(terms: pa.Array) -> pa.Array:
+        rows, ids, x = _sparse_rows(terms, pa.array(vocabulary, pa.string()), idf)
+        ends = np.cumsum(np.bincount(rows, minlength=len(terms)))
+        offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (ids.astype(np.int32), x)]
+        return pa.StructArray.from_arrays(lists, ["term_ids", "weights"])
+
+    return run
+
+
+def project_terms(vocabulary: list[str], idf: np.ndarray, components: np.ndarray):
+    """Arrow UDF: ``terms`` -> the normalised TF-IDF row times V; zeros without a vocabulary term."""
+
+    def run(terms: pa.Array) -> pa.Array:
+        rows, ids, x = _sparse_rows(terms, pa.array(vocabulary, pa.string()), idf)
+        out = np.zeros((len(terms), components.shape[1]))
+        first = np.flatnonzero(np.diff(rows, prepend=-1))
+        if len(first):
+            out[rows[first]] = np.add.reduceat(x[:, None] * components[ids], first, axis=0)
+        offsets = pa.array((np.arange(len(terms) + 1) * out.shape[1]).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
+
+    return run
+
+
+def gram_partials(n_terms: int, block: int = 512):
+    """``mapInArrow`` function that sums ``x xᵀ`` over documents.
+
+    Rows carry ``term_ids`` and ``weights`` (already L2-normalised).  A block of
+    rows becomes one dense matrix and one matrix product; a task holds that
+    and the sum, and emits the non-zero cells of the upper triangle as
+    ``(i, j, g)`` rows.
     """
-    size = n_terms * n_terms
 
     def run(batches):
-        acc = np.zeros(size, dtype=np.float64)
-        idx_parts, val_parts, pending = [], [], 0
-        seen = False
-        for pdf in batches:
-            for ids, wts in zip(pdf["term_ids"], pdf["weights"]):
-                if ids is None or len(ids) == 0:
-                    continue
-                ids = np.asarray(ids, dtype=np.int64)
-                wts = np.asarray(wts, dtype=np.float64)
-                idx_parts.append((ids[:, None] * n_terms + ids[None, :]).ravel())
-                val_parts.append(np.outer(wts, wts).ravel())
-                pending += len(ids) * len(ids)
+        gram, seen = np.zeros((n_terms, n_terms)), False
+        for batch in batches:
+            lists = batch.column(0)
+            offsets = lists.offsets.to_numpy()
+            ids = lists.values.to_numpy(zero_copy_only=False)
+            weights = batch.column(1).values.to_numpy(zero_copy_only=False)
+            for s in range(0, len(lists), block):
+                e = min(s + block, len(lists))
+                at = slice(offsets[s], offsets[e])
+                x = np.zeros((e - s, n_terms))
+                x[np.repeat(np.arange(e - s), np.diff(offsets[s : e + 1])), ids[at]] = weights[at]
+                gram += x.T @ x
                 seen = True
-                if pending >= flush_pairs:
-                    acc += np.bincount(
-                        np.concatenate(idx_parts), np.concatenate(val_parts), minlength=size
-                    )
-                    idx_parts, val_parts, pending = [], [], 0
-        if pending:
-            acc += np.bincount(np.concatenate(idx_parts), np.concatenate(val_parts), minlength=size)
         if not seen:
             return
-        gram = acc.reshape(n_terms, n_terms)
         iu, ju = np.triu_indices(n_terms)
         g = gram[iu, ju]
         keep = g != 0.0
-        yield pd.DataFrame(
+        yield pa.RecordBatch.from_pydict(
             {"i": iu[keep].astype(np.int32), "j": ju[keep].astype(np.int32), "g": g[keep]}
         )
 
@@ -160,3 +192,22 @@ def merge_moments(parts, n_cols: int):
         mean = mean + delta * (pn / tot)
         n = tot
     return n, mean, m2
+
+
+def merge_partials(n_cols: int):
+    """``applyInPandas`` function: the moments of a group of tasks as one row."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        n, mean, m2 = merge_moments(zip(pdf["n"], pdf["mean"], pdf["m2"]), n_cols)
+        return pd.DataFrame(
+            {
+                "n": [n],
+                "mean": [mean.tolist()],
+                "m2": [m2.ravel().tolist()],
+                "vmin": [pdf["vmin"].min()],
+                "vmax": [pdf["vmax"].max()],
+            }
+        )
+
+    return run

@@ -32,19 +32,20 @@ def parse_timestamp(c: Column, formats: Sequence[str] = DEFAULT_TIMESTAMP_FORMAT
     return F.coalesce(*tries)
 
 
-def to_double_or_zero(c: Column, dtype=None) -> Column:
-    """Numeric coercion: unparseable or missing -> 0.0; never NaN."""
+def to_double(c: Column, dtype=None) -> Column:
+    """Numeric coercion: unparseable or NaN -> null."""
     if dtype is not None and isinstance(dtype, NumericType):
         v = c.cast("double")
     else:
         s = c.cast(StringType())
         v = F.when(s.rlike(NUMBER_PATTERN), F.trim(s).try_cast("double"))
-    return F.coalesce(F.nanvl(v, F.lit(None).cast("double")), F.lit(0.0))
+    return nan_to_null(v)
 
 
-def nan_to_null(c: Column) -> Column:
-    return F.nanvl(c, F.lit(None).cast("double"))
+def to_double_or_zero(c: Column, dtype=None) -> Column:
+    """Numeric coercion: unparseable or missing -> 0.0; never NaN."""
+    return F.coalesce(to_double(c, dtype), F.lit(0.0))
 
 
-def safe_divide(a: Column, b: Column) -> Column:
-    return F.try_divide(a, b)
+def nan_to_null(c: Column) -> Column:
+    return F.nanvl(c, F.lit(None).cast("double"))

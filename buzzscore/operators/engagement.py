@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import FractionalType, NumericType
 
-from buzzscore.functions.values import to_double_or_zero
+from buzzscore.functions.values import nan_to_null, to_double_or_zero
 from buzzscore.operators.stats import as_literals, collect_stats, zscore
 from buzzscore.schema import METRICS
 
@@ -24,6 +24,8 @@ def coerce_metrics(df: DataFrame) -> DataFrame:
     for m in METRICS:
         if m not in types:
             out[m] = F.lit(0).cast("bigint")
+        elif isinstance(types[m], FractionalType):
+            out[m] = to_double_or_zero(F.col(m), types[m])  # NaN is missing, too
         elif isinstance(types[m], NumericType):
             out[m] = F.coalesce(F.col(m), F.lit(0).cast(types[m]))
         else:
@@ -44,6 +46,10 @@ def _with_viral(df: DataFrame, strict: bool, weights) -> DataFrame:
         missing = [m for m in METRICS if m not in df.columns]
         if missing:
             raise ValueError(f"missing metric columns: {missing}")
+        # a NaN is left out of the fits and gives no score, like a null
+        types = {f.name: f.dataType for f in df.schema.fields}
+        floats = [m for m in METRICS if isinstance(types[m], FractionalType)]
+        df = df.withColumns({m: nan_to_null(F.col(m).cast("double")) for m in floats})
     else:
         df = coerce_metrics(df)
     return df.withColumn("viral_score", viral_score(weights))

@@ -2,14 +2,13 @@
 
 X is the n x F matrix of L2-normalised TF-IDF rows (not centred).  Its right
 singular vectors are the eigenvectors of the Gram matrix G = XᵀX, which is
-F x F whatever n is.  G is summed in one pass: each task folds its documents'
-sparse outer products into a partial (``mapInPandas``, ``np.bincount``) and
-emits at most F(F+1)/2 non-zero cells; a ``groupBy`` adds the partials.  The
-driver only sees the summed F x F matrix and runs ``eigh`` on it.
-
-Features of any post are then X·V: exploded vocabulary terms joined to the
-broadcast ``(term, idf, v[0..k-1])`` table and summed per post — a map-side
-combined aggregation, one row per post through the shuffle.
+F x F whatever n is.  G is summed in one pass: each task multiplies blocks of
+its documents' rows and emits at most F(F+1)/2 non-zero cells; a ``groupBy``
+adds the partials.  The driver only sees the summed F x F matrix and runs
+``eigh`` on it.
+
+Features of any post are then X·V, computed in the row from its own terms; the
+vocabulary and V (at most ``max_features`` rows) travel with the function.
 """
 
 from __future__ import annotations
@@ -23,56 +22,27 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buzzscore.functions.pyhelpers import gram_partials
+from buzzscore.functions.pyhelpers import gram_partials, project_terms
 from buzzscore.operators.tfidf import TfidfParams, Vocabulary
 
 MAX_COMPONENTS = 20
 RELATIVE_RANK_TOL = 1e-6
 
 
-def doc_vectors(weighted: DataFrame) -> DataFrame:
-    """One row per post: sorted vocabulary ids and L2-normalised weights.
-
-    A post has at most ``max_features`` entries, so the per-post list is
-    bounded."""
-    per_doc = weighted.groupBy("post_id").agg(
-        F.sort_array(F.collect_list(F.struct("term_id", "w"))).alias("_e"),
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"),
-    )
-    return per_doc.select(
-        "post_id",
-        F.transform("_e", lambda e: e["term_id"]).alias("term_ids"),
-        F.transform("_e", lambda e: e["w"] / F.col("_norm")).alias("weights"),
-    )
-
-
-MAX_PARTIAL_GRAMS = 1024
+#: Posts whose outer products one task sums up.
 POSTS_PER_PARTIAL = 2_500
 
 
-def gram_matrix(
-    vectors: DataFrame,
-    n_terms: int,
-    n_docs: int | None = None,
-    max_partials: int = MAX_PARTIAL_GRAMS,
-) -> DataFrame:
-    """Upper-triangle cells ``(i, j, g)`` of XᵀX (non-zero cells only).
-
-    Each task emits up to F(F+1)/2 cells, so the number of partial matrices
-    follows the number of posts (one per ``POSTS_PER_PARTIAL``), capped at
-    ``max_partials``.  The per-post vectors come out of a shuffle, so the
-    ``coalesce`` only merges that cheap read stage, never the upstream
-    tokenising tasks.  The shuffle into the final sum is at most
-    ``max_partials · F(F+1)/2`` rows whatever the number of posts.
+def gram_matrix(vectors: DataFrame, n_terms: int, n_docs: int) -> DataFrame:
+    """Upper-triangle cells ``(i, j, g)`` of XᵀX (non-zero cells only), from the
+    rows' ``term_ids`` and ``weights``.
+
+    Each task emits up to F(F+1)/2 cells, so the sparse rows (small: at most F
+    entries) are dealt to one task per ``POSTS_PER_PARTIAL`` posts, however
+    many that are; a ``groupBy`` adds the partial sums.
     """
-    target = max_partials
-    if n_docs is not None:
-        target = min(max_partials, max(1, -(-n_docs // POSTS_PER_PARTIAL)))
-    if vectors.rdd.getNumPartitions() > target:
-        vectors = vectors.coalesce(target)
-    partial = vectors.select("term_ids", "weights").mapInPandas(
-        gram_partials(n_terms), "i int, j int, g double"
-    )
+    dealt = vectors.select("term_ids", "weights").repartition(max(1, -(-n_docs // POSTS_PER_PARTIAL)))
+    partial = dealt.mapInArrow(gram_partials(n_terms), "i int, j int, g double")
     return partial.groupBy("i", "j").agg(F.sum("g").alias("g"))
 
 
@@ -188,41 +158,29 @@ class TextModel:
         return cls(vocab, comps, np.asarray(meta["singular_values"]), params)
 
 
-def project(terms: DataFrame, model: TextModel, spark: SparkSession) -> DataFrame:
-    """``(post_id, text_feature_1..k)`` = normalised TF-IDF row · V.
+def add_features(df: DataFrame, model: TextModel, terms_col: str = "terms") -> DataFrame:
+    """Replace ``terms`` by ``text_feature_1..k`` = normalised TF-IDF row · V.
 
-    Posts without any vocabulary term produce no row here; callers left-join
-    and fill 0.
+    Computed in the row: no join and no shuffle, whatever ids the rows have.
+    Posts without any vocabulary term get zeros.
     """
-    table = F.broadcast(model.table(spark))
-    j = terms.join(table, "term").select(
-        "post_id", (F.col("tf") * F.col("idf")).alias("w"), "v"
-    )
-    aggs = [F.sum(F.col("w") * F.col("w")).alias("_nn")]
-    aggs += [F.sum(F.col("w") * F.col("v")[c]).alias(f"_p{c}") for c in range(model.k)]
-    sums = j.groupBy("post_id").agg(*aggs)
-    norm = F.sqrt(F.col("_nn"))
-    return sums.select(
-        "post_id",
-        *[(F.col(f"_p{c}") / norm).alias(f"text_feature_{c + 1}") for c in range(model.k)],
-    )
+    table = model.vocab.table
+    run = project_terms(table["term"].tolist(), table["idf"].to_numpy(), model.components)
+    keep = [c for c in df.columns if c != terms_col]
+    out = df.withColumn("_f", F.arrow_udf(run, "array<double>")(F.col(terms_col)))
+    return out.select(*keep, *[F.col("_f")[c].alias(name) for c, name in enumerate(feature_names(model.k))])
 
 
 def feature_names(k: int) -> list[str]:
     return [f"text_feature_{c + 1}" for c in range(k)]
 
 
-def zero_fill(df: DataFrame, k: int) -> DataFrame:
-    return df.fillna(0.0, subset=feature_names(k))
-
-
 __all__ = [
     "TextModel",
+    "add_features",
     "collect_gram",
     "components_from_gram",
-    "doc_vectors",
+    "feature_names",
     "gram_matrix",
     "n_components_for",
-    "project",
-    "pd",
 ]

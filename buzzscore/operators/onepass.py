@@ -6,8 +6,8 @@ component (mean of the top-variance features) and the composite itself.  So
 one pass — means, the sample covariance matrix C of x and the viral min/max —
 gives every mean and σ in closed form: var(aᵀx) = aᵀ C a.  Each task folds its rows into (count,
 mean, centred co-moment matrix) with numpy (``mapInPandas``, pairwise
-merges, numerically stable); the driver merges at most 256 such rows of
-(k+3)² numbers — fixed size, independent of the row count.  That replaces
+merges, numerically stable); groups of 64 tasks are merged again, and the
+driver merges the rest, (k+3)² numbers each.  That replaces
 four sequential passes over the table with one.  It assumes no nulls (true
 after tolerant coercion and zero-filled features); the result plugs into the frozen-apply
 path of ``add_engagement(stats=...)`` / ``add_composite(frozen=...)``.
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buzzscore.functions.pyhelpers import merge_moments, moment_partials
+from buzzscore.functions.pyhelpers import merge_moments, merge_partials, moment_partials
 from buzzscore.operators.engagement import VIRAL_WEIGHTS
 from buzzscore.operators.scoring import COMPONENT_WEIGHTS, TOP_FEATURES, feature_columns
 from buzzscore.schema import METRICS
@@ -30,7 +30,8 @@ from buzzscore.schema import METRICS
 # A variance below this fraction of the magnitude of its terms is rounding
 # noise of a quantity that is exactly constant.
 RELATIVE_ZERO = 1e-12
-MAX_PARTIALS = 256
+#: Tasks whose moments are merged before they come to the driver.
+MERGED_TASKS = 64
 
 
 def _quad(a: np.ndarray, c: np.ndarray) -> float:
@@ -50,13 +51,13 @@ def fit_scoring_stats(
     cols = feats + list(METRICS)
     m = len(cols)
     narrow = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    if narrow.rdd.getNumPartitions() > MAX_PARTIALS:
-        narrow = narrow.coalesce(MAX_PARTIALS)
     weights_v = [float(viral_weights[name]) for name in METRICS]
-    parts = narrow.mapInPandas(
-        moment_partials(m, weights_v),
-        "n long, mean array<double>, m2 array<double>, vmin double, vmax double",
-    ).collect()  # one small row per task (at most MAX_PARTIALS)
+    moments = "n long, mean array<double>, m2 array<double>, vmin double, vmax double"
+    each = narrow.mapInPandas(moment_partials(m, weights_v), moments)  # one small row per task
+    each = each.withColumn("part", F.spark_partition_id())
+    # two levels: the driver merges one row per MERGED_TASKS tasks
+    groups = each.groupBy(F.floor(F.col("part") / MERGED_TASKS).alias("g"))
+    parts = groups.applyInPandas(merge_partials(m), moments).collect()
     n, mu, m2 = merge_moments([(p["n"], p["mean"], p["m2"]) for p in parts], m)
     cov = m2 / (n - 1) if n > 1 else np.zeros((m, m))
     row = {

@@ -1,8 +1,7 @@
 """Composite score, confidence and the five-way classification.
 
-Global statistics are lazy scalar subqueries (see ``operators.stats``); the
-only driver action is the variance ranking that picks the top text features,
-which returns one row.
+Global statistics are collected eagerly (one row each, see ``operators.stats``)
+or given as ``frozen``.
 """
 
 from __future__ import annotations
@@ -72,7 +71,8 @@ def row_mean(cols: Sequence[str]) -> Column:
 
 
 def classify(s: Column, c: Column, t: Thresholds = Thresholds()) -> Column:
-    """First match wins; null score or confidence -> HOLD."""
+    """First match wins; null or NaN score or confidence -> HOLD."""
+    s, c = F.nanvl(s, F.lit(None).cast("double")), F.nanvl(c, F.lit(None).cast("double"))
     return (
         F.when((s > t.strong) & (c > t.strong_confidence), F.lit("STRONG_BUY"))
         .when((s > t.weak) & (c > t.weak_confidence), F.lit("BUY"))

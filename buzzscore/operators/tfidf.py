@@ -23,6 +23,7 @@ from pyspark.ml.feature import NGram, StopWordsRemover
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from buzzscore.functions.pyhelpers import weigh_terms
 from buzzscore.functions.text import fold_accents, spark_stop_words, tokenize
 
 # Largest vocabulary that is collected to the driver and broadcast.  The SVD
@@ -50,12 +51,14 @@ def _count_threshold(value: float, n_docs: int) -> float:
     return float(value) * n_docs
 
 
-def doc_terms(df: DataFrame, params: TfidfParams, id_col: str = "post_id", text_col: str = "content") -> DataFrame:
-    """``(post_id, term, tf)``: raw counts of unigrams and bigrams per post."""
+def with_terms(df: DataFrame, params: TfidfParams, text_col: str = "content", terms_col: str = "terms") -> DataFrame:
+    """Add ``terms``: each post's distinct unigrams and bigrams with their counts,
+    sorted, as ``array<struct<term, tf>>``.  Nothing leaves the row."""
+    keep = df.columns
     text = F.coalesce(F.col(text_col), F.lit(""))
     prepped = fold_accents(text) if params.accent_fold else F.lower(text)
-    base = df.select(F.col(id_col).alias("post_id"), prepped.alias("_text"))
-    base = base.select("post_id", tokenize(F.col("_text")).alias("_tokens"))
+    base = df.withColumn("_text", prepped)
+    base = base.select(*keep, tokenize(F.col("_text")).alias("_tokens"))
     kept = StopWordsRemover(
         inputCol="_tokens", outputCol="_kept", stopWords=list(params.stop_words), caseSensitive=True
     ).transform(base)
@@ -67,7 +70,7 @@ def doc_terms(df: DataFrame, params: TfidfParams, id_col: str = "post_id", text_
     # Sorted term array, then run starts: positions where the value changes.
     # sort_array uses the native string ordering (array_sort plans a lambda
     # comparator that is interpreted per comparison).
-    sorted_terms = kept.select("post_id", F.sort_array(terms).alias("_s"))
+    sorted_terms = kept.select(*keep, F.sort_array(terms).alias("_s"))
     starts = sorted_terms.withColumn(
         "_starts",
         F.expr(
@@ -75,21 +78,29 @@ def doc_terms(df: DataFrame, params: TfidfParams, id_col: str = "post_id", text_
             "filter(sequence(1, size(_s)), i -> i = 1 OR element_at(_s, i) != element_at(_s, i - 1)) END"
         ),
     )
-    runs = starts.select(
-        "post_id",
+    return starts.select(
+        *keep,
         F.expr(
             "transform(_starts, (st, k) -> named_struct("
             "'term', element_at(_s, st), "
-            "'tf', coalesce(try_element_at(_starts, k + 2), size(_s) + 1) - st))"
-        ).alias("_runs"),
+            "'tf', CAST(coalesce(try_element_at(_starts, k + 2), size(_s) + 1) - st AS bigint)))"
+        ).alias(terms_col),
     )
+
+
+def exploded_terms(df: DataFrame, id_col: str = "post_id", terms_col: str = "terms") -> DataFrame:
+    """``(post_id, term, tf)`` of a frame that has ``terms``."""
     # inline_outer, then drop the empty-post row: a plain inline makes
-    # Catalyst infer ``size(_runs) > 0`` and push that filter below the
+    # Catalyst infer ``size(terms) > 0`` and push that filter below the
     # projections, re-running the whole per-row pipeline inside it.
-    out = runs.select("post_id", F.inline_outer("_runs"))
-    return out.filter(F.col("term").isNotNull()).select(
-        "post_id", "term", F.col("tf").cast("bigint").alias("tf")
-    )
+    out = df.select(F.col(id_col).alias("post_id"), F.inline_outer(terms_col))
+    return out.filter(F.col("term").isNotNull()).select("post_id", "term", "tf")
+
+
+def doc_terms(df: DataFrame, params: TfidfParams, id_col: str = "post_id", text_col: str = "content") -> DataFrame:
+    """``(post_id, term, tf)``: raw counts of unigrams and bigrams per post."""
+    narrow = df.select(F.col(id_col).alias("post_id"), F.col(text_col).alias("content"))
+    return exploded_terms(with_terms(narrow, params))
 
 
 @dataclass
@@ -150,15 +161,16 @@ def weighted_terms(terms: DataFrame, vocab_df: DataFrame) -> DataFrame:
     )
 
 
+def row_vectors(df: DataFrame, vocab: Vocabulary, terms_col: str = "terms") -> DataFrame:
+    """Add ``term_ids`` and ``weights``: the L2-normalised TF-IDF row of each post,
+    from its ``terms`` alone (vocabulary terms only, by id; none: empty arrays)."""
+    kind = "struct<term_ids:array<int>,weights:array<double>>"
+    weigh = F.arrow_udf(weigh_terms(vocab.table["term"].tolist(), vocab.table["idf"].to_numpy()), kind)
+    out = df.withColumn("_v", weigh(F.col(terms_col)))
+    return out.select(*df.columns, "_v.term_ids", "_v.weights")
+
+
 def normalized_weights(weighted: DataFrame) -> DataFrame:
     """Add ``x = w / ||w||₂`` per post (posts without terms have no rows)."""
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("post_id")))
     return weighted.withColumn("x", F.col("w") / norm)
-
-
-def count_docs(df: DataFrame) -> int:
-    return df.count()
-
-
-def idf_formula(n_docs: int, df: int) -> float:
-    return math.log((1.0 + n_docs) / (1.0 + df)) + 1.0

@@ -2,12 +2,10 @@
 
 Scale notes:
 * cleaning is one Arrow-UDF projection plus one shuffle (the dedup);
-* scoring computes text features on a narrow ``(post_id, metrics,
-  features)`` table, cuts its lineage with ``checkpoint()`` (reliable, into
-  the cluster's ``spark.checkpoint.dir``) so the statistics pass re-reads a
-  small table instead of re-tokenising, gets every statistic from one
-  aggregation (closed form, tolerant path) and joins the scores back to
-  the posts on ``post_id`` at the end.
+* the cleaned posts and their terms are written once, as Parquet in the shared
+  folder; vocabulary, Gram matrix and statistics read the columns they need;
+* features, engagement, composite and label are one projection over that
+  table: no join and no shuffle after the dedup.
 """
 
 from __future__ import annotations
@@ -15,38 +13,24 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from buzzscore.operators.clean import clean_posts, cleaning_stats
 from buzzscore.operators.engagement import add_engagement, coerce_metrics
-from buzzscore.operators.lsa import TextModel, zero_fill
+from buzzscore.operators.lsa import TextModel, feature_names
 from buzzscore.operators.onepass import fit_scoring_stats
 from buzzscore.operators.scoring import Thresholds, add_composite
 from buzzscore.operators.tfidf import TfidfParams
-from buzzscore.plans.text import DEFAULT_FIT_SAMPLE, fit_and_featurize, text_features
-from buzzscore.schema import ESSENTIAL, METRICS, fill_text_nulls
-from buzzscore.session import checkpoint_dir
+from buzzscore.plans.text import add_text_features, fit_and_featurize
+from buzzscore.schema import ESSENTIAL, fill_text_nulls
 from buzzscore.sources.sinks import write_posts
 
-SCORE_COLUMNS = (
-    "engagement_signal",
-    "viral_score",
-    "viral_score_norm",
-    "text_component",
-    "composite_signal",
-    "signal_confidence",
-    "trading_signal",
-)
-
-
 @dataclass
 class ScoringConfig:
     strict: bool = False
     tfidf: TfidfParams = field(default_factory=TfidfParams)
-    fit_sample: int | None = DEFAULT_FIT_SAMPLE
+    fit_sample: int | None = None  # fit on every post, unless a sample is asked for
     seed: int = 42
     thresholds: Thresholds = field(default_factory=Thresholds)
-    checkpoint: bool = True
     one_pass: bool = True  # tolerant path: all statistics from one aggregation
 
 
@@ -66,13 +50,15 @@ def run_cleaning(raw: DataFrame, output_path: str | None = None, fmt: str = "par
 def run_scoring(
     posts: DataFrame, config: ScoringConfig | None = None, model: TextModel | None = None
 ) -> tuple[DataFrame, TextModel]:
-    """Score cleaned posts.  Returns ``(scored posts, text model)``."""
+    """Score cleaned posts.  Returns ``(scored posts, text model)``.
+
+    Every row is scored by itself, so null or repeated ids are no problem.
+    """
     config = config or ScoringConfig()
     if not config.strict:
         posts = fill_text_nulls(coerce_metrics(posts))
-    cached = None
     if model is None:
-        model, feats, cached = fit_and_featurize(
+        model, featured = fit_and_featurize(
             posts,
             config.tfidf,
             strict=config.strict,
@@ -80,27 +66,21 @@ def run_scoring(
             seed=config.seed,
         )
     else:
-        feats = text_features(posts, model)
-    narrow = zero_fill(posts.select("post_id", *METRICS).join(feats, "post_id", "left"), model.k)
-    if config.checkpoint:
-        checkpoint_dir(posts.sparkSession)
-        narrow = narrow.checkpoint(eager=True)
-        if cached is not None:
-            cached.unpersist()  # the features now live in the checkpoint
+        featured = add_text_features(posts, model)
+    names = feature_names(model.k)
     if config.one_pass and not config.strict:
-        eng, frozen = fit_scoring_stats(narrow)
+        eng, frozen = fit_scoring_stats(featured, names)
         scored = add_composite(
-            add_engagement(narrow, stats=eng), thresholds=config.thresholds, frozen=frozen
+            add_engagement(featured, stats=eng), names, thresholds=config.thresholds, frozen=frozen
         )
     else:
         scored = add_composite(
-            add_engagement(narrow, strict=config.strict),
+            add_engagement(featured, strict=config.strict),
+            names,
             strict=config.strict,
             thresholds=config.thresholds,
         )
-    keep = ["post_id", *[c for c in scored.columns if c.startswith("text_feature_")], *SCORE_COLUMNS]
-    out = posts.join(scored.select(*keep), "post_id")
-    return out, model
+    return scored, model
 
 
 def signals(scored: DataFrame) -> DataFrame:
@@ -109,14 +89,7 @@ def signals(scored: DataFrame) -> DataFrame:
 
 def run_all(raw: DataFrame, config: ScoringConfig | None = None) -> tuple[DataFrame, TextModel]:
     """Raw posts -> cleaned -> scored (all columns)."""
-    config = config or ScoringConfig()
-    clean = clean_posts(raw)
-    if config.checkpoint:
-        # Cleaned posts feed the fit sample, the features and the final join:
-        # materialise them once in the shared checkpoint folder.
-        checkpoint_dir(raw.sparkSession)
-        clean = clean.checkpoint(eager=True)
-    return run_scoring(clean, config)
+    return run_scoring(clean_posts(raw), config or ScoringConfig())
 
 
-__all__ = ["ScoringConfig", "run_cleaning", "run_scoring", "run_all", "signals", "F"]
+__all__ = ["ScoringConfig", "run_cleaning", "run_scoring", "run_all", "signals"]

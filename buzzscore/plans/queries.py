@@ -14,14 +14,15 @@ from pyspark.sql.types import DoubleType, TimestampType
 
 from buzzscore.operators import clean as C
 from buzzscore.operators.collect import collect_recent
-from buzzscore.operators.engagement import add_engagement
-from buzzscore.operators.lsa import doc_vectors, feature_names, gram_matrix, zero_fill
+from buzzscore.operators.engagement import add_engagement, coerce_metrics
+from buzzscore.operators.lsa import feature_names, gram_matrix
+from buzzscore.operators.onepass import fit_scoring_stats
 from buzzscore.operators.tfidf import (
     TfidfParams,
-    doc_terms,
+    exploded_terms,
     fit_vocabulary,
-    normalized_weights,
-    weighted_terms,
+    row_vectors,
+    with_terms,
 )
 from buzzscore.operators.reports import (
     histogram,
@@ -36,7 +37,7 @@ from buzzscore.plans.pipeline import ScoringConfig, run_all, signals
 from buzzscore.plans.text import fit_and_featurize
 from buzzscore.sources.sinks import essential, write_posts
 from buzzscore.schema import RAW_POST, conform, fill_text_nulls
-from buzzscore.session import prepare, scratch_path
+from buzzscore.session import prepare, scratch_path, written
 from buzzscore.sources.posts import documents_as_posts, posts_from_testdata, read_posts, tagged_events
 
 ROUND = 6
@@ -142,32 +143,35 @@ def _docs(spark, sf_dir):
 
 
 def _vocab(spark, sf_dir, params=None):
-    docs = _docs(spark, sf_dir)
+    """The documents' terms, written once, and the vocabulary."""
     params = params or TfidfParams()
-    terms = doc_terms(docs, params)
-    return docs, terms, fit_vocabulary(terms, docs.count(), params)
+    rows = written(with_terms(_docs(spark, sf_dir), params).drop("content"), "terms")
+    return rows, fit_vocabulary(exploded_terms(rows), rows.count(), params)
 
 
 def q_vocabulary(spark, sf_dir):
-    _, _, vocab = _vocab(spark, sf_dir)
+    _, vocab = _vocab(spark, sf_dir)
     return vocab.to_spark(spark).select("term", "term_id", "df", "cf")
 
 
 def q_idf_table(spark, sf_dir):
-    _, _, vocab = _vocab(spark, sf_dir)
+    _, vocab = _vocab(spark, sf_dir)
     return finalize(vocab.to_spark(spark).select("term", "idf"))
 
 
 def q_tfidf_weights(spark, sf_dir):
-    _, terms, vocab = _vocab(spark, sf_dir)
-    w = normalized_weights(weighted_terms(terms, vocab.to_spark(spark)))
-    return finalize(w.select(F.col("post_id").alias("doc_id"), "term", F.col("x").alias("weight")))
+    rows, vocab = _vocab(spark, sf_dir)
+    vectors = row_vectors(rows, vocab).select("post_id", F.arrays_zip("term_ids", "weights").alias("e"))
+    cells = vectors.select("post_id", F.explode("e").alias("e")).select(
+        F.col("post_id").alias("doc_id"), F.col("e.term_ids").alias("term_id"), F.col("e.weights").alias("weight")
+    )
+    names = F.broadcast(vocab.to_spark(spark).select("term_id", "term"))  # at most max_features rows
+    return finalize(cells.join(names, "term_id").select("doc_id", "term", "weight"))
 
 
 def q_tfidf_gram(spark, sf_dir):
-    _, terms, vocab = _vocab(spark, sf_dir)
-    vectors = doc_vectors(weighted_terms(terms, vocab.to_spark(spark)))
-    g = gram_matrix(vectors, vocab.size, vocab.n_docs)
+    rows, vocab = _vocab(spark, sf_dir)
+    g = gram_matrix(row_vectors(rows, vocab), vocab.size, vocab.n_docs)
     return finalize(
         g.select(
             F.col("i").alias("term_id_i"), F.col("j").alias("term_id_j"), F.col("g").alias("gram")
@@ -176,9 +180,7 @@ def q_tfidf_gram(spark, sf_dir):
 
 
 def q_text_features(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    model, feats, _ = fit_and_featurize(docs)  # term cache lives with the result
-    feats = zero_fill(docs.select("post_id").join(feats, "post_id", "left"), model.k)
+    model, feats = fit_and_featurize(_docs(spark, sf_dir))
     return finalize(
         feats.select(F.col("post_id").alias("doc_id"), *feature_names(model.k))
     )
@@ -214,9 +216,11 @@ def fixture_features(posts, documents):
 def scored_fixture(spark, sf_dir, day_grain=True):
     posts = _clean(spark, sf_dir, day_grain)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    # The statistics passes re-read this table: cut the lineage once.
-    featured = fixture_features(posts, docs).checkpoint(eager=True)
-    return add_composite(add_engagement(featured))
+    # The statistics pass and the result read this table, each its columns.
+    featured = written(fixture_features(posts, docs), "featured")
+    names = feature_columns(featured)
+    eng, frozen = fit_scoring_stats(coerce_metrics(featured), names)
+    return add_composite(add_engagement(featured, stats=eng), names, frozen=frozen)
 
 
 def q_top_features(spark, sf_dir):
@@ -281,7 +285,7 @@ def q_csv_roundtrip(spark, sf_dir):
     raw = _raw(spark, sf_dir)
     path = scratch_path(spark, f"csv-roundtrip-{uuid.uuid4().hex}")
     write_posts(raw, path, fmt="csv")
-    return finalize(C.clean_posts(read_posts(spark, path, fmt="csv")))
+    return finalize(C.clean_posts(read_posts(spark, path, fmt="csv", schema=RAW_POST)))
 
 
 def q_signals_strict(spark, sf_dir):
@@ -289,6 +293,6 @@ def q_signals_strict(spark, sf_dir):
     posts; with no degenerate statistics here it must equal ``signals``."""
     posts = _clean(spark, sf_dir)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    featured = fixture_features(posts, docs).checkpoint(eager=True)
+    featured = written(fixture_features(posts, docs), "featured")
     scored = add_composite(add_engagement(featured, strict=True), strict=True)
     return finalize(essential(scored))

@@ -1,74 +1,53 @@
-"""Fit a text model on (a sample of) posts and add text features to posts."""
+"""Fit a text model on posts and add text features to posts."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from buzzscore.operators.lsa import (
     MAX_COMPONENTS,
     TextModel,
+    add_features,
     collect_gram,
     components_from_gram,
-    doc_vectors,
     feature_names,
     gram_matrix,
     n_components_for,
-    project,
-    zero_fill,
 )
 from buzzscore.operators.sampling import DEFAULT_SEED, exact_sample
-from buzzscore.operators.tfidf import (
-    TfidfParams,
-    doc_terms,
-    fit_vocabulary,
-    weighted_terms,
-)
-
-DEFAULT_FIT_SAMPLE = 10_000
+from buzzscore.operators.tfidf import TfidfParams, exploded_terms, fit_vocabulary, row_vectors, with_terms
+from buzzscore.session import written
 
 
 def fit_text_model(
     posts: DataFrame,
     params: TfidfParams | None = None,
     strict: bool = False,
-    sample_size: int | None = DEFAULT_FIT_SAMPLE,
+    sample_size: int | None = None,
     seed: int = DEFAULT_SEED,
     n_components: int = MAX_COMPONENTS,
 ) -> TextModel:
-    """Vocabulary + idf + SVD components.
+    """Vocabulary + idf + SVD components, fitted on every post.
 
-    Tolerant (default): fit on a deterministic sample of ``sample_size``
-    posts; strict: fit on every post.  Null content counts as ``''``.
+    Only if a ``sample_size`` is given (tolerant mode) is the model fitted on
+    that many posts, a seeded sample.  Null content counts as ``''``.
     """
     params = params or TfidfParams()
     fit_set = posts.select("post_id", "content")
-    n_docs = fit_set.count()
-    if not strict and sample_size is not None and n_docs > sample_size:
-        fit_set = exact_sample(fit_set, sample_size, seed, total=n_docs)
-        n_docs = min(n_docs, sample_size)
-    terms = doc_terms(fit_set, params).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return fit_from_terms(terms, n_docs, params, strict, n_components)
-    finally:
-        terms.unpersist()
+    if sample_size is not None and not strict:
+        fit_set = exact_sample(fit_set, sample_size, seed)
+    return fit_from_rows(written(with_terms(fit_set, params).drop("content"), "terms"), params, strict, n_components)
 
 
-def fit_from_terms(
-    terms: DataFrame,
-    n_docs: int,
-    params: TfidfParams,
-    strict: bool = False,
-    n_components: int = MAX_COMPONENTS,
+def fit_from_rows(
+    rows: DataFrame, params: TfidfParams, strict: bool = False, n_components: int = MAX_COMPONENTS
 ) -> TextModel:
-    """Fit from ``(post_id, term, tf)`` rows of the fit set (``n_docs`` posts)."""
-    spark = terms.sparkSession
-    vocab = fit_vocabulary(terms, n_docs, params)
-    weighted = weighted_terms(terms, vocab.to_spark(spark))
-    gram = collect_gram(gram_matrix(doc_vectors(weighted), vocab.size, n_docs), vocab.size)
-    k = n_components_for(vocab.size, strict, n_components)
-    v, sig = components_from_gram(gram, k)
+    """Fit on a written table of posts with their ``terms``."""
+    n_docs = rows.count()
+    vocab = fit_vocabulary(exploded_terms(rows), n_docs, params)
+    vectors = row_vectors(rows.select("terms"), vocab)
+    gram = collect_gram(gram_matrix(vectors, vocab.size, n_docs), vocab.size)
+    v, sig = components_from_gram(gram, n_components_for(vocab.size, strict, n_components))
     return TextModel(vocab, v, sig, params)
 
 
@@ -76,45 +55,29 @@ def fit_and_featurize(
     posts: DataFrame,
     params: TfidfParams | None = None,
     strict: bool = False,
-    sample_size: int | None = DEFAULT_FIT_SAMPLE,
+    sample_size: int | None = None,
     seed: int = DEFAULT_SEED,
     n_components: int = MAX_COMPONENTS,
-) -> tuple[TextModel, DataFrame, DataFrame | None]:
-    """Fit a model and compute ``(post_id, text_feature_*)`` for all posts.
+) -> tuple[TextModel, DataFrame]:
+    """``(model, posts with text_feature_1..k)``.
 
-    When the fit set is every post (strict mode, or fewer posts than the
-    sample size) the tokenised terms are computed once, cached, and serve
-    both the fit and the transform; otherwise the fit runs on the sample and
-    the transform tokenises every post once.  Returns ``(model, features,
-    cached)``: ``cached`` is the persisted term table (or None), to be
-    unpersisted by the caller once the features are materialised.
+    The posts and their terms are written once (tokenising and whatever made
+    the posts run once); the vocabulary, the Gram matrix and the features read
+    the columns that they need.  All rows and columns of ``posts`` come back,
+    also where ids are null or repeated.
     """
     params = params or TfidfParams()
-    n_posts = posts.count()
-    if strict or sample_size is None or n_posts <= sample_size:
-        terms = doc_terms(posts.select("post_id", "content"), params)
-        terms = terms.persist(StorageLevel.MEMORY_AND_DISK)
-        model = fit_from_terms(terms, n_posts, params, strict, n_components)
-        return model, project(terms, model, posts.sparkSession), terms
-    model = fit_text_model(posts, params, strict, sample_size, seed, n_components)
-    return model, text_features(posts, model), None
-
-
-def text_features(posts: DataFrame, model: TextModel) -> DataFrame:
-    """``(post_id, text_feature_1..k)`` for posts with at least one vocabulary term."""
-    terms = doc_terms(posts.select("post_id", "content"), model.params)
-    return project(terms, model, posts.sparkSession)
+    rows = written(with_terms(posts, params), "posts")
+    if sample_size is not None and not strict:
+        model = fit_text_model(posts, params, strict, sample_size, seed, n_components)
+    else:
+        model = fit_from_rows(rows, params, strict, n_components)
+    return model, add_features(rows, model)
 
 
 def add_text_features(posts: DataFrame, model: TextModel) -> DataFrame:
-    """Left-join the features on ``post_id``; posts without vocabulary terms
-    get zeros."""
-    feats = text_features(posts, model)
-    return zero_fill(posts.join(feats, "post_id", "left"), model.k)
-
-
-def drop_text_features(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith("text_feature_")])
+    """All rows and columns of ``posts`` and the model's features, in the row."""
+    return add_features(with_terms(posts, model.params), model)
 
 
-__all__ = ["fit_text_model", "text_features", "add_text_features", "feature_names", "F"]
+__all__ = ["fit_and_featurize", "fit_text_model", "add_text_features", "feature_names"]

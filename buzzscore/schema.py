@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
+    DoubleType,
     IntegerType,
     LongType,
     StringType,
@@ -13,7 +14,7 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
-from buzzscore.functions.values import to_double_or_zero
+from buzzscore.functions.values import to_double
 
 METRICS = ("retweets", "likes", "replies")
 SIGNAL_LABELS = ("STRONG_BUY", "BUY", "HOLD", "SELL", "STRONG_SELL")
@@ -34,6 +35,12 @@ RAW_POST = StructType(
     ]
 )
 
+# The same with metrics as doubles: what text formats are read as, since a
+# metric may be written as 5.0 or 6.5 there.
+TEXT_POST = StructType(
+    [StructField(f.name, DoubleType()) if f.name in METRICS else f for f in RAW_POST.fields]
+)
+
 # Cleaned post (storage schema): UTC timestamp plus the two derived columns.
 CLEAN_POST = StructType(
     [
@@ -79,7 +86,10 @@ def conform(
     * renames collector columns (``date`` -> ``timestamp``, ``user`` -> ``username``);
     * a missing ``timestamp`` is an error, other missing columns get defaults
       (metrics 0, text ``''``);
-    * present columns are ``try_cast`` to the declared type;
+    * present columns are ``try_cast`` to the declared type; a metric keeps its
+      value or is missing (12.7 and 1e30 are no bigint; use ``TEXT_POST``);
+    * a missing ``post_id`` becomes a hash of the row, the same however the
+      input is split: rows that are equal in every column share it;
     * ``coerce_metrics``: metrics that are unparseable or null become 0
       (numbers like ``'12.5f'`` count as unparseable);
     * ``default_signal``: add ``trading_signal='HOLD'`` where absent/null.
@@ -96,14 +106,25 @@ def conform(
     for field in schema.fields:
         name, dtype = field.name, field.dataType
         if name not in types:
-            if name in METRICS:
+            if name == "post_id":
+                value = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
+            elif name in METRICS:
                 value = F.lit(0).cast(dtype)
             elif isinstance(dtype, StringType):
                 value = F.lit("")
             else:
                 value = F.lit(None).cast(dtype)
+        elif name in METRICS and types[name] != dtype:
+            number = to_double(F.col(name), types[name])
+            if coerce_metrics:
+                number = F.coalesce(number, F.lit(0.0))
+            # a number that the type cannot hold exactly is missing, not cut
+            held = number.try_cast(dtype)
+            value = F.when(held.cast("double") == number, held)
+            if coerce_metrics:
+                value = F.coalesce(value, F.lit(0).cast(dtype))
         elif name in METRICS and coerce_metrics:
-            value = to_double_or_zero(F.col(name), types[name]).cast(dtype)
+            value = F.coalesce(F.nanvl(F.col(name), F.lit(None).cast(dtype)) if dtype == DoubleType() else F.col(name), F.lit(0).cast(dtype))
         elif types[name] == dtype:
             value = F.col(name)
         else:
@@ -118,21 +139,6 @@ def conform(
     return out
 
 
-def cast_losses(df: DataFrame, schema: StructType = RAW_POST) -> DataFrame:
-    """Per column, how many non-null values ``conform`` would turn into null."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    aggs = []
-    for field in schema.fields:
-        if field.name in types and types[field.name] != field.dataType:
-            c = F.col(field.name)
-            aggs.append(
-                F.count_if(c.isNotNull() & c.try_cast(field.dataType).isNull()).alias(field.name)
-            )
-    if not aggs:
-        return df.sparkSession.range(1).select(F.lit(0).alias("none"))
-    return df.agg(*aggs)
-
-
 def fill_text_nulls(df: DataFrame, columns=("content", "username")) -> DataFrame:
     """Tolerant load rule: null text becomes ``''``."""
     return df.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in columns if c in df.columns})

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from buzzscore.schema import RAW_POST, conform
+from buzzscore.schema import RAW_POST, TEXT_POST, conform
 
 # --- fixed values -----------------------------------------------------------
 # Strings read as missing in CSV input, besides the empty field.
@@ -24,44 +24,33 @@ def read_posts(
     spark: SparkSession,
     path: str,
     fmt: str = "csv",
-    schema: StructType = RAW_POST,
+    schema: StructType | None = None,
 ) -> DataFrame:
     """Read posts from CSV (header, quoted multi-line fields) or Parquet.
 
+    CSV columns go by the names in the header, in any order; collector names
+    (``date``, ``user``) are renamed, missing columns get ``conform``'s
+    defaults, and a header without a time column is an error.  Every value is
+    read as text and converted after that; metrics become doubles (``5.0`` and
+    ``6.5`` are numbers) unless ``schema`` says otherwise.
+
     CSV splits are the unit of parallelism; ``multiLine`` keeps each file in
     one split, so large inputs should come as many files (or as Parquet).
     """
     if fmt == "parquet":
-        return conform(spark.read.parquet(path), schema)
+        return conform(spark.read.parquet(path), schema or RAW_POST)
     if fmt != "csv":
         raise ValueError(f"unsupported format: {fmt}")
     df = (
-        spark.read.schema(schema)
-        .option("header", True)
+        spark.read.option("header", True)
+        .option("inferSchema", False)
         .option("multiLine", True)
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .csv(path)
     )
-    string_cols = [f.name for f in schema.fields if f.dataType.simpleString() == "string"]
-    for name in string_cols:
-        c = F.col(name)
-        df = df.withColumn(name, F.when(~c.isin(*CSV_MISSING), c))
-    return df
-
-
-def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Round-robin a text input over ``factor`` x the cores when the scan
-    yields fewer splits than that (e.g. one large file with few row groups).
-
-    Post lengths vary by orders of magnitude, so more, smaller tasks keep
-    the per-row text work balanced.  Inputs that already arrive in many
-    splits (the normal case for large tables) are left alone: no shuffle.
-    """
-    target = factor * df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    values = [F.when(~F.col(f"`{c}`").isin(*CSV_MISSING), F.col(f"`{c}`")).alias(c) for c in df.columns]
+    return conform(df.select(*values), schema or TEXT_POST)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -77,7 +66,7 @@ def posts_from_testdata(spark: SparkSession, sf_dir: str, day_grain: bool = True
     which creates (content, timestamp) duplicates; otherwise the full
     microsecond time is kept.
     """
-    docs = spread(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
     events = _read(spark, sf_dir, "events").select(
         "event_id", "ts", "user_id", "event_type", "value"
     )
@@ -117,7 +106,7 @@ def tagged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents_as_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` alone: ``post_id`` and ``content`` (text features input)."""
-    d = spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return d.select(F.col("doc_id").alias("post_id"), F.col("text").alias("content"))
 
 

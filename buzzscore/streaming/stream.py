@@ -26,9 +26,9 @@ from pyspark.sql.types import StructType
 
 from buzzscore.operators.clean import derive_quality, normalize_posts
 from buzzscore.operators.engagement import add_engagement, engagement_stats
-from buzzscore.operators.lsa import TextModel, zero_fill
+from buzzscore.operators.lsa import TextModel
 from buzzscore.operators.scoring import add_composite, composite_stats
-from buzzscore.plans.text import text_features
+from buzzscore.plans.text import add_text_features
 from buzzscore.schema import ESSENTIAL, RAW_POST, fill_text_nulls
 from buzzscore.session import checkpoint_dir
 
@@ -40,14 +40,9 @@ class FrozenScoring:
     composite: dict
 
 
-def _featurize(posts: DataFrame, model: TextModel) -> DataFrame:
-    feats = text_features(posts, model)
-    return zero_fill(posts.join(feats, "post_id", "left"), model.k)
-
-
 def freeze(clean_posts: DataFrame, model: TextModel) -> FrozenScoring:
     """Fit the engagement and composite statistics on a batch of posts."""
-    base = _featurize(fill_text_nulls(clean_posts), model)
+    base = add_text_features(fill_text_nulls(clean_posts), model)
     eng = engagement_stats(base)
     return FrozenScoring(model, eng, composite_stats(add_engagement(base, stats=eng)))
 
@@ -55,7 +50,7 @@ def freeze(clean_posts: DataFrame, model: TextModel) -> FrozenScoring:
 def score_batch(posts: DataFrame, frozen: FrozenScoring) -> DataFrame:
     """Score cleaned posts against frozen model and statistics (no global
     aggregation over ``posts``)."""
-    featured = _featurize(fill_text_nulls(posts), frozen.model)
+    featured = add_text_features(fill_text_nulls(posts), frozen.model)
     scored = add_engagement(featured, stats=frozen.engagement)
     return add_composite(scored, frozen=frozen.composite)
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from buzzscore.operators.lsa import components_from_gram, n_components_for
-from buzzscore.operators.tfidf import TfidfParams, doc_terms, fit_vocabulary
+from buzzscore.operators.tfidf import TfidfParams, doc_terms, fit_vocabulary, row_vectors, with_terms
 from buzzscore.plans.text import add_text_features, fit_and_featurize, fit_text_model
 
 
@@ -86,7 +86,7 @@ def test_svd_invariants_on_documents(spark):
     from buzzscore.sources.posts import documents_as_posts
 
     docs = documents_as_posts(spark, "/root/testdata/sf0.001")
-    model, feats, _ = fit_and_featurize(docs)
+    model, feats = fit_and_featurize(docs)
     v = model.components
     nz = model.singular_values > 0
     np.testing.assert_allclose(v[:, nz].T @ v[:, nz], np.eye(nz.sum()), atol=1e-9)
@@ -94,8 +94,14 @@ def test_svd_invariants_on_documents(spark):
     cols = [f"text_feature_{i + 1}" for i in range(model.k)]
     sq = (pdf[cols] ** 2).sum(axis=0).to_numpy()
     np.testing.assert_allclose(sq, model.singular_values**2, rtol=1e-8, atol=1e-9)
-    # every post with a vocabulary term has a unit-norm row, so trace(G) = rows
-    assert np.sum(model.singular_values**2) <= len(pdf) + 1e-6
+    # every post with a vocabulary term has a unit-norm row, so trace(G) counts those posts
+    rows = row_vectors(with_terms(docs, model.params), model.vocab).select("term_ids", "weights").toPandas()
+    x = np.zeros((len(rows), model.vocab.size))
+    for i, (ids, w) in enumerate(zip(rows["term_ids"], rows["weights"])):
+        x[i, list(ids)] = list(w)
+    full = np.linalg.svd(x, compute_uv=False)
+    assert np.sum(full**2) == pytest.approx(sum(len(ids) > 0 for ids in rows["term_ids"]))
+    np.testing.assert_allclose(model.singular_values, full[: model.k], rtol=1e-8, atol=1e-6)
 
 
 def test_post_without_vocabulary_gets_zeros(spark):
