@@ -379,3 +379,52 @@ SELECT trading_signal, count(*) AS count,
        {rnd('round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM samp), 1)')} AS percent
 FROM samp GROUP BY trading_signal
 """
+
+
+CSV_WITHOUT_ID = f"""
+WITH {clean_ctes()}
+SELECT timestamp, content, content_length FROM clean
+"""
+
+CSV_COLLECTOR = f"""
+WITH {clean_ctes()}
+SELECT username, timestamp, content, 0.0::DOUBLE AS retweets, '' AS hashtags FROM normed
+"""
+
+CSV_FLOAT_METRICS = f"""
+WITH raw AS ({raw_posts_sql()})
+SELECT post_id, retweets + 0.5::DOUBLE AS retweets, CAST(likes AS DOUBLE) AS likes,
+       CAST(replies AS DOUBLE) AS replies
+FROM raw
+"""
+
+
+def _nan_clean(value: str) -> str:
+    """The cleaned posts with ``value`` as the retweets of every seventh post."""
+    return f"""{clean_ctes().replace("clean AS (", "clean0 AS (")},
+    clean AS (
+      SELECT * REPLACE (CASE WHEN post_id % 7 = 3 THEN {value} ELSE CAST(retweets AS DOUBLE) END AS retweets)
+      FROM clean0)"""
+
+
+def _engagement_nan(value: str) -> str:
+    ctes = engagement_ctes().replace(clean_ctes(), _nan_clean(value))
+    return f"""
+WITH {ctes}
+SELECT post_id, {rnd('engagement_signal')} AS engagement_signal, {rnd('viral_score')} AS viral_score FROM eng
+"""
+
+
+ENGAGEMENT_NAN = _engagement_nan("0.0::DOUBLE")
+ENGAGEMENT_NAN_STRICT = _engagement_nan("NULL")
+
+SVD_ISOMETRY = f"""
+WITH {text_ctes().replace("LIMIT 1000", "LIMIT 20")},
+dots AS (
+  SELECT a.doc_id, a.doc_id = b.doc_id AS own, sum(a.x * b.x) AS d
+  FROM normed a JOIN normed b ON a.term_id = b.term_id AND b.doc_id IN (a.doc_id, a.doc_id - 1)
+  GROUP BY ALL)
+SELECT docs.doc_id, {rnd("coalesce(max(d) FILTER (WHERE own), 0)")} AS norm2,
+       {rnd("coalesce(max(d) FILTER (WHERE NOT own), 0)")} AS with_previous
+FROM docs LEFT JOIN dots USING (doc_id) GROUP BY docs.doc_id
+"""

@@ -7,6 +7,7 @@ as wall-clock ``timestamp_ntz`` so results compare across engines.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ from buzzscore.operators.reports import (
 from buzzscore.operators.scoring import TOP_FEATURES, add_composite, feature_columns, rank_features
 from buzzscore.plans.pipeline import ScoringConfig, run_all, signals
 from buzzscore.plans.text import fit_and_featurize
-from buzzscore.sources.sinks import essential, write_posts
+from buzzscore.sources.sinks import essential, write_posts, write_signals
 from buzzscore.schema import RAW_POST, conform, fill_text_nulls
 from buzzscore.session import prepare, scratch_path, written
 from buzzscore.sources.posts import documents_as_posts, posts_from_testdata, read_posts, tagged_events
@@ -280,14 +281,99 @@ def q_full_pipeline(spark, sf_dir):
 def q_csv_roundtrip(spark, sf_dir):
     """Raw posts written as CSV (quoted, multi-line fields) into the shared
     checkpoint folder, read back with the declared schema, then cleaned."""
-    import uuid
-
     raw = _raw(spark, sf_dir)
     path = scratch_path(spark, f"csv-roundtrip-{uuid.uuid4().hex}")
     write_posts(raw, path, fmt="csv")
     return finalize(C.clean_posts(read_posts(spark, path, fmt="csv", schema=RAW_POST)))
 
 
+def _through_csv(spark, df, name: str, schema=None):
+    """``df`` written as CSV into the shared folder and read back by its header."""
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    write_posts(df, path, fmt="csv")
+    return read_posts(spark, path, fmt="csv", schema=schema)
+
+
+def q_csv_reordered(spark, sf_dir):
+    """Columns in another order than the schema's."""
+    raw = _raw(spark, sf_dir)
+    back = _through_csv(spark, raw.select(*reversed(raw.columns)), "csv-reordered", RAW_POST)
+    return finalize(C.clean_posts(back))
+
+
+def q_csv_without_id(spark, sf_dir):
+    """No ``post_id``: ids come from the rows.  Which of several equal posts is
+    kept shows in none of these columns."""
+    back = _through_csv(spark, _raw(spark, sf_dir).drop("post_id"), "csv-without-id")
+    return finalize(C.clean_posts(back).select("timestamp", "content", "content_length"))
+
+
+def q_csv_collector(spark, sf_dir):
+    """The collector's layout: ``date, user, content``."""
+    raw = _raw(spark, sf_dir)
+    got = raw.select(F.col("timestamp").alias("date"), F.col("username").alias("user"), "content")
+    back = fill_text_nulls(_through_csv(spark, got, "csv-collector"))
+    return finalize(C.normalize_posts(back).select("username", "timestamp", "content", "retweets", "hashtags"))
+
+
+def q_csv_float_metrics(spark, sf_dir):
+    """Metrics written as ``5.5``: read as they are, never cut to integers."""
+    raw = _raw(spark, sf_dir).select(
+        "post_id", "timestamp", (F.col("retweets") + 0.5).alias("retweets"), F.col("likes").cast("double").alias("likes"), "replies"
+    )
+    back = _through_csv(spark, raw, "csv-float")
+    return finalize(back.select("post_id", "retweets", "likes", "replies"))
+
+
+def q_parquet_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, f"clean-{uuid.uuid4().hex}")
+    write_posts(_clean(spark, sf_dir), path, partition_by_day=True)
+    return finalize(spark.read.parquet(path).drop("day"))
+
+
+def q_signals_csv(spark, sf_dir):
+    """The nine exported columns, written as CSV and read back."""
+    path = scratch_path(spark, f"signals-{uuid.uuid4().hex}")
+    scored = scored_fixture(spark, sf_dir)
+    write_signals(scored, path)
+    schema = essential(scored).schema
+    options = {"header": True, "multiLine": True, "escape": '"', "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX"}
+    return finalize(spark.read.options(**options).schema(schema).csv(path))
+
+
+def _with_nan(spark, sf_dir):
+    clean = _clean(spark, sf_dir)
+    nan = F.when(F.col("post_id") % 7 == 3, F.lit(float("nan"))).otherwise(F.col("retweets").cast("double"))
+    return clean.withColumn("retweets", nan)
+
+
+def q_engagement_nan(spark, sf_dir):
+    """A NaN metric counts as 0, and no score becomes NaN."""
+    df = add_engagement(_with_nan(spark, sf_dir))
+    return finalize(df.select("post_id", "engagement_signal", "viral_score"))
+
+
+def q_engagement_nan_strict(spark, sf_dir):
+    """Strict: a NaN is left out of the fits and gives no score."""
+    df = add_engagement(_with_nan(spark, sf_dir), strict=True)
+    return finalize(df.select("post_id", "engagement_signal", "viral_score"))
+
+
+def q_svd_isometry(spark, sf_dir):
+    """With as many components as terms the projection is a rotation: norms, and
+    products of neighbouring posts, are those of the TF-IDF rows."""
+    _, feats = fit_and_featurize(_docs(spark, sf_dir), TfidfParams(max_features=20))
+    names = [c for c in feats.columns if c.startswith("text_feature_")]
+    f = feats.select("post_id", F.array(*names).alias("f"))
+    g = feats.select((F.col("post_id") + 1).alias("post_id"), F.array(*names).alias("g"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return finalize(
+        f.join(g, "post_id", "left").select(
+            F.col("post_id").alias("doc_id"), dot("f", "f").alias("norm2"), F.coalesce(dot("f", "g"), F.lit(0.0)).alias("with_previous")
+        )
+    )
+
+
 def q_signals_strict(spark, sf_dir):
     """The strict path (nulls propagate, σ = 0 -> null -> HOLD) on the same
     posts; with no degenerate statistics here it must equal ``signals``."""
