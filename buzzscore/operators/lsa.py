@@ -109,12 +109,6 @@ class TextModel:
     def k(self) -> int:
         return int(self.components.shape[1])
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        """``(term, term_id, idf, v array<double>)`` — at most max_features rows."""
-        pdf = self.vocab.table[["term", "term_id", "idf"]].copy()
-        pdf["v"] = [row.tolist() for row in self.components]
-        return spark.createDataFrame(pdf, "term string, term_id int, idf double, v array<double>")
-
     def save(self, spark: SparkSession, path: str) -> None:
         """Write the model as one small Parquet table plus a JSON sidecar row."""
         meta = {

@@ -42,8 +42,3 @@ def exact_sample(
             return ordered(candidates)
         frac *= 2
     return ordered(df)
-
-
-def sample_sorted_by_time(df: DataFrame, n: int = 1000, seed: int = DEFAULT_SEED, time_col: str = "timestamp") -> DataFrame:
-    """Exact sample, then oldest first (chart sample)."""
-    return exact_sample(df, n, seed).orderBy(F.col(time_col), F.col("post_id"))

@@ -2,33 +2,31 @@
 
 Per document, in the row (no shuffle): lowercase + accent fold, tokenise,
 drop stop words, add bigrams, then count each term with a sort + run-length
-pass over the term array.  Only ``(post_id, term, tf)`` rows are exploded.
+pass over the term array.
 
 Fit: one ``groupBy(term)`` with map-side partial aggregation gives document
 frequency and corpus count; pruning and the ``max_features`` cut run on that
 table, and only the kept vocabulary (at most ``max_features`` rows) comes to
-the driver.  Transform: exploded terms are joined to the broadcast vocabulary
-(size bounded by ``max_features``), so every later shuffle carries only
-vocabulary terms.
+the driver.  Transform: each row's weights come from its own term array; the
+vocabulary (size bounded by ``max_features``) travels with the function.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import NGram, StopWordsRemover
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buzzscore.functions.pyhelpers import weigh_terms
 from buzzscore.functions.text import fold_accents, spark_stop_words, tokenize
 
-# Largest vocabulary that is collected to the driver and broadcast.  The SVD
-# step also builds a dense F x F Gram matrix, so F must stay moderate.
-MAX_BROADCAST_TERMS = 8192
+# Largest vocabulary that is collected to the driver and sent to the tasks.  The
+# SVD step also builds dense F x F matrices (32 MB at this bound) in each task.
+MAX_BROADCAST_TERMS = 2048
 
 
 @dataclass(frozen=True)
@@ -150,17 +148,6 @@ def fit_vocabulary(terms: DataFrame, n_docs: int, params: TfidfParams) -> Vocabu
     return Vocabulary(pdf, n_docs)
 
 
-def weighted_terms(terms: DataFrame, vocab_df: DataFrame) -> DataFrame:
-    """``(post_id, term_id, term, w)`` with w = tf * idf, vocabulary terms only.
-
-    The vocabulary side is broadcast; its size is bounded by ``max_features``.
-    """
-    v = F.broadcast(vocab_df.select("term", "term_id", "idf"))
-    return terms.join(v, "term").select(
-        "post_id", "term_id", "term", (F.col("tf") * F.col("idf")).alias("w")
-    )
-
-
 def row_vectors(df: DataFrame, vocab: Vocabulary, terms_col: str = "terms") -> DataFrame:
     """Add ``term_ids`` and ``weights``: the L2-normalised TF-IDF row of each post,
     from its ``terms`` alone (vocabulary terms only, by id; none: empty arrays)."""
@@ -168,9 +155,3 @@ def row_vectors(df: DataFrame, vocab: Vocabulary, terms_col: str = "terms") -> D
     weigh = F.arrow_udf(weigh_terms(vocab.table["term"].tolist(), vocab.table["idf"].to_numpy()), kind)
     out = df.withColumn("_v", weigh(F.col(terms_col)))
     return out.select(*df.columns, "_v.term_ids", "_v.weights")
-
-
-def normalized_weights(weighted: DataFrame) -> DataFrame:
-    """Add ``x = w / ||w||₂`` per post (posts without terms have no rows)."""
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("post_id")))
-    return weighted.withColumn("x", F.col("w") / norm)

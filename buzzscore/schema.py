@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DoubleType,
-    IntegerType,
     LongType,
     StringType,
     StructField,
     StructType,
-    TimestampType,
 )
 
 from buzzscore.functions.values import to_double
@@ -41,23 +39,6 @@ TEXT_POST = StructType(
     [StructField(f.name, DoubleType()) if f.name in METRICS else f for f in RAW_POST.fields]
 )
 
-# Cleaned post (storage schema): UTC timestamp plus the two derived columns.
-CLEAN_POST = StructType(
-    [
-        StructField("post_id", LongType()),
-        StructField("username", StringType()),
-        StructField("timestamp", TimestampType()),
-        StructField("content", StringType()),
-        StructField("retweets", LongType()),
-        StructField("likes", LongType()),
-        StructField("replies", LongType()),
-        StructField("mentions", StringType()),
-        StructField("hashtags", StringType()),
-        StructField("content_length", IntegerType()),
-        StructField("total_engagement", LongType()),
-    ]
-)
-
 # Columns of the exported signal file.
 ESSENTIAL = (
     "username",

@@ -53,6 +53,19 @@ def read_posts(
     return conform(df.select(*values), schema or TEXT_POST)
 
 
+def deal_out(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan out to all cores if it is a single split.
+
+    A file of one row group cannot be read in parallel, and text work on it
+    would run in one task.  A single split is at most
+    ``spark.sql.files.maxPartitionBytes`` or one row group, so what is shuffled
+    here is bounded; an input of two splits or more is never touched.
+    """
+    if df.rdd.getNumPartitions() > 1:
+        return df
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
@@ -66,7 +79,7 @@ def posts_from_testdata(spark: SparkSession, sf_dir: str, day_grain: bool = True
     which creates (content, timestamp) duplicates; otherwise the full
     microsecond time is kept.
     """
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    docs = deal_out(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars"))
     events = _read(spark, sf_dir, "events").select(
         "event_id", "ts", "user_id", "event_type", "value"
     )
@@ -106,7 +119,7 @@ def tagged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents_as_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` alone: ``post_id`` and ``content`` (text features input)."""
-    d = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    d = deal_out(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select(F.col("doc_id").alias("post_id"), F.col("text").alias("content"))
 
 
