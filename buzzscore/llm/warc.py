@@ -245,12 +245,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def assemble(spark: SparkSession, path: str, segments: DataFrame, records: DataFrame) -> DataFrame:
     """``records (file, offset, next, ...)`` with their ``payload`` (binary), from all their segments.
 
-    The segments of a record meet in one row, which is as large as the record.
+    A segment belongs to the last record that starts at or before it, found by
+    a running maximum over the (narrow) segments of the files concerned.  The
+    segments of a record meet in one row, which is as large as the record.
     """
     spans = records.select("file", F.col("offset").alias("record"), "next")
-    of_file = segments.select("file", "offset", "block", "place")
-    # by the file, and the range within it: a record starts each of its ranges
-    parts = of_file.join(spans, "file").where("offset >= record AND offset < next")
+    of_file = segments.select("file", "offset", "block", "place").join(spans.select("file").distinct(), "file", "left_semi")
+    marked = of_file.unionByName(
+        spans.select("file", F.col("record").alias("offset"), "record", "next"), allowMissingColumns=True
+    )
+    upto = Window.partitionBy("file").orderBy("offset").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    owner = F.max(F.when(F.col("record").isNotNull(), F.struct("record", "next"))).over(upto)
+    parts = marked.withColumn("owner", owner).where("place IS NOT NULL AND offset < owner.next")
+    parts = parts.withColumn("record", F.col("owner.record"))
     wanted = written(parts.select("file", "block", "place", "record"), "parts")
     values = _segments(spark, path).join(wanted, ["file", "block", "place"])
     whole = values.groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("all"))
