@@ -71,8 +71,10 @@ def shingle_sets(words: pa.Array) -> Iterator[np.ndarray]:
 
     A text of fewer than five words is one shingle, a text without words none.
     """
+    # a slice of a list array has all its values: take those of its own lists only
     starts = words.offsets.to_numpy()
-    flat = words.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    flat = words.values.to_numpy(zero_copy_only=False)[starts[0] : starts[-1]].view(np.uint64)
+    starts = starts - starts[0]
     n = len(flat) - SHINGLE + 1
     grams = np.zeros(max(n, 0), np.uint64)
     for k in range(SHINGLE):
