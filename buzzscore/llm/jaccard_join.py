@@ -10,7 +10,9 @@
    Buckets of up to ``BUCKET`` sets are searched by brute force on the
    embedding.  Larger ones are split by further tokens; a set that is very near
    to the bucket's pivot is linked to it and goes no further (by the triangle
-   inequality, all that is near to it is linked to the pivot too).  What is
+   inequality, all that is near to it is linked to the pivot too).  Pivots and
+   the roots of links are the first in one order of all sets, so that the
+   buckets in which a group meets again and again give the same links.  What is
    still large at the last level is searched in tiles, a pair of blocks at a
    time.  The number of runs follows from the recall asked for.
 3. Check.  Linked sets form components.  A component's texts meet in tiles of
@@ -41,7 +43,7 @@ LEVELS = 4
 #: Sets, and shingles, that a block of a component may have.
 BLOCK_SETS, BLOCK_SHINGLES = 128, 1 << 20
 #: Estimates from the embedding (standard error 0.035 at similarity 0.8).
-NEAR, PIVOT_NEAR, PIVOT_SAME = 0.62, 0.5, 0.8
+NEAR, PIVOT_NEAR, PIVOT_SAME = 0.62, 0.4, 0.7
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -298,7 +300,7 @@ def candidate_links(sets: DataFrame, runs: int, similarity: float = SIMILARITY,
         large = sizes.where(F.col("n") > BUCKET).select("path")
         if level == levels or large.isEmpty():
             break
-        pivot = F.min(F.struct(F.xxhash64("path", "set").alias("o"), "set", "embedding")).alias("p")
+        pivot = F.min(F.struct(F.xxhash64("set").alias("o"), "set", "embedding")).alias("p")
         members = rows.join(large, "path").join(sets.select("set", "embedding"), "set")
         pivots = members.groupBy("path").agg(pivot).select(
             "path", F.col("p.set").alias("pivot"), F.col("p.embedding").alias("pivot_embedding")
@@ -312,7 +314,7 @@ def candidate_links(sets: DataFrame, runs: int, similarity: float = SIMILARITY,
         rows = rows.unionByName(more)
     rows = _tiles(rows.withColumn("blocks", F.ceil(F.col("n") / BUCKET)), "blocks")
     rows = rows.join(sets.select("set", "size", "codes"), "set")
-    rows = rows.repartition("path", "low", "high").sortWithinPartitions("path", "low", "high")
+    rows = rows.repartition("path", "low", "high").sortWithinPartitions("path", "low", "high", F.xxhash64("set"))
     out = rows.select("path", "low", "high", "block", "set", "size", "codes")
     out = out.mapInArrow(_search_buckets(similarity), "a long, b long")
     for more in links:
