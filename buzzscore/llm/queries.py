@@ -144,7 +144,55 @@ def benchmark_index(spark: SparkSession, sf_dir: str) -> decontaminate.Benchmark
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_items(docs, benchmark_index(spark, sf_dir))
-    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids")
+    items = F.array_join(F.transform("item_ids", lambda i: i.cast("string")), ",")
+    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), items.alias("items"))
+
+
+def _tokens_sql(text: str) -> str:
+    return f"regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _grams_sql(words: str, n: str) -> str:
+    """The distinct runs of ``n`` words."""
+    return f"list_distinct(list_transform(range(1, len({words}) - {n} + 2), lambda i: array_to_string({words}[i:i + {n} - 1], ' ')))"
+
+
+_ANSWER = r"(?s)\A(.*[.!?\n])\s*(\S.*?)\s*\z"
+OP6_SQL = f"""
+WITH i0 AS (SELECT item_id, regexp_replace(coalesce(text, ''), '(?s)[.!?\\s]+\\z', '') AS t FROM benchmark),
+i1 AS (SELECT *, regexp_extract(t, '{_ANSWER}', 1) AS first, regexp_extract(t, '{_ANSWER}', 2) AS last FROM i0),
+item AS (
+  SELECT item_id, {_tokens_sql("CASE WHEN last <> '' THEN first ELSE t END")} AS q, {_tokens_sql("last")} AS a FROM i1),
+size AS (
+  SELECT count(*) AS n, avg(len(q) + len(a)) AS avg_len, greatest(max(len(q) + len(a)), 3) AS stride
+  FROM item WHERE len(q) + len(a) > 0),
+tf AS (
+  SELECT item_id, len, term, count(*) AS tf
+  FROM (SELECT item_id, len(q) + len(a) AS len, unnest(list_concat(q, a)) AS term FROM item) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+scored AS (
+  SELECT item_id, term,
+         ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)) AS score
+  FROM tf JOIN df USING (term), size),
+impact AS (SELECT item_id, term, score / sum(score) OVER (PARTITION BY item_id) AS impact FROM scored),
+doc AS (SELECT doc_id, {_tokens_sql("coalesce(text, '')")} AS w FROM documents),
+passage AS (
+  SELECT doc_id, b, w[b + 1:b + 2 * stride] AS w
+  FROM (SELECT doc_id, w, stride, unnest(range(0, len(w), stride)) AS b FROM doc, size)),
+found AS (
+  SELECT doc_id, b, item_id
+  FROM (SELECT DISTINCT doc_id, b, unnest(w) AS term FROM passage) JOIN impact USING (term)
+  GROUP BY ALL HAVING sum(impact) >= 0.5 - 1e-9),
+checked AS (
+  SELECT DISTINCT doc_id, item_id
+  FROM (SELECT f.*, p.w, q, a, least(3, len(q)) AS nq, least(3, len(a)) AS na
+        FROM found f JOIN passage p USING (doc_id, b) JOIN item USING (item_id))
+  WHERE (nq = 0 OR 2 * len(list_intersect({_grams_sql("q", "nq")}, {_grams_sql("w", "nq")})) >= len({_grams_sql("q", "nq")}))
+    AND (na = 0 OR 2 * len(list_intersect({_grams_sql("a", "na")}, {_grams_sql("w", "na")})) >= len({_grams_sql("a", "na")})))
+SELECT d.doc_id, count(item_id) > 0 AS contaminated,
+       coalesce(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id), '') AS items
+FROM documents d LEFT JOIN checked USING (doc_id) GROUP BY d.doc_id
+"""
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,6 +311,7 @@ ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
     "op3_jaccard_join": OP3_SQL,
     "op4_warc": OP4_SQL,
+    "op6_decontamination": OP6_SQL,
     "op7_mixing": OP7_SQL,
     "op9_topk": OP9_SQL,
 }
