@@ -295,6 +295,31 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP10_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+b AS (  -- 800 bytes from each 400th, for the 400 windows that start there
+  SELECT doc_id, n, j, substr(h, 800 * j + 1, 1600) AS h
+  FROM (SELECT doc_id, n, h, unnest(range(0, (n - 400) // 400 + 1)) AS j FROM d WHERE n >= 400)),
+w AS (
+  SELECT doc_id, 400 * j + k AS s, md5(substr(h, 2 * k + 1, 800)) AS m
+  FROM (SELECT doc_id, h, j, unnest(range(0, least(400, n - 399 - 400 * j))) AS k FROM b)),
+f AS (SELECT doc_id, s FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+g AS (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS prev FROM f),
+r AS (SELECT *, sum(CASE WHEN s <= prev + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM g),
+spans AS (SELECT doc_id, run, min(s) AS a, max(s) + 400 AS b FROM r GROUP BY ALL),
+pieces AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS c FROM spans),
+kept AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS stop,
+         string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) AS k
+  FROM pieces JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(k, '') || substr(h, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
@@ -314,4 +339,5 @@ ORACLE_SQL = {
     "op6_decontamination": OP6_SQL,
     "op7_mixing": OP7_SQL,
     "op9_topk": OP9_SQL,
+    "op10_suffix_dedup": OP10_SQL,
 }
