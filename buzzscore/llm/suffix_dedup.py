@@ -34,8 +34,8 @@ from buzzscore.llm.common import fresh, sorted_groups, with_row_key, written
 
 LENGTH = 400
 KMER = 128
-#: Contexts that a family may have to be sorted in one task.
-FAMILY = 2_000
+#: Contexts that a family may have to be sorted in one task: some 100 MB, and about a second.
+FAMILY = 50_000
 #: Bytes whose hashes are computed at once.
 CHUNK = 1 << 20
 
