@@ -88,38 +88,33 @@ def let(value: Column, body) -> Column:
 def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """``(id, component)`` of an undirected graph given as edges ``(a, b)``.
 
-    The component is its smallest id.  Each round hands every vertex the
-    smallest label among its neighbours and then the label of that label
-    (pointer jumping), so that the number of rounds grows with the logarithm
-    of the longest path.  Minima are combined before each shuffle and joins
-    are free to split a hub; the labels of each round are a written table.
+    The component is its smallest id.  Each round maps every vertex to the
+    smallest of itself and its neighbours, then to what that one is mapped to
+    (pointer jumping), and contracts the graph: edges go between the vertices
+    mapped to, those within one disappear.  A star is done in one round.  Minima
+    are combined before each shuffle and joins are free to split a hub; the
+    tables of each round are written.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = written(
-        both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels"
-    )
+    graph = written(edges.select("a", "b").distinct(), "edges")
+    found: DataFrame | None = None
     for _ in range(rounds):
-        near = (
-            both.join(labels.withColumnRenamed("id", "b"), "b")
-            .groupBy(F.col("a").alias("id"))
-            .agg(F.min("component").alias("near"))
-        )
-        hooked = labels.join(near, "id").select(
-            "id", F.col("component").alias("was"), F.least("component", "near").alias("component")
-        )
-        roots = labels.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        jumped = written(
-            hooked.join(roots, "component", "left").select(
-                "id", "was", F.least("component", F.coalesce("root", "component")).alias("component")
-            ),
-            "labels",
-        )
-        labels = jumped.select("id", "component")
-        if jumped.where("component < was").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return labels
+        both = graph.union(graph.select("b", "a"))
+        least = both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("to"))
+        least = written(least, "labels")
+        roots = least.select(F.col("id").alias("to"), F.col("to").alias("root"))
+        jumped = written(least.join(roots, "to").select("id", F.col("root").alias("to")), "labels")
+        if found is None:
+            found = jumped.select("id", F.col("to").alias("component"))
+        else:
+            onward = jumped.select(F.col("id").alias("component"), "to")
+            found = found.join(onward, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+            found = written(found, "components")
+        for end in ("a", "b"):
+            graph = graph.join(jumped.select(F.col("id").alias(end), F.col("to").alias(f"{end}_to")), end)
+        graph = written(graph.where("a_to <> b_to").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).distinct(), "edges")
+        if graph.isEmpty():
+            return found
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
