@@ -255,6 +255,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         .where("n > 1")
         .select("family", (F.col("a") != F.col("b")).alias("mixed"))
     )
+    # written, so that the join has a shuffle of its own: Spark can split a hot family's anchors there
+    families = written(families, "families")
     found = written(anchors.join(families, "family"), "found")
 
     contexts = (
@@ -263,7 +265,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rk", "p", "l", "r")).alias("one"))
     )
     contexts = written(contexts.select("family", "context", "n", "one.*"), "contexts")
-    sizes = contexts.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
+    sizes = written(contexts.groupBy("family").agg(F.count(F.lit(1)).alias("members")), "sizes")
     of_text = contexts.join(sizes, "family").groupBy("rk").agg(
         F.collect_list(F.struct("family", "context", "members", "p", "l", "r")).alias("all")
     )
