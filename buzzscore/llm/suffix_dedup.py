@@ -296,6 +296,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     twice = contexts.where((F.col("n") > 1) & (F.col("l") + F.col("r") >= reach)).select("family", "context", "l", "r")
     cover = cover.unionByName(hot_cover).unionByName(twice)
     cover = cover.groupBy("family", "context").agg(F.max("l").alias("cl"), F.max("r").alias("cr"))
+    cover = written(cover, "cover")  # as above: copies of one context are a hot key
 
     mixed = found.where("mixed").select("rk", "p", "family", "context").join(cover, ["family", "context"])
     alone = found.where(~F.col("mixed") & (F.col("l") + F.col("r") >= reach))
