@@ -88,12 +88,15 @@ RULES = (
     (("cc-0-1-0",), "CC0-1.0"),
 )
 # ------------------------------------------------------------------------------
-#: Each known sentence holds one of these; sentences without any are not looked up.
-CUES = ("licen", "copyright", "permi", "redistribution", "warrant", "liable", "public domain", "rights reserved", "gnu", "mpl", "spdx", "bsd", "gpl")
+#: Each known sentence, and each sentence of a pattern, holds one of these or the word ``cc``; sentences
+#: without any are not looked up. All are parts of one word, so that no line break stands in them.
+CUES = ("licen", "copyright", "permi", "redistribution", "warrant", "liable", "domain", "reserved", "gnu", "mpl", "spdx", "bsd", "gpl", "creative")
+_CC = re.compile(r"(?<![a-z0-9])cc(?![a-z0-9])")
 _SENTENCE_END = re.compile(r"(?<=[.!?:;])(?<!dentifier:)[ \t]*(?:\n|[ \t]+(?=[^a-z0-9 \t\n]*[A-Z0-9(\"]))|\n[ \t]*\n")
 _SPDX_LINE = re.compile(r"(?i)(SPDX-License-Identifier:[^\n]*)")
 _OTHER = re.compile(r"[^a-z0-9]+")
-_MAX_LINES = 16
+#: Words of the longest known sentence, each part in angle brackets at its longest.
+_MAX_WORDS = max(len(re.sub(r"<[^>]*>", "x" + " x" * 7, t).split()) for t in SENTENCES.values())
 
 
 def normalise(sentence: str) -> str:
@@ -121,32 +124,45 @@ def sentence_id(normalised: str) -> str | None:
     return None
 
 
+def has_cue(text: str) -> bool:
+    """Whether ``text``, normalised or not, may hold a known sentence."""
+    low = text.lower()
+    return any(c in low for c in CUES) or ("cc" in low and _CC.search(low) is not None)
+
+
 def sentence_ids(text: str) -> list[str]:
     """Identifiers in the order of the text.
 
     A sentence may run over lines; where it is not known as a whole, the
     longest known runs of its lines count (a licence line need not follow a
-    finished sentence).
+    finished sentence).  A run has at most the words of the longest known
+    sentence, on however many lines, or is one line.
     """
-    low = text.lower()
-    if not any(c in low for c in CUES):
+    if not has_cue(text):
         return []
     out = []
-    if "spdx" in low:  # a tag ends with its line
+    if "spdx" in text.lower():  # a tag ends with its line
         text = _SPDX_LINE.sub(r"\1\n\n", text)
     for part in _SENTENCE_END.split(text):
-        low = part.lower()
-        if not any(c in low for c in CUES):
+        if not has_cue(part):
             continue
         whole = sentence_id(normalise(part))
         if whole:
             out.append(whole)
             continue
-        lines = [normalise(x) for x in part.split("\n")]
+        lines = [x for x in map(normalise, part.split("\n")) if x]
+        size = [x.count(" ") + 1 for x in lines]
+        cue = [len(lines)] * len(lines)  # the next line with a cue: a run without one is not known
+        for k in range(len(lines) - 1, -1, -1):
+            cue[k] = k if has_cue(lines[k]) else cue[k + 1] if k + 1 < len(lines) else len(lines)
         i = 0
         while i < len(lines):
-            for j in range(min(len(lines), i + _MAX_LINES), i, -1):
-                found = sentence_id(" ".join(x for x in lines[i:j] if x))
+            end, n = i + 1, size[i]
+            while end < len(lines) and n + size[end] <= _MAX_WORDS:
+                n += size[end]
+                end += 1
+            for j in range(end, cue[i], -1):
+                found = sentence_id(" ".join(lines[i:j]))
                 if found:
                     out.append(found)
                     i = j

@@ -52,6 +52,59 @@ def test_every_known_sentence_has_a_cue_and_its_identifier():
         assert L.normalise(text.replace("<holder>", "x")) == text.replace("<holder>", "x")
 
 
+#: An example of each pattern, and of each of its alternatives that holds another cue.
+EXAMPLES = {
+    "mit-named": ["Available under the Expat licence."],
+    "apache": ["Published under the Apache License, Version 2.0"],
+    "gpl": ["Released under GPL v3", "Distributed under the terms of the GNU General Public License"],
+    "gpl-grant": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ],
+    "bsd-named": ["Released under the 2-clause BSD license"],
+    "mpl-named": ["Released under MPL 2.0", "Available under the Mozilla Public License, version 1.1"],
+    "cc": ["Released under CC BY 4.0.", "Distributed under CC 0.", "Published under Creative Commons BY-SA 4.0 International."],
+    "spdx": ["SPDX-License-Identifier: MIT"],
+    "copyright": ["Copyright (c) 2019 Jane Doe"],
+}
+
+
+def test_every_pattern_has_a_cue_in_its_examples():
+    assert set(EXAMPLES) == set(L.PATTERNS)
+    for name, examples in EXAMPLES.items():
+        for text in examples:
+            assert (L.sentence_id(L.normalise(text)) or "").startswith(name), text
+            assert L.has_cue(text) and L.has_cue(L.normalise(text)), text
+            assert L.sentence_ids(text) == [L.sentence_id(L.normalise(text))]
+            assert len(L.normalise(text).split()) <= L._MAX_WORDS
+
+
+@pytest.mark.parametrize("name", L.SENTENCES)
+def test_known_sentences_at_any_line_width(name):
+    """A word on each line, also after lines that belong to no sentence."""
+    words = L.SENTENCES[name].replace("<holder>", "a b c d e f g h").split()
+    for width in (1, 2, 5, 12):
+        lines = "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))
+        assert L.sentence_ids(lines) == [name]
+        assert L.sentence_ids("unfinished line\n//\n" + lines + "\nand more") == [name]
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("Released under CC BY 4.0.", ["CC-BY-4.0"]),
+        ("This work is published under CC BY-SA 4.0 International.", ["CC-BY-SA-4.0"]),
+        ("Distributed under CC 0.", ["CC0-1.0"]),
+        ("Released under\nCC\nBY 4.0.", ["CC-BY-4.0"]),
+        ("This work is in the public\ndomain.", ["public-domain"]),
+        ("This is free and unencumbered software released into the public\n  domain.", ["Unlicense"]),
+        ("The account was accepted under success.", []),
+    ],
+)
+def test_cues_that_were_missed(text, found):
+    assert L.match_rules(L.sentence_ids(text)) == found
+
+
 def test_longer_rules_stand_before_their_beginnings():
     for i, (ids, _) in enumerate(L.RULES):
         assert not any(earlier == ids[: len(earlier)] for earlier, _ in L.RULES[:i])
