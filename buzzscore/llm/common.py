@@ -33,13 +33,47 @@ def with_row_key(df: DataFrame, name: str = "rk") -> DataFrame:
     """Add a unique row key, in the order of the rows as read.
 
     The key is ``monotonically_increasing_id()``: a function of the input split
-    and the position in it.  Tables read from files give the same key however
-    often a task is run again; put a frame whose rows move between runs (say,
-    after an unordered shuffle) through :func:`written` first.
+    and the position in it.  Splits depend on the cores that are there when a
+    job is planned, so the key holds within one job only: use :func:`keyed`
+    where rows meet again by it.
     """
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def keyed(df: DataFrame, name: str = "rk") -> DataFrame:
+    """``df`` with :func:`with_row_key`, written once: every job that reads it finds a row under the same key."""
+    return written(with_row_key(df, name), "keyed")
+
+
+def with_place(df: DataFrame, name: str = "rk") -> DataFrame:
+    """Add a unique ``struct<file, row>`` that holds in all jobs, without a copy where it can.
+
+    It is the row's file and its number in it if ``df`` reads one Parquet path
+    by projections and filters only, else the key of a written copy.
+    """
+    if _reads_parquet(df):
+        return df.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    key = fresh(df, "key")
+    copy = keyed(df, key)
+    return copy.withColumn(name, F.struct(F.lit("").alias("file"), F.col(key).alias("row"))).drop(key)
+
+
+def _reads_parquet(df: DataFrame) -> bool:
+    """Whether each row of ``df`` is one row of the files below one path."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        if any(node.output().apply(i).name().lower() == "_metadata" for i in range(node.output().size())):
+            return False
+        node = node.children().apply(0)
+    if node.getClass().getSimpleName() != "LogicalRelation":
+        return False
+    relation = node.relation()
+    if relation.getClass().getSimpleName() != "HadoopFsRelation" or relation.fileFormat().toString() != "Parquet":
+        return False
+    # a path given twice is read twice
+    return relation.location().rootPaths().size() == 1 and "_metadata" not in {c.lower() for c in relation.schema().fieldNames()}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder of ``spark.checkpoint.dir``."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

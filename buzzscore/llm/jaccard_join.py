@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buzzscore.llm.common import connected_components, sorted_groups, with_row_key, word_hashes, written
+from buzzscore.llm.common import connected_components, keyed, sorted_groups, word_hashes, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -328,6 +328,7 @@ def similar_texts(
     text_col: str = "text",
     similarity: float = SIMILARITY,
     recall: float = 0.99,
+    key_col: str | None = None,
 ) -> DataFrame:
     """A row per row of ``docs``: ``rk, id, class_id, group_id, n_copies, n_texts, n_links, first``.
 
@@ -336,7 +337,8 @@ def similar_texts(
     the same set, ``group_id`` the smallest of all that are connected by links;
     ``n_copies`` counts the other rows with the same set, ``n_texts`` the other
     sets linked, ``n_links`` the other rows linked; ``first`` marks the one row
-    that stands for its group.  ``rk`` is the key of :func:`with_row_key`.
+    that stands for its group.  ``rk`` is the key of :func:`keyed`,
+    or ``key_col``: a unique long that ``docs`` has already, in a written table.
 
     * Words are lower-cased runs between blanks.  A text of fewer than five
       words is one shingle; a null, empty or blank text has none, is linked to
@@ -345,8 +347,9 @@ def similar_texts(
       follow the order in which the rows are read.
     * Other columns of ``docs`` play no part.
     """
-    keyed = with_row_key(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
-    hashed = keyed.select("rk", "id", word_hashes(F.col("text")).alias("words"))
+    narrow = [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")]
+    table = docs.select(F.col(key_col).alias("rk"), *narrow) if key_col else keyed(docs.select(*narrow))
+    hashed = table.select("rk", "id", word_hashes(F.col("text")).alias("words"))
     sketches = written(hashed.mapInArrow(_sketch, _SKETCH), "sketches")
 
     place = F.struct(F.col("id").isNull().alias("last"), "id", "rk")
@@ -367,7 +370,7 @@ def similar_texts(
     weight = F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("size") / BLOCK_SHINGLES)
     blocks = members.groupBy("component").agg(F.ceil(weight).alias("blocks"))
     members = written(members.join(blocks, "component"), "members")
-    texts = keyed.select(F.col("rk").alias("set"), "text").join(members, "set")
+    texts = table.select(F.col("rk").alias("set"), "text").join(members, "set")
     tiles = _tiles(texts, "blocks").repartition("component", "low", "high").sortWithinPartitions("component", "low", "high")
     tiles = tiles.select("component", "low", "high", "block", "set", "copies", word_hashes(F.col("text")).alias("words"))
     checked = written(

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buzzscore.llm.common import fresh, let, with_row_key
+from buzzscore.llm.common import fresh, keyed, let
 
 WINDOW = 3
 
@@ -79,8 +79,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
       the counts then carry underscores in front.
     """
     key = fresh(docs, "rk")
-    keyed = with_row_key(docs, key)
-    narrow = keyed.select(F.col(key).alias("rk"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    table = keyed(docs, key)
+    narrow = table.select(F.col(key).alias("rk"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marks = repeated_windows(narrow).groupBy("rk").agg(F.collect_list("pos").alias("marks"))
     marks = marks.select(F.col("rk").alias(key), F.col("marks").alias(fresh(docs, "marks")))
     marked = F.col(marks.columns[1])
@@ -108,7 +108,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.col(text_col)
     touched = F.when(marked.isNotNull(), let(_lines(text), cut))
     done = fresh(docs, "done")
-    out = keyed.join(marks, key, "left").withColumn(done, touched)
+    out = table.join(marks, key, "left").withColumn(done, touched)
     zero = F.lit(0).cast("long")
     counts = {
         "n_lines": F.when(text.isNull(), zero).otherwise(

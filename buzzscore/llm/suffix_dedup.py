@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buzzscore.llm.common import fresh, sorted_groups, with_row_key, written
+from buzzscore.llm.common import fresh, keyed, sorted_groups, written
 
 LENGTH = 400
 KMER = 128
@@ -340,14 +340,14 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text", length: int = LENG
       carries underscores in front.
     """
     key, data, marks, done = (fresh(docs, n) for n in ("rk", "data", "marks", "done"))
-    keyed = with_row_key(docs, key)
+    table = keyed(docs, key)
     binary = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    spans = repeated_spans(keyed.select(F.col(key).alias("rk"), binary.alias("data")), length)
+    spans = repeated_spans(table.select(F.col(key).alias("rk"), binary.alias("data")), length)
     of_text = spans.groupBy(F.col("rk").alias(key)).agg(F.collect_list(F.struct("start", "stop")).alias(marks))
     remove = F.arrow_udf(
         _remove, "struct<kept:binary,starts:array<int>,stops:array<int>>", F.ArrowUDFType.SCALAR_ITER
     )
-    out = keyed.withColumn(data, binary).join(of_text, key, "left")
+    out = table.withColumn(data, binary).join(of_text, key, "left")
     out = out.withColumn(done, remove(F.when(F.col(marks).isNotNull(), F.col(data)), F.col(marks)))
     kept = F.coalesce(F.col(f"{done}.kept"), F.col(data))
     n_bytes = F.octet_length(F.col(data)).cast("long")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from buzzscore.llm.common import with_row_key, written
+from buzzscore.llm.common import with_place, written
 
 # --- fixed values of the format ------------------------------------------------
 MAGIC = "WARC/1.1\r\n"
@@ -33,7 +33,7 @@ MIN_REVISIT = 100
 
 
 def _record_id(id_: Column, rk: Column) -> Column:
-    h = F.md5(F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("")), rk.cast("string")))
+    h = F.md5(F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("")), rk["file"], rk["row"].cast("string")))
     part = lambda a, n: F.substring(h, a, n)
     return F.concat(
         F.lit("<urn:uuid:"),
@@ -54,14 +54,14 @@ def write_archives(
     """Write a record per row below ``path``; ``path`` must not exist.
 
     Of the rows with equal payloads of at least ``min_revisit`` bytes the one
-    with the smallest id (null last, then the first read) is a ``response``;
+    with the smallest id (null last, then by file and place in it) is a ``response``;
     the others are ``revisit`` records that refer to it.
 
     * A null html is an empty payload; a null id or url leaves its header out.
     * Line breaks in an url are percent-encoded.
     * Rows with equal ids are records of their own.
     """
-    rows = with_row_key(
+    rows = with_place(
         pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     )
     digest = F.sha2(F.col("html").cast("binary"), 256)
@@ -100,7 +100,11 @@ def write_archives(
 
 
 def _segments(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, block, place, value)``: what stands after each magic, in the order of the file."""
+    """``(file, block, place, value)``: what stands after each magic, in the order of the file.
+
+    ``block`` and ``place`` depend on the splits: they order the rows of one
+    job.  A later job finds a segment by its offset or its digest.
+    """
     text = spark.read.option("lineSep", MAGIC).text(path)
     return text.select(
         F.col("_metadata.file_path").alias("file"),
@@ -110,6 +114,18 @@ def _segments(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _digest(value: Column) -> Column:
+    return F.unhex(F.sha2(value.cast("binary"), 256))
+
+
+def _values(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """``(digest, value)`` of the segments whose digests are in ``wanted``, each digest once."""
+    found = _segments(spark, path).select(_digest(F.col("value")).alias("digest"), "value")
+    found = found.join(wanted.select("digest"), "digest", "left_semi")
+    # written, so that a join with it can split a digest that many records share
+    return written(found.groupBy("digest").agg(F.first("value").alias("value")), "values")
+
+
 def _header(head: Column, name: str) -> Column:
     found = F.regexp_extract(head, rf"(?i)(?:\A|\r\n){name}:[ \t]*([^\r\n]*?)[ \t]*(?:\r\n|\z)", 1)
     return F.when(found != "", found)
@@ -146,7 +162,7 @@ def _payload(value: Column, head: Column, length: Column) -> Column:
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """A row per segment: ``file, offset, size``, its header fields, the offset ``next`` of the
-    record's successor if it starts with a header, and bytes and digest of a whole payload."""
+    record's successor if it starts with a header, its digest, and bytes and digest of a whole payload."""
     parsed = _segments(spark, path).withColumn("h", _parse(F.col("value")))
     length = F.expr("try_cast(h.length AS bigint)")
     sound = F.col("h.type").isNotNull() & length.isNotNull() & (F.col("h.size") >= F.col("h.head"))
@@ -161,6 +177,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
             F.when(sound, F.col("h.head") + length + len(END) + len(MAGIC)).alias("extent"),
             F.col("h.size").alias("size"),
             whole.alias("whole"),
+            _digest(F.col("value")).alias("digest"),
             F.octet_length(payload).cast("long").alias("payload_bytes"),
             F.sha2(payload, 256).alias("payload_digest"),
         ),
@@ -179,7 +196,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         placed.withColumn("offset", offset)
         .withColumn("next", F.col("offset") + F.col("extent"))
         .where("offset >= 0")
-        .drop("before", "start", "extent")
+        .drop("block", "place", "before", "start", "extent")
     )
 
 
@@ -221,10 +238,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     segments = written(candidates(spark, path), "candidates")
     chain = written(reachable(segments.where(F.col("next").isNotNull()).select("file", "offset", "next")), "chain")
     records = segments.join(chain, ["file", "offset"])
-    stored = records.where("whole OR type = 'revisit'").drop("whole", "size", "block", "place")
+    stored = records.where("whole OR type = 'revisit'").drop("whole", "size", "digest")
     # records of several segments: the payload holds magic
     split = records.where("NOT whole AND type <> 'revisit'")
-    split = split.drop("payload_bytes", "payload_digest", "whole", "size", "block", "place")
+    split = split.drop("payload_bytes", "payload_digest", "whole", "size", "digest")
     joined = assemble(spark, path, segments, split)
     measured = joined.withColumns(
         {"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)}
@@ -250,17 +267,17 @@ def assemble(spark: SparkSession, path: str, segments: DataFrame, records: DataF
     segments of a record meet in one row, which is as large as the record.
     """
     spans = records.select("file", F.col("offset").alias("record"), "next")
-    of_file = segments.select("file", "offset", "block", "place").join(spans.select("file").distinct(), "file", "left_semi")
+    of_file = segments.select("file", "offset", "digest").join(spans.select("file").distinct(), "file", "left_semi")
     marked = of_file.unionByName(
         spans.select("file", F.col("record").alias("offset"), "record", "next"), allowMissingColumns=True
     )
     upto = Window.partitionBy("file").orderBy("offset").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     owner = F.max(F.when(F.col("record").isNotNull(), F.struct("record", "next"))).over(upto)
-    parts = marked.withColumn("owner", owner).where("place IS NOT NULL AND offset < owner.next")
+    parts = marked.withColumn("owner", owner).where("digest IS NOT NULL AND offset < owner.next")
     parts = parts.withColumn("record", F.col("owner.record"))
-    wanted = written(parts.select("file", "block", "place", "record"), "parts")
-    values = _segments(spark, path).join(wanted, ["file", "block", "place"])
-    whole = values.groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("all"))
+    wanted = written(parts.select("file", "record", "offset", "digest"), "parts")
+    values = wanted.join(_values(spark, path, wanted), "digest")
+    whole = values.groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("offset", "value"))).alias("all"))
     text = F.array_join(F.transform("all", lambda x: x["value"]), MAGIC)
     whole = whole.select("file", F.col("record").alias("offset"), text.alias("text"))
     whole = whole.withColumn("h", _parse(F.col("text")))
@@ -273,8 +290,8 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     segments = written(candidates(spark, path), "candidates")
     chain = reachable(segments.where(F.col("next").isNotNull()).select("file", "offset", "next"))
     records = written(segments.join(chain, ["file", "offset"]).where("type <> 'revisit'"), "records")
-    whole = records.where("whole").select("file", "offset", "block", "place")
-    values = _segments(spark, path).join(whole, ["file", "block", "place"]).withColumn("h", _parse(F.col("value")))
+    whole = records.where("whole").select("file", "offset", "digest")
+    values = whole.join(_values(spark, path, whole), "digest").withColumn("h", _parse(F.col("value")))
     payload = _payload(F.col("value"), F.col("h.head"), F.expr("try_cast(h.length AS bigint)"))
     split = assemble(spark, path, segments, records.where("NOT whole").select("file", "offset", "next"))
     return values.select("file", "offset", payload.alias("payload")).union(split.select("file", "offset", "payload"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buzzscore.llm import decontaminate, jaccard_join, line_dedup, queries, toxicity
-from buzzscore.llm.common import fresh, read_table, with_row_key, written
+from buzzscore.llm.common import fresh, keyed, read_table, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of similar texts."""
     key = fresh(docs, "rk")
-    others = written(jaccard_join.similar_texts(docs).where("NOT first").select(F.col("rk").alias(key)), "others")
-    return with_row_key(docs, key).join(others, key, "left_anti").select(*docs.columns)
+    table = keyed(docs, key)
+    similar = jaccard_join.similar_texts(table, key_col=key)
+    others = written(similar.where("NOT first").select(F.col("rk").alias(key)), "others")
+    return table.join(others, key, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
