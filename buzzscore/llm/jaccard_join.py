@@ -369,6 +369,8 @@ def similar_texts(
     members = component.join(sets.select("set", "size", "copies"), "set")
     weight = F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("size") / BLOCK_SHINGLES)
     blocks = members.groupBy("component").agg(F.ceil(weight).alias("blocks"))
+    # written, as the heads below, so that the joins have shuffles of their own: Spark can split a hot component
+    blocks = written(blocks, "blocks")
     members = written(members.join(blocks, "component"), "members")
     texts = table.select(F.col("rk").alias("set"), "text").join(members, "set")
     tiles = _tiles(texts, "blocks").repartition("component", "low", "high").sortWithinPartitions("component", "low", "high")
@@ -381,11 +383,11 @@ def similar_texts(
     groups = groups.withColumnRenamed("id", "set")
 
     known = sets.select("set", "set_id", "s1", "s2", "size", "copies").join(linked, "set", "left").join(groups, "set", "left")
-    known = known.withColumn("component", F.coalesce("component", "set"))
+    known = written(known.withColumn("component", F.coalesce("component", "set")), "known")
     heads = known.groupBy("component").agg(
         F.min(F.struct(F.col("set_id").isNull().alias("last"), F.col("set_id").alias("id"), F.col("set").alias("rk"))).alias("head")
     )
-    known = known.join(heads, "component").select(
+    known = known.join(written(heads, "heads"), "component").select(
         "s1", "s2", "size", "set_id", "copies", "texts", "documents", F.col("head.id").alias("head_id"), F.col("head.rk").alias("head_rk")
     )
     zero = F.lit(0).cast("long")

@@ -6,9 +6,9 @@ line) stays and every later one covers its three lines.  A text loses the lines
 that at least one of its windows covers.
 
 Plan: windows are narrow rows (key, line, two hashes), so that the search for
-repeats shuffles no text.  The minimum per hash is combined in the map tasks;
-flagging is a join, which adaptive execution splits where one window is in a
-large share of all texts.  Texts are shuffled once, to meet their flags.
+repeats shuffles no text.  The minimum per hash is combined in the map tasks
+and written; flagging is a join of two tables as read, which adaptive execution
+can split where one window is in a large share of all texts.  Texts are shuffled once, to meet their flags.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buzzscore.llm.common import fresh, keyed, let
+from buzzscore.llm.common import fresh, keyed, let, written
 
 WINDOW = 3
 
@@ -58,6 +58,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         .where("n > 1")
         .select("h1", "h2", F.col("first.rk").alias("first_rk"), F.col("first.pos").alias("first_pos"))
     )
+    # written, so that the join has shuffles of its own: Spark can split a hot window there
+    first = written(first, "first")
     return (
         windows.join(first, ["h1", "h2"])
         .where((F.col("rk") != F.col("first_rk")) | (F.col("pos") != F.col("first_pos")))

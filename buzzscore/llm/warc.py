@@ -71,6 +71,8 @@ def write_archives(
         .agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "rk")).alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
     )
+    # written, so that the join has a shuffle of its own: Spark can split a hot payload there
+    first = written(first, "first")
     revisits = (
         long_.join(first, "digest")
         .where("rk <> first.rk")
