@@ -365,14 +365,14 @@ def similar_texts(
     links = candidate_links(sets.select("set", "size", "embedding", "codes"), runs_for(recall, similarity), similarity)
     component = connected_components(links).withColumnRenamed("id", "set")
 
-    # the exact check, in tiles of the components
+    # the exact check, in tiles of the components; texts meet their members by a shuffle at any size
     members = component.join(sets.select("set", "size", "copies"), "set")
     weight = F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("size") / BLOCK_SHINGLES)
     blocks = members.groupBy("component").agg(F.ceil(weight).alias("blocks"))
     # written, as the heads below, so that the joins have shuffles of their own: Spark can split a hot component
     blocks = written(blocks, "blocks")
     members = written(members.join(blocks, "component"), "members")
-    texts = table.select(F.col("rk").alias("set"), "text").join(members, "set")
+    texts = table.select(F.col("rk").alias("set"), "text").join(members.hint("merge"), "set")
     tiles = _tiles(texts, "blocks").repartition("component", "low", "high").sortWithinPartitions("component", "low", "high")
     tiles = tiles.select("component", "low", "high", "block", "set", "copies", word_hashes(F.col("text")).alias("words"))
     checked = written(
