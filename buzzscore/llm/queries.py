@@ -291,10 +291,20 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.dedup_substrings(docs).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+        "doc_id",
+        F.col("kept_text").alias("text"),
+        "n_bytes",
+        "n_removed",
+        "n_spans",
+        F.sha2("kept", 256).alias("kept_sha256"),
     )
 
 
+# hex of a kept run, without the rest of a character at either end
+_WHOLE = (
+    "regexp_replace(regexp_replace(p, '^([89AB][0-9A-F])+', ''), "
+    "'([CD][0-9A-F]|E[0-9A-F]([89AB][0-9A-F])?|F[0-9A-F]([89AB][0-9A-F]){0,2})$', '')"
+)
 OP10_SQL = """
 WITH d AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
@@ -311,13 +321,16 @@ spans AS (SELECT doc_id, run, min(s) AS a, max(s) + 400 AS b FROM r GROUP BY ALL
 pieces AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS c FROM spans),
 kept AS (
   SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS stop,
-         string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) AS k
-  FROM pieces JOIN d USING (doc_id) GROUP BY doc_id)
-SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+         string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) AS k,
+         string_agg({whole}, '' ORDER BY a) AS t
+  FROM (SELECT pieces.*, d.h, substr(d.h, 2 * c + 1, 2 * (a - c)) AS p FROM pieces JOIN d USING (doc_id)) GROUP BY doc_id),
+tail AS (SELECT d.doc_id, substr(h, 2 * coalesce(stop, 0) + 1) AS p FROM d LEFT JOIN kept USING (doc_id)),
+text AS (SELECT doc_id, {whole} AS t FROM tail)
+SELECT d.doc_id, decode(unhex(coalesce(kept.t, '') || text.t)) AS text, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
        CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
        sha256(unhex(coalesce(k, '') || substr(h, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
-FROM d LEFT JOIN kept USING (doc_id)
-"""
+FROM d LEFT JOIN kept USING (doc_id) JOIN text ON text.doc_id = d.doc_id
+""".replace("{whole}", _WHOLE)
 
 
 QUERIES = {

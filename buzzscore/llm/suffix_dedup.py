@@ -306,7 +306,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def _remove(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """``(data, spans)`` -> merged spans and what they leave."""
-    kind = pa.struct([("kept", pa.binary()), ("starts", pa.list_(pa.int32())), ("stops", pa.list_(pa.int32()))])
+    kind = pa.struct([("kept", pa.binary()), ("whole", pa.string()), ("starts", pa.list_(pa.int32())), ("stops", pa.list_(pa.int32()))])
     for data, spans in batches:
         out = []
         for text, all_ in zip(data.to_pylist(), spans.to_pylist(), strict=True):
@@ -320,18 +320,20 @@ def _remove(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
                 else:
                     merged.append(list(s))
             edges = [0, *[x for m in merged for x in m], len(text)]
-            kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            out.append({"kept": kept, "starts": [m[0] for m in merged], "stops": [m[1] for m in merged]})
+            runs = [text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+            whole = "".join(run.decode("utf-8", "ignore") for run in runs)
+            out.append({"kept": b"".join(runs), "whole": whole, "starts": [m[0] for m in merged], "stops": [m[1] for m in merged]})
         yield pa.array(out, kind)
 
 
 def dedup_substrings(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """All rows and columns of ``docs``, and ``kept`` (binary), ``n_bytes, n_removed, n_spans, starts, stops``.
+    """All rows and columns of ``docs``, and ``kept`` (binary), ``kept_text, n_bytes, n_removed, n_spans, starts, stops``.
 
     A text is its UTF-8 bytes.  Every byte goes that is covered by a string of
     ``length`` bytes that starts anywhere else too, in any text, overlapping
     included; all copies go, the first one as well.  ``starts`` and ``stops``
-    are the maximal runs removed.
+    are the maximal runs removed; ``kept_text`` is what is left as text, without
+    the rest of a character that a cut divides.
 
     * A null text counts as empty; texts shorter than ``length`` keep all.
     * Repeated rows are texts of their own, so they remove each other.
@@ -345,7 +347,7 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text", length: int = LENG
     spans = repeated_spans(table.select(F.col(key).alias("rk"), binary.alias("data")), length)
     of_text = spans.groupBy(F.col("rk").alias(key)).agg(F.collect_list(F.struct("start", "stop")).alias(marks))
     remove = F.arrow_udf(
-        _remove, "struct<kept:binary,starts:array<int>,stops:array<int>>", F.ArrowUDFType.SCALAR_ITER
+        _remove, "struct<kept:binary,whole:string,starts:array<int>,stops:array<int>>", F.ArrowUDFType.SCALAR_ITER
     )
     out = table.withColumn(data, binary).join(of_text, key, "left")
     out = out.withColumn(done, remove(F.when(F.col(marks).isNotNull(), F.col(data)), F.col(marks)))
@@ -354,6 +356,7 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text", length: int = LENG
     none = F.array().cast("array<int>")
     results = {
         "kept": kept,
+        "kept_text": F.coalesce(F.col(f"{done}.whole"), F.col(text_col), F.lit("")),
         "n_bytes": n_bytes,
         "n_removed": n_bytes - F.octet_length(kept),
         "n_spans": F.coalesce(F.size(f"{done}.starts"), F.lit(0)).cast("long"),

@@ -49,9 +49,13 @@ def test_against_all_windows(make, monkeypatch, seed, family, chunk):
     docs = corpus(seed)
     df = make(docs)
     out = S.dedup_substrings(df)
-    assert out.columns == [*df.columns, "_kept", "n_bytes", "n_removed", "n_spans", "starts", "stops"]
+    assert out.columns == [*df.columns, "_kept", "kept_text", "n_bytes", "n_removed", "n_spans", "starts", "stops"]
     got = {x["doc_id"]: (bytes(x["_kept"]), x["n_bytes"], x["n_removed"], x["starts"], x["stops"]) for x in out.collect()}
     want = brute([(t or "").encode() for t in docs])
+    for x in out.collect():
+        edges = [0, *[e for span in zip(x["starts"], x["stops"]) for e in span], x["n_bytes"]]
+        whole = (docs[x["doc_id"]] or "").encode()
+        assert x["kept_text"] == "".join(whole[a:b].decode("utf-8", "ignore") for a, b in zip(edges[::2], edges[1::2]))
     assert {i: got[i] for i in range(len(docs))} == dict(enumerate(want))
 
 
