@@ -54,16 +54,17 @@ def read_posts(
 
 
 def deal_out(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan out to all cores if it is a single split.
+    """Deal the rows of a file scan out to all cores if fewer splits than cores have rows.
 
-    A file of one row group cannot be read in parallel, and text work on it
-    would run in one task.  A single split is at most
-    ``spark.sql.files.maxPartitionBytes`` or one row group, so what is shuffled
-    here is bounded; an input of two splits or more is never touched.
+    A row group cannot be read in parallel: it belongs to the split that its
+    middle is in, and the other splits of its file have no rows.  Counting the
+    splits that have some reads no column.  There are fewer of them than
+    cores, each of at most ``spark.sql.files.maxPartitionBytes`` or one row
+    group, so what is shuffled here is bounded by the cores, whatever the input.
     """
-    if df.rdd.getNumPartitions() > 1:
-        return df
-    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.select(F.spark_partition_id().alias("split")).distinct().limit(cores).count()
+    return df if splits >= cores else df.repartition(2 * cores)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
