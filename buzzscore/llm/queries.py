@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buzzscore.llm import decontaminate, jaccard_join, licenses, line_dedup, mixing, suffix_dedup, topk, toxicity, url_filter, warc
+from buzzscore.llm import decontaminate, filter_audit, jaccard_join, licenses, line_dedup, mixing, suffix_dedup, topk, toxicity, url_filter, warc
 from buzzscore.llm.common import read_table, scratch
 
 # --- parameters of the registered queries -------------------------------------
@@ -333,6 +333,48 @@ FROM d LEFT JOIN kept USING (doc_id) JOIN text ON text.doc_id = d.doc_id
 """.replace("{whole}", _WHOLE)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir.rstrip('/')}/documents.parquet"
+    return filter_audit.audit(spark, path, read_table(spark, sf_dir, "labels")).drop("filter")
+
+
+OP11_SQL = """
+WITH RECURSIVE w AS (
+  SELECT *, list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT coalesce(lang, '') AS part, coalesce(good, FALSE) AS good, coalesce(l.toxic, FALSE) AS toxic,
+         CASE WHEN len(w) < 200 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(coalesce(text, ''), '[^A-Z]', '', 'g')) > 3 * length(coalesce(text, '')) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(coalesce(text, ''), '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY coalesce(text, '')) THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN l USING (doc_id)),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT x AS o FROM letters UNION ALL SELECT o || x FROM orders, letters WHERE len(o) < 5 AND NOT contains(o, x)),
+steps AS (SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM orders WHERE len(o) = 5),
+counts AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL),
+t AS (
+  SELECT *, contains(fails, substr(o, step, 1)) AS here, regexp_matches(fails, '[' || substr(o, 1, step - 1) || '_]') AS gone
+  FROM counts, steps),
+s AS (
+  SELECT part, o AS filter_order, step, substr(o, step, 1) AS x,
+         coalesce(sum(n) FILTER (WHERE NOT here AND NOT gone), 0) AS kept,
+         coalesce(sum(n) FILTER (WHERE here AND NOT gone), 0) AS removed,
+         coalesce(sum(n) FILTER (WHERE here AND gone), 0) AS redundant,
+         coalesce(sum(n) FILTER (WHERE fails = substr(o, step, 1)), 0) AS unique_fails,
+         coalesce(sum(n) FILTER (WHERE here AND NOT gone AND good), 0) AS good_lost,
+         coalesce(sum(n) FILTER (WHERE here AND NOT gone AND toxic), 0) AS toxic_lost
+  FROM t GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM s
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
@@ -344,6 +386,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_topk": op9_topk,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_filter_audit": op11_filter_audit,
 }
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
@@ -353,4 +396,5 @@ ORACLE_SQL = {
     "op7_mixing": OP7_SQL,
     "op9_topk": OP9_SQL,
     "op10_suffix_dedup": OP10_SQL,
+    "op11_filter_audit": OP11_SQL,
 }
