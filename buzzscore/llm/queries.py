@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buzzscore.llm import decontaminate, filter_audit, jaccard_join, licenses, line_dedup, mixing, suffix_dedup, topk, toxicity, url_filter, warc
+from buzzscore.llm import conversation_repair, decontaminate, filter_audit, jaccard_join, licenses, line_dedup, mixing, suffix_dedup, topk, toxicity, url_filter, warc
 from buzzscore.llm.common import read_table, scratch
 
 # --- parameters of the registered queries -------------------------------------
@@ -375,6 +375,77 @@ FROM s
 """
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damage_and_repair(read_table(spark, sf_dir, "conversations"))
+
+
+# The forward search: a row per conversation, place and state, with its cheapest way; edits are compared as text.
+OP12_SQL = """
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+  FROM conversations),
+b AS (  -- CRC-32 a bit at a time: each byte is followed by eight shifts
+  SELECT *, flatten(list_transform(range(1, len(key) + 1), lambda i: [ord(substr(key, i, 1)), -1, -1, -1, -1, -1, -1, -1, -1])) AS bits
+  FROM k),
+c AS (
+  SELECT conv_id, turn, role, text,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bits),
+             lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, CAST(3988292384 AS BIGINT)) ELSE a // 2 END),
+             CAST(4294967295 AS BIGINT)) % 20 AS kind
+  FROM b),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(0, CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM c WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM d),
+f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ \\t-\\r]') THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][ \\t-\\r]*$') THEN 'truncated' ELSE '' END AS fault,
+         substr(role, 1, 1) AS r, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM o),
+totals AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id),
+steps(q, r, q2) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+names(r, name) AS (VALUES ('u', 'user'), ('a', 'assistant')),
+ins(q, q2, cost, edits, lines) AS (  -- none, one or two insertions
+  SELECT unnest([0, 1, 2, 3]), unnest([0, 1, 2, 3]), 0, '', CAST([] AS VARCHAR[])
+  UNION ALL SELECT ins.q, s.q2, cost + 2, edits || 'I', list_append(lines, name || ':')
+  FROM ins JOIN steps s ON s.q = ins.q2 JOIN names USING (r) WHERE len(edits) < 2),
+way AS (
+  SELECT conv_id, 0 AS i, 0 AS q, 0 AS cost, '' AS edits, CAST([] AS VARCHAR[]) AS lines FROM totals
+  UNION ALL
+  SELECT conv_id, i, q, w.cost, w.edits, w.lines FROM (
+    SELECT conv_id, i, q, min(struct_pack(cost := cost, edits := edits, lines := lines)) AS w FROM (
+      SELECT w.conv_id, f.i, e.q2 AS q, w.cost + ins.cost + e.cost + CASE WHEN e.edit <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END AS cost,
+             w.edits || ins.edits || e.edit AS edits,
+             list_concat(list_concat(w.lines, ins.lines), CASE e.edit WHEN 'D' THEN CAST([] AS VARCHAR[])
+               WHEN 'K' THEN [f.role || ':' || f.text] ELSE [e.name || ':' || f.text] END) AS lines
+      FROM way w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 JOIN ins ON ins.q = w.q
+      JOIN (SELECT q, q2, r, 'K' AS edit, 0 AS cost, NULL AS name FROM steps
+            UNION ALL SELECT q, q2, NULL, 'R', 2, name FROM steps JOIN names USING (r)
+            UNION ALL SELECT unnest([0, 1, 2, 3]), unnest([0, 1, 2, 3]), NULL, 'D', 3, NULL) e
+        ON e.q = ins.q2 AND (e.edit <> 'K' OR e.r = f.r) AND (e.edit = 'D' OR fault NOT IN ('blank', 'duplicate')))
+    GROUP BY conv_id, i, q)),
+done AS (
+  SELECT w.conv_id, min(struct_pack(cost := w.cost + ins.cost, edits := w.edits || ins.edits, lines := list_concat(w.lines, ins.lines))) AS w
+  FROM way w JOIN totals t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.n = w.i JOIN ins ON ins.q = w.q
+  WHERE ins.q2 IN (0, 3) GROUP BY w.conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(w.cost, 0) AS BIGINT) AS cost,
+       coalesce(w.edits, '') AS audit, sha256(coalesce(array_to_string(w.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN totals t ON t.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
@@ -387,6 +458,7 @@ QUERIES = {
     "op9_topk": op9_topk,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_filter_audit": op11_filter_audit,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
@@ -397,4 +469,5 @@ ORACLE_SQL = {
     "op9_topk": OP9_SQL,
     "op10_suffix_dedup": OP10_SQL,
     "op11_filter_audit": OP11_SQL,
+    "op12_conversation_repair": OP12_SQL,
 }
