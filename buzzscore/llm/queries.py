@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buzzscore.llm import conversation_repair, decontaminate, filter_audit, jaccard_join, licenses, line_dedup, mixing, suffix_dedup, topk, toxicity, url_filter, warc
+from buzzscore.llm import conversation_repair, decontaminate, filter_audit, jaccard_join, licenses, line_dedup, mixing, suffix_dedup, token_files, topk, toxicity, url_filter, warc
 from buzzscore.llm.common import read_table, scratch
 
 # --- parameters of the registered queries -------------------------------------
@@ -446,6 +446,15 @@ LEFT JOIN totals t ON t.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done ON
 """
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = scratch(spark, "tokens")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    token_files.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_tokens(spark, path)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
@@ -459,6 +468,7 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_filter_audit": op11_filter_audit,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_token_files": op13_token_files,
 }
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
