@@ -16,13 +16,17 @@ overwrites itself; the sums of all folders are the counters.
 Rows of one text are combined in each Arrow batch before the shuffle: of the
 rows there only those of the smallest id can be the table's first, all others
 are copies already.  A text that a third of all rows share costs a row per
-Arrow batch.  State is kept in RocksDB, whose changes go to the checkpoint.
+Arrow batch.  Texts are kept by their digest, those of one range of digests as
+one value of the state store, since a call of Python for each text would cost
+more than all else; there is a range per ``RANGE_BYTES`` of input.  Which store
+holds them is the session's choice
+(``spark.sql.streaming.stateStore.providerClass``; RocksDB if some 70 bytes a
+text are more than the executors' memory).
 """
 
 from __future__ import annotations
 
 import itertools
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,9 +48,10 @@ SYMBOLS = r"[#$%&*|]"
 COPY = 1 << FILTERS.index("E")
 #: Micro-batches that the files of one run are dealt to, however many files there are.
 BATCHES = 4
+#: Input per range of digests: some thousand texts.
+RANGE_BYTES = 8 << 20
 
-_CHANGE = "key binary, id long, part string, mask int, good boolean, toxic boolean, n long"
-_HOLDER = "id long, mask int, good boolean, toxic boolean, parts string"
+_CHANGE = "range long, key binary, id long, part string, mask int, good boolean, toxic boolean, n long"
 _COUNTER = "part string, mask int, good boolean, toxic boolean, n long"
 ORDERS = ["".join(p) for p in itertools.permutations(FILTERS)]
 
@@ -69,7 +74,7 @@ def document_marks(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     """``key`` (digest of the text), ``id, part, mask, good, toxic`` of each document; ``labels`` has a row per id."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     marks = docs.select(
-        F.unhex(F.sha2(text, 256)).alias("key"),
+        F.unhex(F.md5(text.cast("binary"))).alias("key"),
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"),
         text_mask(text).alias("mask"),
@@ -80,13 +85,16 @@ def document_marks(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     return joined.select("key", "id", "part", "mask", F.coalesce("good", none).alias("good"), F.coalesce("toxic", none).alias("toxic"))
 
 
+_FIELDS = [("key", pa.binary()), ("id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("good", pa.bool_()), ("toxic", pa.bool_()), ("n", pa.int64())]
+_CLASS = ["part", "mask", "good", "toxic"]
+
+
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks -> changes: candidates for a text's smallest id under its digest, all that is settled under short keys.
+    """Marks -> changes: candidates for a text's smallest id, and sums of what is settled, without an id.
 
-    Settled are copies of a smaller id in the same batch, and rows without an
-    id.  A short key is eight bytes of a digest, so it does not depend on when
-    or where a task runs.
+    Settled are copies of a smaller id in the same batch, and rows without an id.
     """
+    schema = pa.schema([("range", pa.int64()), *_FIELDS])
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -95,57 +103,44 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         copies = (df["id"] > least).fillna(False).to_numpy(bool)
         settled = copies | df["id"].isna().to_numpy(bool)
         df["mask"] = df["mask"].astype("int64") | np.where(copies, COPY, 0)
-        done = df[settled].groupby(["part", "mask", "good", "toxic"], as_index=False).agg(key=("key", "min"), n=("mask", "size"))
-        done["key"] = done["key"].map(lambda k: k[:8])
+        done = df[settled].groupby(_CLASS, as_index=False).agg(range=("range", "min"), key=("key", "min"), n=("mask", "size"))
         done["id"] = pd.Series(pd.NA, index=done.index, dtype="Int64")
-        first = df[~settled].groupby(["key", "id", "part", "mask", "good", "toxic"], as_index=False).size().rename(columns={"size": "n"})
-        schema = pa.schema(
-            [("key", pa.binary()), ("id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("good", pa.bool_()), ("toxic", pa.bool_()), ("n", pa.int64())]
-        )
+        first = df[~settled].groupby(["range", "key", "id", *_CLASS], as_index=False).size().rename(columns={"size": "n"})
         for part in (first, done):
             if len(part):
                 yield pa.RecordBatch.from_pandas(part[schema.names], schema, preserve_index=False)
 
 
-def _update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Changes of one text -> changes of the counters; keeps its smallest id and that one's holders.
+def merge(held: pa.Table, changes: pd.DataFrame) -> tuple[pa.Table, pd.DataFrame]:
+    """The smallest ids' holders so far and new changes -> the holders after them, and the changes of the counters.
 
     Rows may share the smallest id (repeated rows): all of them are firsts, so
-    the state has how many there are in each part.
+    there are as many holders as there are parts among them.
     """
-    digest = key[0]
-    if len(digest) == 8:  # settled
-        yield from frames
-        return
-    frames = list(frames)
-    rows = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-    held = state.get if state.exists else None
-    if held is None and len(rows) == 1:  # a text's first row, as most are
-        r = rows.iloc[0]
-        state.update((int(r["id"]), int(r["mask"]), bool(r["good"]), bool(r["toxic"]), json.dumps({r["part"]: int(r["n"])})))
-        yield rows
-        return
-    least = int(rows["id"].min())
-    out: list[tuple] = []
-    holders: dict[str, int] = {}
-    if held is not None:
-        least, old = min(least, held[0]), json.loads(held[4])
-        _, mask, good, toxic, _ = held
-        if least == held[0]:
-            holders = old
-        else:
-            for part, n in old.items():
-                out.append((digest, None, part, mask, good, toxic, -n))
-                out.append((digest, None, part, mask | COPY, good, toxic, n))
-    same = (held[0], *held[1:4]) if held is not None and least == held[0] else None
-    for r in rows.itertuples(index=False):
-        first = int(r.id) == least
-        out.append((digest, int(r.id), r.part, int(r.mask) | (0 if first else COPY), bool(r.good), bool(r.toxic), int(r.n)))
-        if first:
-            holders[r.part] = holders.get(r.part, 0) + int(r.n)
-            same = (least, int(r.mask), bool(r.good), bool(r.toxic))
-    state.update((*same, json.dumps(holders)))
-    yield pd.DataFrame(out, columns=["key", "id", "part", "mask", "good", "toxic", "n"])
+    names = [f for f, _ in _FIELDS]
+    settled = changes["id"].isna()
+    new, old = changes.loc[~settled, names], held.to_pandas()
+    rows = pd.concat([new, old], ignore_index=True) if len(old) else new.reset_index(drop=True)
+    rows["id"] = rows["id"].astype("int64")
+    first = (rows["id"] == rows.groupby("key")["id"].transform("min")).to_numpy(bool)
+    known = np.arange(len(rows)) >= len(new)
+    added = rows[~known].assign(mask=lambda d: d["mask"] | np.where(first[~known], 0, COPY))
+    retracted = rows[known & ~first]
+    copies = retracted.assign(mask=retracted["mask"] | COPY)
+    counted = pd.concat([changes.loc[settled, names], added, retracted.assign(n=-retracted["n"]), copies])
+    holders = rows[first].groupby(["key", "id", *_CLASS], as_index=False)["n"].sum()
+    return pa.Table.from_pandas(holders[names], pa.schema(_FIELDS), preserve_index=False), counted.groupby(_CLASS, as_index=False)["n"].sum()
+
+
+def _update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """:func:`merge` on the state of a range of digests."""
+    held = pa.ipc.open_stream(state.get[0]).read_all() if state.exists else pa.schema(_FIELDS).empty_table()
+    held, counted = merge(held, pd.concat(list(frames), ignore_index=True))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, held.schema) as out:
+        out.write_table(held)
+    state.update((sink.getvalue().to_pybytes(),))
+    yield counted
 
 
 def run_stream(
@@ -170,47 +165,40 @@ def run_stream(
     home = home or scratch(spark, "filter-audit")
     table = spark.read.parquet(path)
     docs = table.select(*dict.fromkeys([id_col, text_col, part_col]))
-    files = len(table.inputFiles())
+    files = table.select("_metadata.file_path", "_metadata.file_size").distinct()
+    files, size = files.agg(F.count(F.lit(1)), F.sum("file_size")).first()
     changes = f"{home}/changes"
     counters = spark.createDataFrame([], _COUNTER)
     if files:
+        ranges = _ranges(spark, home, max(1, -(-size // RANGE_BYTES)))
         # the last letter as a pattern: Spark lists a single file as a stream only by a pattern
         stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", files_per_batch or -(-files // BATCHES))
         stream = stream.parquet(f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]")
         marks = document_marks(stream, labels, id_col, text_col, part_col)
-        changed = marks.mapInArrow(_combine, _CHANGE).groupBy("key").applyInPandasWithState(_update, _CHANGE, _HOLDER, "append", "NoTimeout")
+        marks = marks.select(F.pmod(F.xxhash64("key"), F.lit(ranges)).alias("range"), "*")
+        changed = marks.mapInArrow(_combine, _CHANGE).groupBy("range").applyInPandasWithState(_update, _COUNTER, "holders binary", "append", "NoTimeout")
 
         def add(batch: DataFrame, number: int) -> None:
-            sums = batch.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).where("n <> 0")
+            sums = batch.groupBy(*_CLASS).agg(F.sum("n").alias("n")).where("n <> 0")
             sums.write.mode("overwrite").parquet(f"{changes}/batch={number}")
 
-        with _rocksdb(spark):
-            query = changed.writeStream.foreachBatch(add).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
+        query = changed.writeStream.foreachBatch(add).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
         counters = spark.read.schema(_COUNTER).option("recursiveFileLookup", True).parquet(changes)
-    return counters.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).where("n <> 0")
-
-
-class _rocksdb:
-    """The state store for the streams that start inside: on disk, with one memory bound for an executor."""
+    return counters.groupBy(*_CLASS).agg(F.sum("n").alias("n")).where("n <> 0")
 
-    CONF = {
-        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
-    }
 
-    def __init__(self, spark: SparkSession):
-        self.conf = spark.conf
+def _ranges(spark: SparkSession, home: str, wanted: int) -> int:
+    """The number of ranges of digests: that of the first call with ``home``, since its state goes by it."""
+    path = f"{home}/ranges"
+    if not _exists(spark, path):
+        spark.range(wanted, wanted + 1).coalesce(1).write.parquet(path)
+    return spark.read.parquet(path).first()[0]
 
-    def __enter__(self) -> None:
-        self.before = {k: self.conf.get(k, None) for k in self.CONF}
-        for k, v in self.CONF.items():
-            self.conf.set(k, v)
 
-    def __exit__(self, *_) -> None:
-        for k, v in self.before.items():
-            self.conf.unset(k) if v is None else self.conf.set(k, v)
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def interactions(counters: DataFrame) -> DataFrame:
