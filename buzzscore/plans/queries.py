@@ -287,6 +287,14 @@ def q_csv_roundtrip(spark, sf_dir):
     return finalize(C.clean_posts(read_posts(spark, path, fmt="csv", schema=RAW_POST)))
 
 
+def q_csv_split(spark, sf_dir):
+    """Every field quoted, so that all line breaks of the texts are inside
+    quotes, read back in splits that begin anywhere, then cleaned."""
+    path = scratch_path(spark, f"csv-split-{uuid.uuid4().hex}")
+    _raw(spark, sf_dir).write.options(header=True, quoteAll=True, escape='"').csv(path)
+    return finalize(C.clean_posts(read_posts(spark, path, fmt="csv", schema=RAW_POST)))
+
+
 def _through_csv(spark, df, name: str, schema=None):
     """``df`` written as CSV into the shared folder and read back by its header."""
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from buzzscore.schema import RAW_POST, TEXT_POST, conform
+from buzzscore.sources.split_csv import read_split_csv
 
 # --- fixed values -----------------------------------------------------------
 # Strings read as missing in CSV input, besides the empty field.
@@ -34,21 +35,14 @@ def read_posts(
     read as text and converted after that; metrics become doubles (``5.0`` and
     ``6.5`` are numbers) unless ``schema`` says otherwise.
 
-    CSV splits are the unit of parallelism; ``multiLine`` keeps each file in
-    one split, so large inputs should come as many files (or as Parquet).
+    Files are read in any number of splits, also those with line breaks inside
+    quoted fields (:mod:`buzzscore.sources.split_csv`).
     """
     if fmt == "parquet":
         return conform(spark.read.parquet(path), schema or RAW_POST)
     if fmt != "csv":
         raise ValueError(f"unsupported format: {fmt}")
-    df = (
-        spark.read.option("header", True)
-        .option("inferSchema", False)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
+    df = read_split_csv(spark, path)
     values = [F.when(~F.col(f"`{c}`").isin(*CSV_MISSING), F.col(f"`{c}`")).alias(c) for c in df.columns]
     return conform(df.select(*values), schema or TEXT_POST)
 
