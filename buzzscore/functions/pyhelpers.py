@@ -136,6 +136,72 @@ def gram_partials(n_terms: int, block: int = 512):
     return run
 
 
+def _sparse_blocks(batches, block: int = 2048):
+    """Rows ``term_ids, weights`` of pandas batches -> ``(rows, row, id, weight)`` blocks."""
+    for pdf in batches:
+        for s in range(0, len(pdf), block):
+            ids, weights = pdf["term_ids"].iloc[s : s + block], pdf["weights"].iloc[s : s + block]
+            sizes = ids.map(len).to_numpy()
+            if sizes.sum():
+                yield len(sizes), np.repeat(np.arange(len(sizes)), sizes), np.concatenate(ids.to_list()), np.concatenate(weights.to_list())
+
+
+def _rows_times(n: int, rows: np.ndarray, ids: np.ndarray, weights: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Sparse rows times a dense matrix; rows come in order."""
+    out = np.zeros((n, v.shape[1]))
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    out[rows[first]] = np.add.reduceat(weights[:, None] * v[ids], first, axis=0)
+    return out
+
+
+def range_step(v: np.ndarray):
+    """``mapInPandas`` function: sparse rows -> ``xᵀ(xv)`` summed over the task's rows, a row per term."""
+
+    def run(batches):
+        total, seen = np.zeros(v.shape), np.zeros(len(v), bool)
+        for n, rows, ids, weights in _sparse_blocks(batches):
+            y = _rows_times(n, rows, ids, weights, v)
+            order = np.argsort(ids, kind="stable")
+            sorted_ids = ids[order]
+            first = np.flatnonzero(np.diff(sorted_ids, prepend=-1))
+            total[sorted_ids[first]] += np.add.reduceat(weights[order, None] * y[rows[order]], first, axis=0)
+            seen[sorted_ids[first]] = True
+        at = np.flatnonzero(seen)
+        out = pd.DataFrame(total[at], columns=[f"c{i}" for i in range(v.shape[1])])
+        out.insert(0, "term_id", at.astype(np.int32))
+        yield out
+
+    return run
+
+
+def triangle_of_rows(k: np.ndarray):
+    """``mapInPandas`` function: sparse rows -> the triangle R of the QR decomposition of their product with K."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        r, seen = np.zeros((0, k.shape[1])), False
+        for n, rows, ids, weights in _sparse_blocks(batches):
+            r, seen = np.linalg.qr(np.vstack([r, _rows_times(n, rows, ids, weights, k)]), mode="r"), True
+        if seen:
+            square = np.zeros((k.shape[1], k.shape[1]))
+            square[: len(r)] = r
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "r": [square.ravel()]})
+
+    return run
+
+
+def triangle_of_triangles(width: int):
+    """``applyInPandas`` function: the triangles of a group -> theirs together."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        r = np.linalg.qr(np.vstack([np.asarray(x).reshape(width, width) for x in pdf["r"]]), mode="r")
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "r": [r.ravel()]})
+
+    return run
+
+
 def moment_partials(n_cols: int, viral_weights: list[float]):
     """``mapInPandas`` function: per task, the count, mean vector and centred
     co-moment matrix of the ``n_cols`` input columns (merged across Arrow

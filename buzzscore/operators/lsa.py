@@ -29,7 +29,7 @@ MAX_COMPONENTS = 20
 RELATIVE_RANK_TOL = 1e-6
 
 
-#: Posts whose outer products one task sums up.
+#: Posts that are worth a partial Gram matrix of their own.
 POSTS_PER_PARTIAL = 2_500
 
 
@@ -37,11 +37,12 @@ def gram_matrix(vectors: DataFrame, n_terms: int, n_docs: int) -> DataFrame:
     """Upper-triangle cells ``(i, j, g)`` of XᵀX (non-zero cells only), from the
     rows' ``term_ids`` and ``weights``.
 
-    Each task emits up to F(F+1)/2 cells, so the sparse rows (small: at most F
-    entries) are dealt to one task per ``POSTS_PER_PARTIAL`` posts, however
-    many that are; a ``groupBy`` adds the partial sums.
+    Each task emits up to F(F+1)/2 cells, whatever the posts that it sums up,
+    so the sparse rows are dealt to as many tasks as there are cores at most;
+    a ``groupBy`` adds the partial sums.
     """
-    dealt = vectors.select("term_ids", "weights").repartition(max(1, -(-n_docs // POSTS_PER_PARTIAL)))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    dealt = vectors.select("term_ids", "weights").repartition(max(1, min(cores, -(-n_docs // POSTS_PER_PARTIAL))))
     partial = dealt.mapInArrow(gram_partials(n_terms), "i int, j int, g double")
     return partial.groupBy("i", "j").agg(F.sum("g").alias("g"))
 
@@ -78,7 +79,12 @@ def components_from_gram(g: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]
     evals, evecs = np.linalg.eigh(g)
     order = np.argsort(-evals, kind="stable")[:k]
     sig = np.sqrt(np.clip(evals[order], 0.0, None))
-    v = evecs[:, order].copy()
+    return fix_signs(evecs[:, order], sig, k)
+
+
+def fix_signs(v: np.ndarray, sig: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Components with the sign rule and the cut of weak ones, padded with zeros to ``k``."""
+    v = v.copy()
     for c in range(v.shape[1]):
         col = v[:, c]
         pivot = int(np.argmax(np.abs(col)))

@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from buzzscore.functions.pyhelpers import weigh_terms
 from buzzscore.functions.text import fold_accents, spark_stop_words, tokenize
 
-# Largest vocabulary that is collected to the driver and sent to the tasks.  The
-# SVD step also builds dense F x F matrices (32 MB at this bound) in each task.
-MAX_BROADCAST_TERMS = 2048
+# Largest vocabulary that is collected to the driver and sent to the tasks.
+MAX_BROADCAST_TERMS = 100_000
+# Up to this one the SVD comes from the Gram matrix, a dense F x F matrix (32 MB
+# at this bound) in each task; beyond it from the randomized solver.
+MAX_GRAM_TERMS = 2048
 
 
 @dataclass(frozen=True)

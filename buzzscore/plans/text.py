@@ -14,8 +14,9 @@ from buzzscore.operators.lsa import (
     gram_matrix,
     n_components_for,
 )
+from buzzscore.operators.randomized_svd import components_randomized
 from buzzscore.operators.sampling import DEFAULT_SEED, exact_sample
-from buzzscore.operators.tfidf import TfidfParams, exploded_terms, fit_vocabulary, row_vectors, with_terms
+from buzzscore.operators.tfidf import MAX_GRAM_TERMS, TfidfParams, exploded_terms, fit_vocabulary, row_vectors, with_terms
 from buzzscore.session import written
 
 
@@ -42,12 +43,20 @@ def fit_text_model(
 def fit_from_rows(
     rows: DataFrame, params: TfidfParams, strict: bool = False, n_components: int = MAX_COMPONENTS
 ) -> TextModel:
-    """Fit on a written table of posts with their ``terms``."""
+    """Fit on a written table of posts with their ``terms``.
+
+    Vocabularies of up to ``MAX_GRAM_TERMS`` terms by the exact solver, larger
+    ones by the randomized one.
+    """
     n_docs = rows.count()
     vocab = fit_vocabulary(exploded_terms(rows), n_docs, params)
     vectors = row_vectors(rows.select("terms"), vocab)
-    gram = collect_gram(gram_matrix(vectors, vocab.size, n_docs), vocab.size)
-    v, sig = components_from_gram(gram, n_components_for(vocab.size, strict, n_components))
+    k = n_components_for(vocab.size, strict, n_components)
+    if vocab.size > MAX_GRAM_TERMS:
+        v, sig = components_randomized(written(vectors, "vectors"), vocab.size, k)
+    else:
+        gram = collect_gram(gram_matrix(vectors, vocab.size, n_docs), vocab.size)
+        v, sig = components_from_gram(gram, k)
     return TextModel(vocab, v, sig, params)
 
 
