@@ -136,6 +136,41 @@ def gram_partials(n_terms: int, block: int = 512):
     return run
 
 
+def frequent_items(capacity: int):
+    """``mapInArrow`` function: lists of ``(term, tf)`` -> the task's frequent terms ``(term, n)``.
+
+    At most ``capacity`` counters are kept.  The row with a null term has what
+    was taken off every counter, at most: no count is too small by more.
+    """
+    kind = pa.schema([("term", pa.string()), ("n", pa.int64())])
+
+    def run(batches):
+        held, off = kind.empty_table(), 0
+        for batch in batches:
+            flat = pc.list_flatten(batch.column(0))
+            n = pc.cast(flat.field("tf"), pa.int64())
+            held = pa.concat_tables([held, pa.Table.from_arrays([flat.field("term"), n], schema=kind)])
+            if held.num_rows > 4 * capacity:
+                held, cut = trim(held)
+                off += cut
+        held, cut = trim(held)
+        off += cut
+        yield from held.to_batches()
+        yield pa.RecordBatch.from_pydict({"term": [None], "n": [off]}, kind)
+
+    def trim(table):
+        sums = table.group_by("term").aggregate([("n", "sum")]).rename_columns(["term", "n"])
+        if sums.num_rows <= capacity:
+            return sums.cast(kind), 0
+        n = sums.column("n").to_numpy()
+        cut = int(np.partition(n, len(n) - capacity - 1)[len(n) - capacity - 1])  # the one after the largest
+        keep = n > cut
+        left = pa.Table.from_arrays([sums.column("term").filter(pa.array(keep)), pa.array(n[keep] - cut)], schema=kind)
+        return left, cut
+
+    return run
+
+
 def _sparse_blocks(batches, block: int = 2048):
     """Rows ``term_ids, weights`` of pandas batches -> ``(rows, row, id, weight)`` blocks."""
     for pdf in batches:

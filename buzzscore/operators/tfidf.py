@@ -143,6 +143,11 @@ def fit_vocabulary(terms: DataFrame, n_docs: int, params: TfidfParams) -> Vocabu
             "TF-IDF produced 0 features. Relax the vectoriser parameters "
             "(lower min_df, raise max_df or max_features)."
         )
+    return number_terms(rows, n_docs)
+
+
+def number_terms(rows: list, n_docs: int) -> Vocabulary:
+    """The vocabulary of the kept ``term, df, cf`` rows: alphabetical ids and idf."""
     pdf = pd.DataFrame([r.asDict() for r in rows]).sort_values("term", kind="mergesort")
     pdf = pdf.reset_index(drop=True)
     pdf["term_id"] = np.arange(len(pdf), dtype=np.int32)

@@ -25,6 +25,7 @@ from buzzscore.operators.tfidf import (
     row_vectors,
     with_terms,
 )
+from buzzscore.operators.top_terms import fit_vocabulary_by_summary
 from buzzscore.operators.reports import (
     histogram,
     hourly_trend,
@@ -155,6 +156,14 @@ def q_vocabulary(spark, sf_dir):
     return vocab.to_spark(spark).select("term", "term_id", "df", "cf")
 
 
+def q_vocabulary_by_summary(spark, sf_dir):
+    """The vocabulary from frequent-items summaries, exact counts for candidates only."""
+    params = TfidfParams()
+    rows = written(with_terms(_docs(spark, sf_dir), params).drop("content"), "terms")
+    vocab, _ = fit_vocabulary_by_summary(rows, rows.count(), params)
+    return vocab.to_spark(spark).select("term", "term_id", "df", "cf")
+
+
 def q_idf_table(spark, sf_dir):
     _, vocab = _vocab(spark, sf_dir)
     return finalize(vocab.to_spark(spark).select("term", "idf"))
