@@ -171,6 +171,37 @@ def frequent_items(capacity: int):
     return run
 
 
+def probe_filters(bits: int, probes: int = 7):
+    """Cogrouped ``applyInArrow`` function: a partition's keys ``_p, _h1, _h2`` and its Bloom filter ``_p, bits``.
+
+    Gives the keys whose bits were all set before, with null ``bits``, and the
+    filter with all keys added, with null hashes.  ``bits`` is a power of two.
+    """
+
+    def run(keys: pa.Table, filters: pa.Table) -> pa.Table:
+        part = (keys if keys.num_rows else filters).column("_p")[0].as_py()
+        words = np.zeros(bits // 8, np.uint8)
+        if filters.num_rows:
+            words = np.frombuffer(filters.column("bits")[0].as_py(), np.uint8).copy()
+        h1 = keys.column("_h1").to_numpy().view(np.uint64)
+        h2 = keys.column("_h2").to_numpy().view(np.uint64) | np.uint64(1)
+        at = (h1[:, None] + np.arange(probes, dtype=np.uint64) * h2[:, None]) & np.uint64(bits - 1)
+        byte, mask = (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+        seen = ((words[byte] & mask) != 0).all(axis=1)
+        np.bitwise_or.at(words, byte.ravel(), mask.ravel())
+        n = int(seen.sum())
+        return pa.table(
+            {
+                "_p": pa.array([part] * (n + 1), pa.int32()),
+                "_h1": pa.array([*h1[seen].view(np.int64).tolist(), None], pa.int64()),
+                "_h2": pa.array([*keys.column("_h2").to_numpy()[seen].tolist(), None], pa.int64()),
+                "bits": pa.array([None] * n + [words.tobytes()], pa.binary()),
+            }
+        )
+
+    return run
+
+
 def _sparse_blocks(batches, block: int = 2048):
     """Rows ``term_ids, weights`` of pandas batches -> ``(rows, row, id, weight)`` blocks."""
     for pdf in batches:

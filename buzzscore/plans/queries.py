@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType, TimestampType
 from buzzscore.operators import clean as C
 from buzzscore.operators.collect import collect_recent
 from buzzscore.operators.engagement import add_engagement, coerce_metrics
+from buzzscore.operators.incremental_dedup import CleanPosts
 from buzzscore.operators.lsa import feature_names, gram_matrix
 from buzzscore.operators.onepass import fit_scoring_stats
 from buzzscore.operators.tfidf import (
@@ -83,6 +84,27 @@ def q_dedup_posts(spark, sf_dir):
     return finalize(C.dedup_posts(normed).select("post_id", "timestamp", "content"))
 
 
+#: Batches that the posts arrive in, by ranges of their ids.
+ARRIVALS = 4
+
+
+def q_dedup_incremental(spark, sf_dir):
+    """The posts in batches as they arrive, each cleaned and compared with the
+    clean posts before it; equal posts are far apart, so most meet across batches."""
+    raw = _raw(spark, sf_dir)
+    first, last = raw.agg(F.min("post_id"), F.max("post_id")).first()
+    home = scratch_path(spark, f"clean-posts-{uuid.uuid4().hex}")
+    schema = C.normalize_posts(raw).select("post_id", "timestamp", "content").schema
+    clean = CleanPosts(spark, home, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields))
+    step = ((last or 0) - (first or 0)) // ARRIVALS + 1
+    for k in range(ARRIVALS):
+        begin = (first or 0) + k * step
+        arrived = raw.where((F.col("post_id") >= begin) & (F.col("post_id") < begin + step))
+        normed = C.normalize_posts(arrived).where(F.col("timestamp").isNotNull())
+        clean.add(k, normed.select("post_id", "timestamp", "content"))
+    return finalize(clean.posts(ARRIVALS))
+
+
 def q_newest_posts(spark, sf_dir):
     return finalize(C.preview(_clean(spark, sf_dir)))
 
