@@ -35,19 +35,20 @@ BITS = 1 << 20
 KEY = ("content", "timestamp")
 
 
-def _keyed(posts: DataFrame) -> DataFrame:
+def _keyed(posts: DataFrame, partitions: int) -> DataFrame:
     """With ``_h1, _h2``, hashes of the key, and ``_p``, its partition; nulls are values of their own."""
     key = [x for c in KEY for x in (F.col(c), F.col(c).isNull())]
     out = posts.withColumns({"_h1": F.xxhash64(*key), "_h2": F.xxhash64(F.lit(1), *key)})
-    return out.withColumn("_p", F.pmod("_h1", F.lit(PARTITIONS)).cast("int"))
+    return out.withColumn("_p", F.pmod("_h1", F.lit(partitions)).cast("int"))
 
 
 class CleanPosts:
     """The clean posts of the batches so far, in the folder ``home`` on shared storage."""
 
-    def __init__(self, spark: SparkSession, home: str, schema: str):
-        """``schema`` has the posts' columns as DDL."""
+    def __init__(self, spark: SparkSession, home: str, schema: str, partitions: int = PARTITIONS, bits: int = BITS):
+        """``schema`` has the posts' columns as DDL; ``partitions`` and ``bits`` (a power of two) stay with the folder."""
         self.spark, self.home, self.schema = spark, home.rstrip("/"), schema
+        self.partitions, self.bits = partitions, bits
 
     def _read(self, batches: Sequence[int]) -> DataFrame:
         kind = f"{self.schema}, _h1 long, _h2 long, _p int"
@@ -73,14 +74,14 @@ class CleanPosts:
         ``order_by``.  Null content equals null content.  A post without a
         timestamp is none that can be compared: leave such out before.
         """
-        fresh = written(_keyed(dedup_posts(posts, order_by)), "batch")
+        fresh = written(_keyed(dedup_posts(posts, order_by), self.partitions), "batch")
         keys = fresh.select("_p", "_h1", "_h2")
         probed = keys.groupBy("_p").cogroup(self._filters(batch).groupBy("_p"))
-        probed = written(probed.applyInArrow(probe_filters(BITS), "_p int, _h1 long, _h2 long, bits binary"), "probed")
+        probed = written(probed.applyInArrow(probe_filters(self.bits), "_p int, _h1 long, _h2 long, bits binary"), "probed")
         probed.where("bits IS NOT NULL").select("_p", "bits").write.mode("overwrite").parquet(f"{self.home}/filter/batch={batch}")
 
         maybe = probed.where("bits IS NULL").select("_p", "_h1", "_h2").distinct()
-        touched = [r._p for r in maybe.select("_p").distinct().collect()]  # at most PARTITIONS
+        touched = [r._p for r in maybe.select("_p").distinct().collect()]  # at most `partitions`
         earlier = self._read(range(batch)).where(F.col("_p").isin(touched)) if touched else self._read([])
         place = ["_p", "_h1", "_h2"]
         suspects = written(fresh.join(maybe, place, "left_semi"), "suspects")

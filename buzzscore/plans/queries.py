@@ -95,7 +95,7 @@ def q_dedup_incremental(spark, sf_dir):
     first, last = raw.agg(F.min("post_id"), F.max("post_id")).first()
     home = scratch_path(spark, f"clean-posts-{uuid.uuid4().hex}")
     schema = C.normalize_posts(raw).select("post_id", "timestamp", "content").schema
-    clean = CleanPosts(spark, home, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields))
+    clean = CleanPosts(spark, home, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields), partitions=16)
     step = ((last or 0) - (first or 0)) // ARRIVALS + 1
     for k in range(ARRIVALS):
         begin = (first or 0) + k * step

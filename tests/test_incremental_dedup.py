@@ -29,12 +29,10 @@ def first_of_all(all_):
 
 
 @pytest.mark.parametrize("bits", [8, 1 << 16])
-def test_equals_a_dedup_of_all(spark, monkeypatch, bits):
+def test_equals_a_dedup_of_all(spark, bits):
     """Filters of 8 bits are full at once: every key is a suspect, and the result is the same."""
-    monkeypatch.setattr(D, "BITS", bits)
-    monkeypatch.setattr(D, "PARTITIONS", 4)
     all_ = batches(bits)
-    clean = D.CleanPosts(spark, scratch_path(spark, f"clean-{bits}"), SCHEMA)
+    clean = D.CleanPosts(spark, scratch_path(spark, f"clean-{bits}"), SCHEMA, 4, bits)
     counts = [clean.add(k, spark.createDataFrame(b, SCHEMA)) for k, b in enumerate(all_)]
     assert sorted(r.post_id for r in clean.posts(4).collect()) == first_of_all(all_)
     assert clean.posts(4).columns == ["post_id", "content", "timestamp", "extra"]
@@ -44,9 +42,8 @@ def test_equals_a_dedup_of_all(spark, monkeypatch, bits):
     assert sorted(r.post_id for r in clean.posts(4).collect()) == first_of_all(all_)
 
 
-def test_a_new_key_reads_nothing(spark, monkeypatch):
-    monkeypatch.setattr(D, "PARTITIONS", 4)
-    clean = D.CleanPosts(spark, scratch_path(spark, "clean-new"), SCHEMA)
+def test_a_new_key_reads_nothing(spark):
+    clean = D.CleanPosts(spark, scratch_path(spark, "clean-new"), SCHEMA, 4)
     day = dt.datetime(2025, 1, 1)
     clean.add(0, spark.createDataFrame([(1, "a", day, ""), (2, None, day, "")], SCHEMA))
     got = clean.add(1, spark.createDataFrame([(3, "new", day, "")], SCHEMA))

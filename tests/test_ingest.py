@@ -9,7 +9,7 @@ from buzzscore.operators.scoring import classify
 from buzzscore.operators.tfidf import TfidfParams
 from buzzscore.plans.pipeline import ScoringConfig, run_scoring
 from buzzscore.schema import RAW_POST, TEXT_POST, conform
-from buzzscore.sources.posts import posts_from_testdata, read_posts
+from buzzscore.sources.posts import deal_out, posts_from_testdata, read_posts
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,6 +32,23 @@ def test_csv_goes_by_the_header(spark, tmp_path):
         read_posts(spark, _csv(tmp_path, "a,b\n1,2\n"))
 
 
+def test_one_row_group_in_several_splits_is_dealt_out(spark, tmp_path):
+    """All rows of a row group belong to one split, however many splits its file gives."""
+    path = str(tmp_path / "one.parquet")
+    spark.range(20_000).selectExpr("id", "repeat(uuid(), 20) AS text").coalesce(1).write.parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        df = spark.read.parquet(path)
+        filled = lambda d: d.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert df.rdd.getNumPartitions() > 1 and filled(df) == 1
+        assert filled(deal_out(df)) >= spark.sparkContext.defaultParallelism
+        many = spark.read.parquet(path).repartition(50)
+        assert deal_out(many) is many
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 @pytest.mark.parametrize("value, as_long, as_double", [("12.7", None, 12.7), ("1e30", None, 1e30), ("12", 12, 12.0), ("12.5f", None, None), ("NaN", None, None)])
 def test_metrics_are_never_cut(spark, value, as_long, as_double):
     df = spark.createDataFrame([("2025-01-01", value)], "timestamp string, likes string")
