@@ -147,12 +147,13 @@ def frequent_items(capacity: int):
     def run(batches):
         held, off = kind.empty_table(), 0
         for batch in batches:
-            flat = pc.list_flatten(batch.column(0))
-            n = pc.cast(flat.field("tf"), pa.int64())
-            held = pa.concat_tables([held, pa.Table.from_arrays([flat.field("term"), n], schema=kind)])
-            if held.num_rows > 4 * capacity:
-                held, cut = trim(held)
-                off += cut
+            for begin in range(0, len(batch), 256):  # lists are long, so that a whole batch is not copied
+                flat = pc.list_flatten(batch.column(0).slice(begin, 256))
+                n = pc.cast(flat.field("tf"), pa.int64())
+                held = pa.concat_tables([held, pa.Table.from_arrays([flat.field("term"), n], schema=kind)])
+                if held.num_rows > 4 * capacity:
+                    held, cut = trim(held)
+                    off += cut
         held, cut = trim(held)
         off += cut
         yield from held.to_batches()
