@@ -346,6 +346,8 @@ def similar_texts(
     * Rows with equal ids are different rows; null ids come last, and ties
       follow the order in which the rows are read.
     * Other columns of ``docs`` play no part.
+    * A text of any length is read whole: all its shingles are together in a
+      task.
     """
     narrow = [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")]
     table = docs.select(F.col(key_col).alias("rk"), *narrow) if key_col else keyed(docs.select(*narrow))

@@ -79,6 +79,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
       follow the order in which they are read, and the first keeps its lines.
     * Columns of ``docs`` that have the names of the three counts are kept;
       the counts then carry underscores in front.
+    * A text of any length is read whole: its lines, and what is covered of
+      them, are together in the row's task.
     """
     key = fresh(docs, "rk")
     table = keyed(docs, key)

@@ -114,6 +114,8 @@ def mix(
     * Rows with equal ids (or null ids) share one place in the order and are
       taken or left together; a leaf never gets more than its share.
     * An empty table gives an empty result.
+    * A text of any length is one place with all its tokens; only their number
+      leaves the row.
     * Columns of ``docs`` that have a result's name are kept; the result then
       carries underscores in front.
     """

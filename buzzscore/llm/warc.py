@@ -60,6 +60,7 @@ def write_archives(
     * A null html is an empty payload; a null id or url leaves its header out.
     * Line breaks in an url are percent-encoded.
     * Rows with equal ids are records of their own.
+    * A payload of any length is one record, whole in the row's task.
     """
     rows = with_place(
         pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
