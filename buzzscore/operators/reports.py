@@ -8,7 +8,7 @@ third of all rows costs one partial row per task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from buzzscore.operators.sampling import DEFAULT_SEED, exact_sample
@@ -107,3 +107,20 @@ def pie_shares(df: DataFrame, n: int = CHART_SAMPLE, seed: int = DEFAULT_SEED) -
     """Label shares within the chart sample, percent with one decimal."""
     dist = signal_distribution(exact_sample(df, n, seed).select("post_id", "trading_signal"))
     return dist.select("trading_signal", "count", F.round("percent", 1).alias("percent"))
+
+
+def signal_cube(df: DataFrame, label_col: str = "trading_signal", tag_col: str = "hashtags") -> DataFrame:
+    """Posts over day x label x tag with all subtotals, and each cell's share of the cell with every label.
+
+    ``level`` is the grouping id: 4, 2 and 1 where day, label and tag are totals;
+    a null in a cell of a lower level is a missing value.  Rows are counted by
+    (day, label, tag) before they are spread to the eight grouping sets; shares
+    come from a window over the finished cube, so posts are read once.
+    """
+    cells = df.groupBy(F.to_date("timestamp").alias("day"), F.col(label_col).alias("label"), F.col(tag_col).alias("tag"))
+    cells = cells.agg(F.count(F.lit(1)).alias("n"))
+    cube = cells.cube("day", "label", "tag").agg(F.sum("n").alias("posts"), F.grouping_id().alias("level"))
+    parent = F.max(F.when(F.col("level").bitwiseAND(2) == 2, F.col("posts"))).over(
+        Window.partitionBy("day", "tag", F.col("level").bitwiseAND(5))
+    )
+    return cube.select("day", "label", "tag", "level", "posts", (F.lit(100.0) * F.col("posts") / parent).alias("percent"))

@@ -439,3 +439,117 @@ SELECT CAST(a.k AS INTEGER) AS i, CAST(b.k AS INTEGER) AS j,
        {rnd('total')} AS total, TRUE AS captured
 FROM k a JOIN k b ON a.k <= b.k, posts
 """
+
+
+# --- types, losses, a model fitted on a sample -----------------------------------------
+
+_POST_TEXTS = ("post_id", "username", "timestamp", "retweets", "likes", "replies", "mentions", "hashtags")
+
+INFERRED_TYPES = f"""
+WITH raw AS ({raw_posts_sql()}),
+ev AS (
+  SELECT event_id AS post_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp,
+         CASE WHEN event_id % 2 = 0 THEN CAST(CAST(value AS DECIMAL(20, 2)) AS VARCHAR) END AS retweets,
+         strftime(ts, '%Y-%m-%d') AS day, CAST(event_type = 'purchase' AS VARCHAR) AS paid, user_id AS hashtags
+  FROM events),
+vals AS (
+  SELECT unnest({list(_POST_TEXTS)}) AS col, unnest([{", ".join(f"CAST({c} AS VARCHAR)" for c in _POST_TEXTS)}]) AS v FROM raw
+  UNION ALL
+  SELECT unnest(['post_id', 'timestamp', 'retweets', 'day', 'paid', 'hashtags']),
+         unnest([CAST(post_id AS VARCHAR), timestamp, retweets, day, paid, CAST(hashtags AS VARCHAR)]) FROM ev),
+kinds AS (
+  SELECT col, trim(v) AS v,
+         CASE WHEN v IS NULL THEN NULL
+              WHEN regexp_full_match(trim(v), '[+-]?[0-9]+') THEN 'b long'
+              WHEN regexp_full_match(trim(v), '[+-]?[0-9]+[.][0-9]+') THEN 'c double'
+              WHEN lower(trim(v)) IN ('true', 'false') THEN 'a boolean'
+              WHEN TRY_CAST(trim(v) AS DATE) IS NOT NULL AND length(trim(v)) = 10 THEN 'd date'
+              WHEN TRY_CAST(trim(v) AS TIMESTAMP) IS NOT NULL THEN 'e timestamp'
+              ELSE 'f string' END AS kind
+  FROM vals),
+acc AS (SELECT col, kind, count(*) AS n, min(left(v, 40)) AS example FROM kinds GROUP BY ALL),
+per AS (
+  SELECT col, sum(n) AS n, coalesce(sum(n) FILTER (kind IS NULL), 0) AS nulls,
+         list(kind ORDER BY kind) FILTER (kind IS NOT NULL) AS k,
+         list(substr(kind, 3) || ' x ' || n || ' (' || example || ')' ORDER BY kind) FILTER (kind IS NOT NULL) AS why
+  FROM acc GROUP BY col)
+SELECT col AS "column",
+       CASE WHEN k IS NULL THEN 'string' WHEN len(k) = 1 THEN substr(k[1], 3)
+            WHEN k = ['b long', 'c double'] THEN 'double' WHEN k = ['d date', 'e timestamp'] THEN 'timestamp'
+            ELSE 'string' END AS type,
+       CAST(n AS BIGINT) AS rows, CAST(nulls AS BIGINT) AS nulls,
+       CASE WHEN len(k) > 1 THEN array_to_string(why[2:], ', ') END AS widened_by
+FROM per
+"""
+
+CAST_LOSSES = """
+WITH t AS (
+  SELECT doc_id % 11 = 0 AS word, 'id' || doc_id AS word_text,
+         doc_id % 3 = 0 AND n_chars IS NOT NULL AS part, n_chars || '.5' AS part_text, n_chars,
+         coalesce(n_chars > 1000, false) AS large, doc_id
+  FROM documents)
+SELECT 'post_id' AS "column", count(doc_id) AS present, count(*) FILTER (word) AS lost, min(word_text) FILTER (word) AS example FROM t
+UNION ALL SELECT 'timestamp', count(*), 0, NULL FROM t
+UNION ALL SELECT 'retweets', count(n_chars), count(*) FILTER (part), min(part_text) FILTER (part) FROM t
+UNION ALL SELECT 'likes', count(*) FILTER (large OR doc_id % 2 = 0), count(*) FILTER (large),
+                 CASE WHEN count(*) FILTER (large) > 0 THEN '99999999999999999999' END FROM t
+UNION ALL SELECT 'replies', count(*), 0, NULL FROM t
+"""
+
+VOCABULARY_ON_SAMPLE = f"""
+WITH half AS (
+  SELECT doc_id FROM documents ORDER BY md5('42|' || CAST(doc_id AS VARCHAR)), doc_id
+  LIMIT (SELECT count(*) // 2 FROM documents)),
+{text_ctes()
+    .replace("ndocs AS (SELECT count(*) AS n FROM docs)", "ndocs AS (SELECT count(*) AS n FROM half)")
+    .replace("FROM tf GROUP BY term)", "FROM tf WHERE doc_id IN (SELECT doc_id FROM half) GROUP BY term)")}
+SELECT d.doc_id, CAST(count(x) AS INTEGER) AS n_terms, {rnd('coalesce(sum(x), 0)')} AS weight
+FROM docs d LEFT JOIN normed ON d.doc_id = normed.doc_id GROUP BY d.doc_id
+"""
+
+# --- time ------------------------------------------------------------------------------
+
+_SESSIONS = """
+marked AS (
+  SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER u <= 21600000000 THEN 0 ELSE 1 END AS new
+  FROM events WHERE ts IS NOT NULL WINDOW u AS (PARTITION BY user_id ORDER BY ts)),
+numbered AS (
+  SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM marked),
+sessions AS (
+  SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_events
+  FROM numbered GROUP BY user_id, session)"""
+
+_POST_TIMES = """
+posts AS (
+  SELECT e.event_id AS post_id, e.user_id, CAST(date_trunc('minute', e.ts) AS TIMESTAMP) AS posted
+  FROM documents d JOIN events e ON d.doc_id = e.event_id)"""
+
+SESSIONS = f"""
+WITH {_SESSIONS}
+SELECT user_id, session_start, session_end, n_events FROM sessions
+"""
+
+ASOF_EVENT = f"""
+WITH {_POST_TIMES},
+last_of AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1)
+SELECT p.post_id, p.user_id, p.posted, e.event_id, e.ts, e.event_type
+FROM posts p ASOF LEFT JOIN last_of e ON p.user_id = e.user_id AND p.posted > e.ts
+"""
+
+POSTS_IN_SESSIONS = f"""
+WITH {_SESSIONS}, {_POST_TIMES}
+SELECT p.post_id, p.user_id, p.posted, s.session_start, s.session_end, s.n_events
+FROM posts p JOIN sessions s ON p.user_id = s.user_id AND p.posted BETWEEN s.session_start AND s.session_end
+"""
+
+SIGNAL_CUBE = f"""
+WITH {scored_ctes(day_grain=False)},
+cells AS (
+  SELECT CAST(timestamp AS DATE) AS day, trading_signal AS label, hashtags AS tag FROM scored),
+cubed AS (
+  SELECT day, label, tag, grouping(day, label, tag) AS level, count(*) AS posts
+  FROM cells GROUP BY CUBE (day, label, tag))
+SELECT day, label, tag, level, posts,
+       {rnd("100.0::DOUBLE * posts / max(posts) FILTER (level & 2 = 2) OVER (PARTITION BY day, tag, level & 5)")} AS percent
+FROM cubed
+"""

@@ -19,6 +19,7 @@ from buzzscore.operators.engagement import add_engagement, coerce_metrics
 from buzzscore.operators.incremental_dedup import CleanPosts
 from buzzscore.operators.lsa import feature_names, gram_matrix
 from buzzscore.operators.onepass import fit_scoring_stats
+from buzzscore.operators.sampling import exact_sample
 from buzzscore.operators.tfidf import (
     TfidfParams,
     exploded_terms,
@@ -26,12 +27,14 @@ from buzzscore.operators.tfidf import (
     row_vectors,
     with_terms,
 )
+from buzzscore.operators.time_joins import asof_join, interval_join, sessions
 from buzzscore.operators.top_terms import fit_vocabulary_by_summary
 from buzzscore.operators.reports import (
     histogram,
     hourly_trend,
     pie_shares,
     scatter_sample,
+    signal_cube,
     signal_distribution,
     summary,
 )
@@ -39,9 +42,11 @@ from buzzscore.operators.scoring import TOP_FEATURES, add_composite, feature_col
 from buzzscore.plans.pipeline import ScoringConfig, run_all, signals
 from buzzscore.plans.text import fit_and_featurize
 from buzzscore.sources.sinks import essential, write_posts, write_signals
-from buzzscore.schema import RAW_POST, conform, fill_text_nulls
+from buzzscore.schema import RAW_POST, cast_losses, conform, fill_text_nulls
 from buzzscore.session import prepare, scratch_path, written
 from buzzscore.sources.posts import documents_as_posts, posts_from_testdata, read_posts, tagged_events
+from buzzscore.sources.split_csv import read_split_csv
+from buzzscore.sources.type_inference import account, decide, merge
 
 ROUND = 6
 
@@ -445,3 +450,98 @@ def q_signals_strict(spark, sf_dir):
     featured = written(fixture_features(posts, docs), "featured")
     scored = add_composite(add_engagement(featured, strict=True), strict=True)
     return finalize(essential(scored))
+
+
+# --- types, losses, a model fitted on a sample -----------------------------------------
+
+
+def q_inferred_types(spark, sf_dir):
+    """Types of two CSV sources' columns, each from its own account of all values, merged:
+    posts, and events under the posts' names (``value`` as retweets, their own times)."""
+    posts = _raw(spark, sf_dir)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.col("event_id").alias("post_id"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
+        F.when(F.col("event_id") % 2 == 0, F.col("value").cast("decimal(20,2)").cast("string")).alias("retweets"),
+        F.date_format("ts", "yyyy-MM-dd").alias("day"),
+        (F.col("event_type") == "purchase").alias("paid"),
+        F.col("user_id").alias("hashtags"),
+    )
+    accounts = []
+    for name, df in (("posts", posts.drop("content")), ("events", events)):
+        path = scratch_path(spark, f"types-{name}-{uuid.uuid4().hex}")
+        write_posts(df, path, fmt="csv")
+        accounts.append(account(read_split_csv(spark, path)))
+    # spaces around a value in a quoted field belong to it, but not to its kind
+    return decide(merge(*accounts))
+
+
+def q_cast_losses(spark, sf_dir):
+    """What the storage schema would lose of text metrics: fractions, words, numbers beyond 64 bits."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    raw = docs.select(
+        F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("id"), F.col("doc_id").cast("string")))
+        .otherwise(F.col("doc_id").cast("string")).alias("post_id"),
+        F.lit("2024-01-01").alias("timestamp"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("n_chars").cast("string"), F.lit(".5")))
+        .otherwise(F.col("n_chars").cast("string")).alias("retweets"),
+        F.when(F.col("n_chars") > 1000, F.lit("99999999999999999999")).when(F.col("doc_id") % 2 == 0, "7").alias("likes"),
+        F.lit("12").alias("replies"),
+    )
+    return cast_losses(raw)
+
+
+def q_vocabulary_on_sample(spark, sf_dir):
+    """A model's terms and idf when it is fitted on half of the posts, and the posts of the rest weighed with them."""
+    docs = _docs(spark, sf_dir)
+    half = exact_sample(docs, docs.count() // 2)
+    rows = written(with_terms(half, TfidfParams()).drop("content"), "terms")
+    vocab = fit_vocabulary(exploded_terms(rows), rows.count(), TfidfParams())
+    vectors = row_vectors(with_terms(docs, TfidfParams()).drop("content"), vocab)
+    total = F.aggregate("weights", F.lit(0.0), lambda a, w: a + w)
+    return finalize(vectors.select(F.col("post_id").alias("doc_id"), F.size("weights").alias("n_terms"), total.alias("weight")))
+
+
+# --- time ------------------------------------------------------------------------------
+
+#: A user's session ends with a pause longer than this.
+SESSION_GAP = 6 * 3600
+
+
+def _events(spark, sf_dir):
+    prepare(spark)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _post_times(spark, sf_dir):
+    """Posts with their user, at the full minute of their time."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("event_id"))
+    at = F.date_trunc("minute", "ts").alias("posted")
+    return docs.join(_events(spark, sf_dir), "event_id").select(F.col("event_id").alias("post_id"), "user_id", at)
+
+
+def q_sessions(spark, sf_dir):
+    return finalize(sessions(_events(spark, sf_dir), ["user_id"], "ts", SESSION_GAP))
+
+
+def q_asof_event(spark, sf_dir):
+    """Each post with the latest earlier event of its user, and the latest within a day."""
+    events = _events(spark, sf_dir).select("event_id", "user_id", "ts", "event_type")
+    posts = _post_times(spark, sf_dir)
+    out = asof_join(posts, events, ["user_id"], "posted", "ts", ["event_id"], strictly=True)
+    return finalize(
+        out.select(
+            "post_id", "user_id", "posted", F.col("match.event_id").alias("event_id"), F.col("match.ts").alias("ts"),
+            F.col("match.event_type").alias("event_type"),
+        )
+    )
+
+
+def q_posts_in_sessions(spark, sf_dir):
+    """Posts with the sessions of their user that they fall into; users with most events are active nearly always."""
+    spans = sessions(_events(spark, sf_dir), ["user_id"], "ts", SESSION_GAP)
+    return finalize(interval_join(_post_times(spark, sf_dir), spans, "posted", "session_start", "session_end", by=["user_id"]))
+
+
+def q_signal_cube(spark, sf_dir):
+    return finalize(signal_cube(scored_fixture(spark, sf_dir, day_grain=False)))

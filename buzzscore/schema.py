@@ -120,6 +120,33 @@ def conform(
     return out
 
 
+def cast_losses(df: DataFrame, schema: StructType = RAW_POST) -> DataFrame:
+    """``(column, present, lost, example)``: values that ``conform`` makes null, per column of ``schema`` in ``df``.
+
+    One aggregation, a row per task.  ``present`` counts values that are not
+    null, ``example`` is the smallest lost one as text.  ``lost`` is 0 for a
+    column of the right type.  Collector names count as their own.
+    """
+    for old, new in RENAMES.items():
+        if old in df.columns and new not in df.columns:
+            df = df.withColumnRenamed(old, new)
+    names = [f.name for f in schema.fields if f.name in df.columns]
+    before = {c: f"_before_{i}" for i, c in enumerate(names)}
+    both = conform(df.withColumns({b: F.col(c) for c, b in before.items()}), schema)
+    aggs, cells = [], []
+    for i, (c, b) in enumerate(before.items()):
+        lost = F.col(b).isNotNull() & F.col(c).isNull()
+        aggs += [
+            F.count(b).alias(f"p{i}"),
+            F.count_if(lost).alias(f"l{i}"),
+            F.min(F.when(lost, F.col(b).cast("string"))).alias(f"e{i}"),
+        ]
+        cells.append(
+            F.struct(F.lit(c).alias("column"), F.col(f"p{i}").alias("present"), F.col(f"l{i}").alias("lost"), F.col(f"e{i}").alias("example"))
+        )
+    return both.agg(*aggs).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
+
 def fill_text_nulls(df: DataFrame, columns=("content", "username")) -> DataFrame:
     """Tolerant load rule: null text becomes ``''``."""
     return df.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in columns if c in df.columns})
