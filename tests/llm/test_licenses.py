@@ -25,6 +25,32 @@ OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
 SOFTWARE."""
 
 
+GPL3_OPENING = """
+                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+"""
+GPL3_END = """
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+
+
 @pytest.mark.parametrize(
     "text, found",
     [
@@ -34,7 +60,21 @@ SOFTWARE."""
         ("Licensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
         ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0-only"]),
         ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
-        ("# SPDX-License-Identifier: BSD-3-Clause\nimport os", ["bsd-3-clause"]),
+        ("# SPDX-License-Identifier: BSD-3-Clause\nimport os", ["BSD-3-Clause"]),
+        ("// SPDX-License-Identifier: (apache-2.0 OR MIT)\nReleased under the MIT License.", ["Apache-2.0", "MIT"]),
+        ("/* SPDX-License-Identifier: GPL-2.0+ WITH Linux-syscall-note AND bsd-3-clause */\nx", ["GPL-2.0-or-later", "BSD-3-Clause"]),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later OR LicenseRef-Own-1 OR LGPL-2.1", ["GPL-2.0-or-later", "licenseref-own-1", "LGPL-2.1-only"]),
+        (GPL3_OPENING, ["GPL-3.0-only"]),
+        (GPL3_OPENING + GPL3_END, ["GPL-3.0-only"]),
+        (GPL3_END, ["GPL-3.0-or-later"]),
+        ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999\n", ["LGPL-2.1-only"]),
+        ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS", ["Apache-2.0"]),
+        ("Mozilla Public License Version 2.0\n==================================\n\n1. Definitions", ["MPL-2.0"]),
+        (ZLIB, ["Zlib"]),
+        ("Licensed under the Eclipse Public License 2.0", ["EPL-2.0"]),
+        ("Creative Commons Attribution-ShareAlike 4.0 International Public License", ["CC-BY-SA-4.0"]),
+        ("CC0 1.0 Universal", ["CC0-1.0"]),
+        ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]),
         ("Released under the MIT License.\nLicensed under CC BY-NC 4.0.\nReleased under the MIT License.", ["MIT", "CC-BY-NC-4.0"]),
         ("A driving licence was permitted. The warranty of the car ran out.", []),
         ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", ["unknown"]),
@@ -64,6 +104,15 @@ EXAMPLES = {
     "bsd-named": ["Released under the 2-clause BSD license"],
     "mpl-named": ["Released under MPL 2.0", "Available under the Mozilla Public License, version 1.1"],
     "cc": ["Released under CC BY 4.0.", "Distributed under CC 0.", "Published under Creative Commons BY-SA 4.0 International."],
+    "gnu-title": ["GNU Affero General Public License Version 3, 19 November 2007", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"],
+    "apache-title": ["Apache License Version 2.0, January 2004"],
+    "mpl-title": ["Mozilla Public License Version 2.0"],
+    "boost": ["Distributed under the Boost Software License, Version 1.0."],
+    "epl": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at https www eclipse org legal epl 2 0"
+    ],
+    "cc-title": ["Attribution-NonCommercial 4.0 International", "Creative Commons Attribution 3.0 Unported"],
     "spdx": ["SPDX-License-Identifier: MIT"],
     "copyright": ["Copyright (c) 2019 Jane Doe"],
 }
@@ -133,3 +182,35 @@ def test_scan_keeps_rows_and_columns(make):
     got = {x["doc_id"]: x["_licenses"] for x in out.collect()}
     assert got == {0: [], 1: [], 2: [], 3: ["MIT"], 4: ["CC-BY-NC-4.0"], 5: ["CC-BY-NC-4.0"]}
     assert L.scan_licenses(make([])).count() == 0
+
+
+def brute_ids(text):
+    """Every run of whole lines of every part, the longest first: no cues, no bound on words."""
+    out = []
+    if "spdx" in text.lower():
+        text = L._SPDX_LINE.sub(lambda m: L._PLUS.sub("-or-later", m[1]) + "\n\n", text)
+    for part in L._SENTENCE_END.split(text):
+        lines = [x for x in map(L.normalise, part.split("\n")) if x]
+        runs = [(i, j) for i in range(len(lines)) for j in range(len(lines), i, -1)]
+        known = {r: L.sentence_id(" ".join(lines[slice(*r)])) for r in runs}
+        i = 0
+        while i < len(lines):
+            j = next((j for j in range(len(lines), i, -1) if known[i, j]), None)
+            if j:
+                out.append(known[i, j])
+            i = j or i + 1
+    return out
+
+
+def test_sentences_against_brute_force():
+    rnd = random.Random(7)
+    sentences = [t.replace("<holder>", "the board") for t in L.SENTENCES.values()]
+    examples = [x for xs in EXAMPLES.values() for x in xs]
+    for _ in range(60):
+        pieces = []
+        for _ in range(rnd.randrange(1, 7)):
+            words = rnd.choice([rnd.choice(sentences), rnd.choice(examples), "no more than words", "Licence of a warranty:"]).split()
+            cuts = sorted(rnd.sample(range(len(words) + 1), min(len(words), rnd.randrange(4))))
+            pieces.append("\n".join(" ".join(words[a:b]) for a, b in zip([0, *cuts], [*cuts, len(words)])))
+        text = rnd.choice(["\n", ".\n", "\n\n"]).join(pieces)
+        assert L.sentence_ids(text) == brute_ids(text), text
