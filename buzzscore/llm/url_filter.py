@@ -72,22 +72,22 @@ def grams(url: Column) -> Column:
     n-gram of one size still has one of another; an empty url has none.
     """
 
-    def of(part: Column, name: str, n: int) -> Column:
-        marked = F.concat(F.lit("^"), part, F.lit("$"))
-        starts = F.when(
-            (part != "") & (F.length(marked) >= n), F.sequence(F.lit(1), F.length(marked) - (n - 1))
-        ).otherwise(F.array().cast("array<int>"))
-        return let(
-            marked,
-            lambda s: F.transform(
-                starts,
-                lambda i: F.pmod(F.xxhash64(F.lit(name), F.substr(s, i, F.lit(n))), F.lit(BUCKETS)).cast("int"),
-            ),
+    def of(chars: Column, name: str, n: int) -> Column:
+        starts = F.when(F.size(chars) >= n, F.sequence(F.lit(0), F.size(chars) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(
+            starts,
+            lambda i: F.pmod(
+                F.xxhash64(F.lit(name), F.concat(*[F.get(chars, i + k) for k in range(n)])), F.lit(BUCKETS)
+            ).cast("int"),
         )
 
+    def all_sizes(part: Column, name: str) -> Column:
+        # cut into characters once: looking one up by its place does not read the text again
+        marked = F.when(part != "", F.split(F.concat(F.lit("^"), part, F.lit("$")), "")).otherwise(F.array().cast("array<string>"))
+        return let(marked, lambda chars: F.concat(*[of(chars, name, n) for n in GRAM_SIZES]))
+
     host, path = host_and_path(url)
-    parts = [of(part, name, n) for part, name in ((host, "host"), (path, "path")) for n in GRAM_SIZES]
-    return F.array_sort(F.array_distinct(F.concat(*parts)))
+    return F.array_sort(F.array_distinct(F.concat(all_sizes(host, "host"), all_sizes(path, "path"))))
 
 
 def _constant(values: Iterable[float]) -> Column:

@@ -98,3 +98,11 @@ def test_empty_tables_and_bounds(spark, model):
 def test_no_python_in_the_plan(spark, model):
     plan = U.judge(spark.createDataFrame([], "url string"), Q.URL_RULES, model)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_url_of_a_megabyte(spark):
+    """Every place of it counts: the only unusual n-grams are at its end."""
+    long = "https://host.example.com/" + "abcdefghij" * 100_000
+    df = spark.createDataFrame([(long,), (long + "zqx",), (long[:45],)], "url string")
+    whole, other, short = [set(r.g) for r in df.select(U.grams(F.col("url")).alias("g")).collect()]
+    assert short <= whole | other and len(whole ^ other) >= 3
