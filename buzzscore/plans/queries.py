@@ -540,7 +540,7 @@ def q_asof_event(spark, sf_dir):
 def q_posts_in_sessions(spark, sf_dir):
     """Posts with the sessions of their user that they fall into; users with most events are active nearly always."""
     spans = sessions(_events(spark, sf_dir), ["user_id"], "ts", SESSION_GAP)
-    return finalize(interval_join(_post_times(spark, sf_dir), spans, "posted", "session_start", "session_end", by=["user_id"]))
+    return finalize(interval_join(_post_times(spark, sf_dir), spans, "posted", "session_start", "session_end", by=["user_id"], bin_seconds=3600))
 
 
 def q_signal_cube(spark, sf_dir):
