@@ -96,11 +96,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 _SCRATCH: list[str] = []
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete the written tables of earlier calls; their results must be stored by then."""
+def scratch_mark() -> int:
+    """The number of written tables so far: where a job's own begin."""
+    return len(_SCRATCH)
+
+
+def drop_scratch(spark: SparkSession, begin: int = 0, end: int | None = None) -> None:
+    """Delete the written tables of earlier calls, or those from ``begin`` (a :func:`scratch_mark`) up to ``end``;
+    their results must be stored by then."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+    gone = _SCRATCH[begin:end]
+    del _SCRATCH[begin:end]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
 
 

@@ -34,6 +34,8 @@ BLOCK = 64
 CHUNK = 1 << 19
 #: Postings that a shard of the index may have; about 24 bytes each.
 MAX_POSTINGS = 1_000_000
+#: Postings, and words of items, that the whole index may have (some 300 MB); more are refused.
+MAX_INDEX = 8_000_000
 GRAM = 3
 
 
@@ -227,11 +229,19 @@ class Benchmark:
 def build_index(
     items: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = 0.5, max_postings: int = MAX_POSTINGS
 ) -> Benchmark:
-    """Null and empty items have no terms and match nothing; repeated items are items of their own."""
+    """Null and empty items have no terms and match nothing; repeated items are items of their own.
+
+    The index goes with the scan to every worker, so its size is bounded: items
+    of more than ``MAX_INDEX`` postings or words in all are refused, not cut.
+    """
     parts = written(item_parts(items, id_col, text_col), "items")
-    longest = parts.agg(F.max(F.size("question") + F.size("answer"))).first()[0] or 1
+    size = F.size("question") + F.size("answer")
+    longest, total = parts.agg(F.max(size), F.sum(size)).first()
+    longest = longest or 1
     index = written(postings(parts), "postings")
     n = index.count()
+    if max(n, total or 0) > MAX_INDEX:
+        raise ValueError(f"items of {n} postings and {total} words; the bound is {MAX_INDEX}: scan with parts of the items in turn")
     shards = max(1, -(-n // max_postings))
     shard = F.pmod(F.xxhash64("item"), F.lit(shards))
     out = []

@@ -5,7 +5,9 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from buzzscore.llm.common import connected_components, drop_scratch, scratch, sorted_groups, written
+import pytest
+
+from buzzscore.llm.common import connected_components, drop_scratch, scratch, scratch_mark, sorted_groups, written
 
 
 def test_components_of_paths_stars_and_random_edges(spark):
@@ -48,3 +50,13 @@ def test_scratch_tables_go(spark, tmp_path):
     assert df.count() == 3
     drop_scratch(spark)
     assert not os.path.exists(path)
+
+
+def test_drop_scratch_of_one_job(spark):
+    before = written(spark.range(3), "before")
+    mark = scratch_mark()
+    inner, last = written(spark.range(4), "inner"), written(spark.range(5), "last")
+    drop_scratch(spark, mark, -1)
+    assert (before.count(), last.count(), scratch_mark()) == (3, 5, mark + 1)
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        inner.count()

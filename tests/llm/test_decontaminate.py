@@ -109,3 +109,12 @@ def test_empty_tables(spark, make):
     assert [x["_item_ids"] for x in out.collect()] == [[], []]
     full = D.build_index(spark.createDataFrame([(1, "a b c d.")], "item_id long, text string"))
     assert D.find_items(make([]), full).count() == 0
+
+
+def test_an_index_beyond_the_bound_is_refused(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "a b c d."), (2, "e f g h.")], "item_id long, text string")
+    monkeypatch.setattr(D, "MAX_INDEX", 7)
+    with pytest.raises(ValueError, match="bound is 7"):
+        D.build_index(items)
+    monkeypatch.setattr(D, "MAX_INDEX", 8)
+    assert D.build_index(items).shards

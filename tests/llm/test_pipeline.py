@@ -75,7 +75,9 @@ def test_planted_cases(spark, corpus):
 def test_run_is_the_stages_in_order(spark, corpus):
     d, kinds, _ = corpus
     assert [n for n, _ in P.STAGES] == ["toxicity", "line_dedup", "jaccard_join", "decontamination", "mixing"]
+    begin = P.scratch_mark()
     got = P.run(spark, d)
+    assert P.scratch_mark() == begin + 1  # only the result is left
     assert {kinds[x["doc_id"]] for x in got.collect()} <= {"clean", "first", "first lines", "repeated lines", "blank"}
 
 
