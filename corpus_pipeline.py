@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buzzscore.llm import decontaminate, jaccard_join, line_dedup, queries, toxicity
-from buzzscore.llm.common import fresh, keyed, read_table, written
+from buzzscore.llm.common import drop_scratch, fresh, keyed, read_table, scratch_mark, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,10 +63,11 @@ STAGES: list[tuple[str, Stage]] = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over ``documents``; tables written before a stage's result go once that is stored."""
+    docs, begin = read_table(spark, sf_dir, "documents"), scratch_mark()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        drop_scratch(spark, begin, -1)
     return docs
 
 
