@@ -13,6 +13,7 @@ vocabulary (size bounded by ``max_features``) travels with the function.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -51,9 +52,19 @@ def _count_threshold(value: float, n_docs: int) -> float:
     return float(value) * n_docs
 
 
-def with_terms(df: DataFrame, params: TfidfParams, text_col: str = "content", terms_col: str = "terms") -> DataFrame:
+def with_terms(
+    df: DataFrame,
+    params: TfidfParams,
+    text_col: str = "content",
+    terms_col: str = "terms",
+    only: Sequence[str] | None = None,
+) -> DataFrame:
     """Add ``terms``: each post's distinct unigrams and bigrams with their counts,
-    sorted, as ``array<struct<term, tf>>``.  Nothing leaves the row."""
+    sorted, as ``array<struct<term, tf>>``.  Nothing leaves the row.
+
+    With ``only``, the terms of a vocabulary, all others are dropped before
+    they are sorted and counted: weights need no more.
+    """
     keep = df.columns
     text = F.coalesce(F.col(text_col), F.lit(""))
     prepped = fold_accents(text) if params.accent_fold else F.lower(text)
@@ -67,6 +78,8 @@ def with_terms(df: DataFrame, params: TfidfParams, text_col: str = "content", te
         terms = F.concat(F.col("_kept"), F.col("_bigrams"))
     else:
         terms = F.col("_kept")
+    if only is not None:
+        terms = F.filter(terms, lambda t: t.isin(list(only)))
     # Sorted term array, then run starts: positions where the value changes.
     # sort_array uses the native string ordering (array_sort plans a lambda
     # comparator that is interpreted per comparison).

@@ -494,11 +494,11 @@ def q_cast_losses(spark, sf_dir):
 
 def q_vocabulary_on_sample(spark, sf_dir):
     """A model's terms and idf when it is fitted on half of the posts, and the posts of the rest weighed with them."""
-    docs = _docs(spark, sf_dir)
-    half = exact_sample(docs, docs.count() // 2)
-    rows = written(with_terms(half, TfidfParams()).drop("content"), "terms")
-    vocab = fit_vocabulary(exploded_terms(rows), rows.count(), TfidfParams())
-    vectors = row_vectors(with_terms(docs, TfidfParams()).drop("content"), vocab)
+    docs, params = _docs(spark, sf_dir), TfidfParams()
+    n = docs.count() // 2
+    vocab = fit_vocabulary(exploded_terms(with_terms(exact_sample(docs, n), params)), n, params)
+    known = with_terms(docs, params, only=vocab.table["term"].tolist()).drop("content")
+    vectors = row_vectors(known, vocab)
     total = F.aggregate("weights", F.lit(0.0), lambda a, w: a + w)
     return finalize(vectors.select(F.col("post_id").alias("doc_id"), F.size("weights").alias("n_terms"), total.alias("weight")))
 

@@ -86,7 +86,8 @@ def fit_and_featurize(
 
 def add_text_features(posts: DataFrame, model: TextModel) -> DataFrame:
     """All rows and columns of ``posts`` and the model's features, in the row."""
-    return add_features(with_terms(posts, model.params), model)
+    known = model.vocab.table["term"].tolist()
+    return add_features(with_terms(posts, model.params, only=known), model)
 
 
 __all__ = ["fit_and_featurize", "fit_text_model", "add_text_features", "feature_names"]
