@@ -507,6 +507,54 @@ SELECT d.doc_id, CAST(count(x) AS INTEGER) AS n_terms, {rnd('coalesce(sum(x), 0)
 FROM docs d LEFT JOIN normed ON d.doc_id = normed.doc_id GROUP BY d.doc_id
 """
 
+# --- metrics and tags out of JSON ------------------------------------------------------
+
+_PROPS = """
+made AS (
+  SELECT event_id, regexp_extract(props, '[0-9]+') AS num, CASE event_id % 7
+    WHEN 0 THEN props
+    WHEN 1 THEN '{"k": "' || num || '", "tags": ["a", "' || event_type || '"]}'
+    WHEN 2 THEN '{"m": {"likes": ' || num || '}, "score": ' || num || '.5}'
+    WHEN 3 THEN '{"k": "n/a", "m": {"likes": "' || event_type || '"}, "score": "x", "tags": []}'
+    WHEN 4 THEN '{"k": ' || num
+    WHEN 5 THEN '{"k": null, "m": null, "score": 7}' END AS props
+  FROM events),
+parsed AS (
+  SELECT event_id, props IS NOT NULL AND NOT json_valid(props) AS malformed,
+    CASE WHEN json_valid(props) THEN CAST(props AS JSON) END AS v FROM made),
+taken AS (
+  SELECT event_id, malformed, v,
+    try_cast(v ->> '$.k' AS BIGINT) AS k, try_cast(v ->> '$.m.likes' AS BIGINT) AS likes, try_cast(v ->> '$.score' AS DOUBLE) AS score,
+    CASE WHEN json_type(v, '$.tags') = 'ARRAY' THEN array_to_string(CAST(v -> '$.tags' AS VARCHAR[]), ',') END AS tags
+  FROM parsed),
+marked AS (
+  SELECT *, v ->> '$.k' IS NOT NULL AND k IS NULL AS bad_k, v ->> '$.m.likes' IS NOT NULL AND likes IS NULL AS bad_likes,
+    v ->> '$.score' IS NOT NULL AND score IS NULL AS bad_score, v ->> '$.tags' IS NOT NULL AND tags IS NULL AS bad_tags
+  FROM taken)"""
+
+PROPS_SHREDDED = f"""
+WITH {_PROPS}
+SELECT event_id, k, likes, score, tags, malformed,
+  concat_ws(',', CASE WHEN bad_k THEN 'k' END, CASE WHEN bad_likes THEN 'likes' END,
+    CASE WHEN bad_score THEN 'score' END, CASE WHEN bad_tags THEN 'tags' END) AS misfits
+FROM marked
+"""
+
+PROPS_ACCOUNT = f"WITH {_PROPS}" + " UNION ALL ".join(
+    f"""
+SELECT '{c}' AS field, count(*) AS n_rows, count(*) FILTER (malformed) AS n_malformed,
+  count({c}) AS n_fit, count(*) FILTER (bad_{c}) AS n_misfit FROM marked"""
+    for c in ("k", "likes", "score", "tags")
+)
+
+PROPS_KINDS = f"""
+WITH {_PROPS},
+keys AS (SELECT v, unnest(json_keys(v)) AS key FROM parsed WHERE json_type(v) = 'OBJECT')
+SELECT key, CASE json_type(v, '$.' || key) WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'text'
+    WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind, count(*) AS n
+FROM keys GROUP BY ALL
+"""
+
 # --- time ------------------------------------------------------------------------------
 
 _SESSIONS = """

@@ -48,6 +48,8 @@ from buzzscore.session import prepare, scratch_path, written
 from buzzscore.sources.posts import documents_as_posts, posts_from_testdata, read_posts, tagged_events
 from buzzscore.sources.split_csv import read_split_csv
 from buzzscore.sources.type_inference import account, decide, merge
+from buzzscore.sources.variant_props import fit_account, key_kinds, shred
+from buzzscore.streaming.session_stream import run_sessions, stitch
 
 ROUND = 6
 
@@ -503,6 +505,47 @@ def q_vocabulary_on_sample(spark, sf_dir):
     return finalize(vectors.select(F.col("post_id").alias("doc_id"), F.size("weights").alias("n_terms"), total.alias("weight")))
 
 
+# --- metrics and tags out of JSON -------------------------------------------------------
+
+PROPS = {"k": ("$.k", "bigint"), "likes": ("$.m.likes", "bigint"), "score": ("$.score", "double"), "tags": ("$.tags", "array<string>")}
+
+
+def _props(spark, sf_dir):
+    """``events`` with its ``props`` in seven states: as they are, as text, nested, misfit, cut off, with JSON nulls, null."""
+    prepare(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    state = F.pmod("event_id", F.lit(7))
+    k = F.regexp_extract("props", "([0-9]+)", 1)
+    texts = [
+        F.col("props"),
+        F.concat(F.lit('{"k": "'), k, F.lit('", "tags": ["a", "'), "event_type", F.lit('"]}')),
+        F.concat(F.lit('{"m": {"likes": '), k, F.lit('}, "score": '), k, F.lit(".5}")),
+        F.concat(F.lit('{"k": "n/a", "m": {"likes": "'), "event_type", F.lit('"}, "score": "x", "tags": []}')),
+        F.concat(F.lit('{"k": '), k),
+        F.lit('{"k": null, "m": null, "score": 7}'),
+    ]
+    made = F.when(state == 0, texts[0])
+    for i, text in enumerate(texts[1:], 1):
+        made = made.when(state == i, text)
+    return events.select("event_id", made.alias("props"))
+
+
+def q_props_shredded(spark, sf_dir):
+    """Typed columns of the props, stored as Parquet and read back."""
+    table = written(shred(_props(spark, sf_dir), "props", PROPS).drop("props"), "props")
+    return finalize(
+        table.select("event_id", "k", "likes", "score", F.array_join("tags", ",").alias("tags"), "malformed", F.array_join("misfits", ",").alias("misfits"))
+    )
+
+
+def q_props_account(spark, sf_dir):
+    return fit_account(shred(_props(spark, sf_dir), "props", PROPS), PROPS)
+
+
+def q_props_kinds(spark, sf_dir):
+    return key_kinds(_props(spark, sf_dir), "props")
+
+
 # --- time ------------------------------------------------------------------------------
 
 #: A user's session ends with a pause longer than this.
@@ -525,6 +568,34 @@ def q_sessions(spark, sf_dir):
     return finalize(sessions(_events(spark, sf_dir), ["user_id"], "ts", SESSION_GAP))
 
 
+#: Parts in which ``events`` arrives, by time.
+ARRIVALS = 4
+
+
+def q_sessions_stream(spark, sf_dir):
+    """The sessions of a stream: ``events`` arrives in parts by time, each a micro-batch, then a row that closes the last slices."""
+    events = _events(spark, sf_dir).select("user_id", "ts").where("ts IS NOT NULL").withColumn("_closes", F.lit(False))
+    first, last = events.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    if first is None:
+        return finalize(sessions(events, ["user_id"], "ts", SESSION_GAP))
+    home = scratch_path(spark, f"sessions-stream-{uuid.uuid4().hex}")
+    source, width = f"{home}/arrivals", (last - first) // ARRIVALS // 1_000_000 + 1
+    at = lambda i: F.timestamp_micros(F.lit(first + i * width * 1_000_000))
+    for i in range(ARRIVALS):
+        part = events.where((F.col("ts") >= at(i)) & (F.col("ts") < at(i + 1)))
+        part.write.mode("append").parquet(source)
+    files = len(spark.read.parquet(source).inputFiles())
+    # after all slices and the time in which rows may still come
+    end = F.timestamp_micros(F.lit(last + (width + 17 * SESSION_GAP) * 1_000_000))
+    closing = spark.range(1).select(F.lit(None).cast(events.schema["user_id"].dataType).alias("user_id"), end.alias("ts"), F.lit(True).alias("_closes"))
+    closing.write.mode("append").parquet(source)
+    # a part may be several files, read in any order: rows may come late by a part
+    run_sessions(
+        spark, source, home, events.schema, ["user_id"], "ts", SESSION_GAP, lateness_seconds=width, files_per_batch=-(-files // ARRIVALS)
+    )
+    return finalize(stitch(spark.read.parquet(f"{home}/partials"), ["user_id"], SESSION_GAP))
+
+
 def q_asof_event(spark, sf_dir):
     """Each post with the latest earlier event of its user, and the latest within a day."""
     events = _events(spark, sf_dir).select("event_id", "user_id", "ts", "event_type")
