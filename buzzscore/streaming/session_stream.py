@@ -122,9 +122,14 @@ def run_sessions(
     output; another call goes on where the last one ended, also after a loss.
     ``late_rows`` came after the watermark had passed their time: they are in
     no session, and a run that has some can be followed by a batch repair.
+    ``lanes`` should be the cluster's cores or more; it stays that of the first
+    call with ``home``.
     """
-    previous = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)  # the state API needs it
+    # the state API needs RocksDB; a partition of the store per lane, since few slices are open at a time
+    settings = {_PROVIDER: _ROCKSDB, "spark.sql.shuffle.partitions": str(lanes)}
+    previous = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
         parts = partial_sessions(stream, by, time, gap_seconds, lateness_seconds, slice_seconds or 16 * gap_seconds, lanes)
@@ -138,7 +143,8 @@ def run_sessions(
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(_PROVIDER, previous) if previous else spark.conf.unset(_PROVIDER)
+        for k, v in previous.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     # a row a micro-batch, of one run
     late = lambda p: sum(o["numRowsDroppedByWatermark"] for o in p["stateOperators"])
     rows = [(p["batchId"], p["numInputRows"], late(p)) for p in query.recentProgress]
