@@ -43,7 +43,7 @@ from buzzscore.operators.scoring import TOP_FEATURES, add_composite, feature_col
 from buzzscore.plans.pipeline import ScoringConfig, run_all, signals
 from buzzscore.plans.text import fit_and_featurize
 from buzzscore.sources.sinks import essential, write_posts, write_signals
-from buzzscore.schema import RAW_POST, cast_losses, conform, fill_text_nulls
+from buzzscore.schema import METRICS, RAW_POST, cast_losses, conform, fill_text_nulls
 from buzzscore.session import prepare, scratch_path, written
 from buzzscore.sources.posts import documents_as_posts, posts_from_testdata, read_posts, tagged_events
 from buzzscore.sources.split_csv import read_split_csv
@@ -156,13 +156,18 @@ def q_collect_recent_window(spark, sf_dir):
     return _collect(spark, sf_dir, dt.date(2024, 1, 29))
 
 
+def _metrics(clean):
+    """Ids and metrics, written once: the statistics and the scores read them, and posts are not cleaned twice."""
+    return written(clean.select("post_id", *METRICS), "metrics")
+
+
 def q_engagement_signal(spark, sf_dir):
-    df = add_engagement(_clean(spark, sf_dir))
+    df = add_engagement(_metrics(_clean(spark, sf_dir)))
     return finalize(df.select("post_id", "engagement_signal"))
 
 
 def q_viral_norm(spark, sf_dir):
-    df = add_engagement(_clean(spark, sf_dir))
+    df = add_engagement(_metrics(_clean(spark, sf_dir)))
     return finalize(df.select("post_id", "viral_score", "viral_score_norm"))
 
 
@@ -391,7 +396,7 @@ def q_signals_csv(spark, sf_dir):
 def _with_nan(spark, sf_dir):
     clean = _clean(spark, sf_dir)
     nan = F.when(F.col("post_id") % 7 == 3, F.lit(float("nan"))).otherwise(F.col("retweets").cast("double"))
-    return clean.withColumn("retweets", nan)
+    return _metrics(clean.withColumn("retweets", nan))
 
 
 def q_engagement_nan(spark, sf_dir):
