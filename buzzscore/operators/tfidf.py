@@ -1,11 +1,11 @@
 """TF-IDF over post text, expressed as DataFrame operations.
 
-Per document, in the row (no shuffle): lowercase + accent fold, tokenise,
-drop stop words, add bigrams, then count each term with a sort + run-length
-pass over the term array.
+Per document, in the row (no shuffle): lowercase + accent fold, tokenise, then
+drop stop words, add bigrams and count each term in a small Arrow function.
 
-Fit: one ``groupBy(term)`` with map-side partial aggregation gives document
-frequency and corpus count; pruning and the ``max_features`` cut run on that
+Fit: a task adds up its documents' terms, at most some ``HELD_TERMS`` at a time;
+one ``groupBy(term)`` over that gives document frequency and corpus count;
+pruning and the ``max_features`` cut run on that
 table, and only the kept vocabulary (at most ``max_features`` rows) comes to
 the driver.  Transform: each row's weights come from its own term array; the
 vocabulary (size bounded by ``max_features``) travels with the function.
@@ -18,11 +18,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import NGram, StopWordsRemover
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buzzscore.functions.pyhelpers import weigh_terms
+from buzzscore.functions.pyhelpers import combine_terms, count_terms, weigh_terms
 from buzzscore.functions.text import fold_accents, spark_stop_words, tokenize
 
 # Largest vocabulary that is collected to the driver and sent to the tasks.
@@ -31,6 +30,11 @@ MAX_BROADCAST_TERMS = 100_000
 # at this bound) in each task; beyond it from the randomized solver.
 MAX_GRAM_TERMS = 2048
 
+# Terms that a task adds up before it gives them out, some 300 bytes each.
+HELD_TERMS = 300_000
+# Posts a partition of the terms' shuffle: their distinct terms, some hundred a post, fit a task.
+POSTS_PER_PARTITION = 20_000
+
 
 @dataclass(frozen=True)
 class TfidfParams:
@@ -52,6 +56,20 @@ def _count_threshold(value: float, n_docs: int) -> float:
     return float(value) * n_docs
 
 
+def with_tokens(df: DataFrame, params: TfidfParams, text_col: str = "content") -> DataFrame:
+    """Add ``_tokens``: the folded tokens of each post, joined by blanks."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    prepped = fold_accents(text) if params.accent_fold else F.lower(text)
+    folded = df.withColumn("_text", prepped)
+    return folded.select(*df.columns, F.array_join(tokenize(F.col("_text")), " ").alias("_tokens"))
+
+
+def token_terms(df: DataFrame, params: TfidfParams, terms_col: str = "terms", only: Sequence[str] | None = None) -> DataFrame:
+    """Replace ``_tokens`` by ``terms``; see ``with_terms``."""
+    count = F.arrow_udf(count_terms(params.stop_words, params.bigrams, only), "array<struct<term:string,tf:bigint>>")
+    return df.select(*[c for c in df.columns if c != "_tokens"], count("_tokens").alias(terms_col))
+
+
 def with_terms(
     df: DataFrame,
     params: TfidfParams,
@@ -63,42 +81,9 @@ def with_terms(
     sorted, as ``array<struct<term, tf>>``.  Nothing leaves the row.
 
     With ``only``, the terms of a vocabulary, all others are dropped before
-    they are sorted and counted: weights need no more.
+    they are sorted: weights need no more.
     """
-    keep = df.columns
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    prepped = fold_accents(text) if params.accent_fold else F.lower(text)
-    base = df.withColumn("_text", prepped)
-    base = base.select(*keep, tokenize(F.col("_text")).alias("_tokens"))
-    kept = StopWordsRemover(
-        inputCol="_tokens", outputCol="_kept", stopWords=list(params.stop_words), caseSensitive=True
-    ).transform(base)
-    if params.bigrams:
-        kept = NGram(n=2, inputCol="_kept", outputCol="_bigrams").transform(kept)
-        terms = F.concat(F.col("_kept"), F.col("_bigrams"))
-    else:
-        terms = F.col("_kept")
-    if only is not None:
-        terms = F.filter(terms, lambda t: t.isin(list(only)))
-    # Sorted term array, then run starts: positions where the value changes.
-    # sort_array uses the native string ordering (array_sort plans a lambda
-    # comparator that is interpreted per comparison).
-    sorted_terms = kept.select(*keep, F.sort_array(terms).alias("_s"))
-    starts = sorted_terms.withColumn(
-        "_starts",
-        F.expr(
-            "CASE WHEN size(_s) = 0 THEN array() ELSE "
-            "filter(sequence(1, size(_s)), i -> i = 1 OR element_at(_s, i) != element_at(_s, i - 1)) END"
-        ),
-    )
-    return starts.select(
-        *keep,
-        F.expr(
-            "transform(_starts, (st, k) -> named_struct("
-            "'term', element_at(_s, st), "
-            "'tf', CAST(coalesce(try_element_at(_starts, k + 2), size(_s) + 1) - st AS bigint)))"
-        ).alias(terms_col),
-    )
+    return token_terms(with_tokens(df, params, text_col), params, terms_col, only)
 
 
 def exploded_terms(df: DataFrame, id_col: str = "post_id", terms_col: str = "terms") -> DataFrame:
@@ -141,14 +126,30 @@ def term_stats(terms: DataFrame) -> DataFrame:
     )
 
 
+def row_term_stats(rows: DataFrame, n_docs: int, params: TfidfParams) -> DataFrame:
+    """``term_stats`` of a frame that has ``_tokens``.
+
+    Tasks add up their rows' terms in bounded memory; the shuffle has more
+    partitions the more posts there are, so a task's part of the terms stays as it is.
+    """
+    combine = combine_terms(params.stop_words, params.bigrams, HELD_TERMS)
+    parts = rows.select("_tokens").mapInArrow(combine, "term string, df long, cf long")
+    shuffles = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = parts.repartition(max(shuffles, -(-n_docs // POSTS_PER_PARTITION)), "term")
+    return dealt.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
 def fit_vocabulary(terms: DataFrame, n_docs: int, params: TfidfParams) -> Vocabulary:
     """Prune by document frequency, keep the ``max_features`` most frequent
-    terms (ties: alphabetical), number them alphabetically, compute idf."""
+    terms (ties: alphabetical), number them alphabetically, compute idf.
+
+    ``terms`` has ``post_id, term, tf``, or a row a post with its ``_tokens``."""
     high = _count_threshold(params.max_df, n_docs)
     low = _count_threshold(params.min_df, n_docs)
     if high < low:
         raise ValueError("max_df corresponds to < documents than min_df")
-    stats = term_stats(terms).filter((F.col("df") >= low) & (F.col("df") <= high))
+    stats = row_term_stats(terms, n_docs, params) if "_tokens" in terms.columns else term_stats(terms)
+    stats = stats.filter((F.col("df") >= low) & (F.col("df") <= high))
     top = stats.orderBy(F.col("cf").desc(), F.col("term")).limit(params.max_features)
     rows = top.collect()  # at most max_features rows
     if not rows:

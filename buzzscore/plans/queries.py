@@ -23,10 +23,11 @@ from buzzscore.operators.onepass import fit_scoring_stats
 from buzzscore.operators.sampling import exact_sample
 from buzzscore.operators.tfidf import (
     TfidfParams,
-    exploded_terms,
     fit_vocabulary,
     row_vectors,
+    token_terms,
     with_terms,
+    with_tokens,
 )
 from buzzscore.operators.time_joins import asof_join, interval_join, sessions
 from buzzscore.operators.top_terms import fit_vocabulary_by_summary
@@ -180,10 +181,11 @@ def _docs(spark, sf_dir):
 
 
 def _vocab(spark, sf_dir, params=None):
-    """The documents' terms, written once, and the vocabulary."""
+    """The documents' terms that are in the vocabulary, and the vocabulary; their tokens are written once."""
     params = params or TfidfParams()
-    rows = written(with_terms(_docs(spark, sf_dir), params).drop("content"), "terms")
-    return rows, fit_vocabulary(exploded_terms(rows), rows.count(), params)
+    rows = written(with_tokens(_docs(spark, sf_dir), params).drop("content"), "tokens")
+    vocab = fit_vocabulary(rows, rows.count(), params)
+    return token_terms(rows, params, only=vocab.table["term"].tolist()), vocab
 
 
 def q_vocabulary(spark, sf_dir):
@@ -444,7 +446,7 @@ def q_svd_randomized(spark, sf_dir):
     ]
     rows = products.select(F.explode(F.array(*per_pair)).alias("c")).select("c.*")
     # all posts' squared norms: each post with a term has 1; the components have a part of that
-    vectors = row_vectors(with_terms(_docs(spark, sf_dir), model.params).select("terms"), model.vocab)
+    vectors = row_vectors(with_terms(_docs(spark, sf_dir), model.params, only=model.vocab.table["term"].tolist()).select("terms"), model.vocab)
     total = vectors.agg(F.sum(F.aggregate("weights", F.lit(0.0), lambda a, w: a + w * w))).first()[0]
     captured = float((sigma**2).sum())
     return finalize(rows.withColumns({"total": F.lit(total), "captured": F.lit(0 < captured < total)}))
@@ -503,7 +505,7 @@ def q_vocabulary_on_sample(spark, sf_dir):
     """A model's terms and idf when it is fitted on half of the posts, and the posts of the rest weighed with them."""
     docs, params = _docs(spark, sf_dir), TfidfParams()
     n = docs.count() // 2
-    vocab = fit_vocabulary(exploded_terms(with_terms(exact_sample(docs, n), params)), n, params)
+    vocab = fit_vocabulary(with_tokens(exact_sample(docs, n), params), n, params)
     known = with_terms(docs, params, only=vocab.table["term"].tolist()).drop("content")
     vectors = row_vectors(known, vocab)
     total = F.aggregate("weights", F.lit(0.0), lambda a, w: a + w)

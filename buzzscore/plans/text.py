@@ -16,7 +16,7 @@ from buzzscore.operators.lsa import (
 )
 from buzzscore.operators.randomized_svd import components_randomized
 from buzzscore.operators.sampling import DEFAULT_SEED, exact_sample
-from buzzscore.operators.tfidf import MAX_GRAM_TERMS, TfidfParams, exploded_terms, fit_vocabulary, row_vectors, with_terms
+from buzzscore.operators.tfidf import MAX_GRAM_TERMS, TfidfParams, fit_vocabulary, row_vectors, token_terms, with_terms, with_tokens
 from buzzscore.session import written
 
 
@@ -37,20 +37,21 @@ def fit_text_model(
     fit_set = posts.select("post_id", "content")
     if sample_size is not None and not strict:
         fit_set = exact_sample(fit_set, sample_size, seed)
-    return fit_from_rows(written(with_terms(fit_set, params).drop("content"), "terms"), params, strict, n_components)
+    return fit_from_rows(written(with_tokens(fit_set, params).drop("content"), "tokens"), params, strict, n_components)
 
 
 def fit_from_rows(
     rows: DataFrame, params: TfidfParams, strict: bool = False, n_components: int = MAX_COMPONENTS
 ) -> TextModel:
-    """Fit on a written table of posts with their ``terms``.
+    """Fit on a written table of posts with their ``_tokens``.
 
     Vocabularies of up to ``MAX_GRAM_TERMS`` terms by the exact solver, larger
     ones by the randomized one.
     """
     n_docs = rows.count()
-    vocab = fit_vocabulary(exploded_terms(rows), n_docs, params)
-    vectors = row_vectors(rows.select("terms"), vocab)
+    vocab = fit_vocabulary(rows, n_docs, params)
+    known = token_terms(rows.select("_tokens"), params, only=vocab.table["term"].tolist())
+    vectors = row_vectors(known, vocab)
     k = n_components_for(vocab.size, strict, n_components)
     if vocab.size > MAX_GRAM_TERMS:
         v, sig = components_randomized(written(vectors, "vectors"), vocab.size, k)
@@ -70,18 +71,18 @@ def fit_and_featurize(
 ) -> tuple[TextModel, DataFrame]:
     """``(model, posts with text_feature_1..k)``.
 
-    The posts and their terms are written once (tokenising and whatever made
+    The posts and their tokens are written once (tokenising and whatever made
     the posts run once); the vocabulary, the Gram matrix and the features read
     the columns that they need.  All rows and columns of ``posts`` come back,
     also where ids are null or repeated.
     """
     params = params or TfidfParams()
-    rows = written(with_terms(posts, params), "posts")
+    rows = written(with_tokens(posts, params), "posts")
     if sample_size is not None and not strict:
         model = fit_text_model(posts, params, strict, sample_size, seed, n_components)
     else:
         model = fit_from_rows(rows, params, strict, n_components)
-    return model, add_features(rows, model)
+    return model, add_features(token_terms(rows, model.params, only=model.vocab.table["term"].tolist()), model)
 
 
 def add_text_features(posts: DataFrame, model: TextModel) -> DataFrame:
