@@ -44,6 +44,8 @@ _NULL_ID, _ENDS = 1, 2
 # --- tokens --------------------------------------------------------------------
 #: Texts between blanks whose ids are kept in a worker, and the longest of these.
 KEPT, KEPT_CHARS = 400_000, 64
+#: Units that are encoded at a time.
+ENCODED = 4096
 _UNIT = re.compile(r"(?= \S)")
 
 
@@ -82,7 +84,9 @@ class Tokens:
         whole = [any(a in t for a in self.added) for t in texts]
         units = [[] if w else _UNIT.split(t) for t, w in zip(texts, whole, strict=True)]
         new = list(set().union(*units) - self.kept.keys())
-        self.kept.update(zip(new, self._encode(new), strict=True))
+        for begin in range(0, len(new), ENCODED):  # an encoding takes a hundred times its text until it is ids
+            some = new[begin : begin + ENCODED]
+            self.kept.update(zip(some, self._encode(some), strict=True))
         for t, w, u in zip(texts, whole, units, strict=True):
             yield self._encode([t])[0] if w else b"".join(map(self.kept.__getitem__, u))
         if len(self.kept) > KEPT:

@@ -98,3 +98,12 @@ def test_joined_crc():
     a, b = b"some bytes", bytes(1000) + b"others"
     assert T.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b), T.crc_shifts()) == zlib.crc32(a + b)
     assert T.joined_crc(zlib.crc32(a), zlib.crc32(b""), 0, T.crc_shifts()) == zlib.crc32(a)
+
+
+def test_few_units_are_encoded_at_a_time(monkeypatch):
+    known = T.Tokens(PATH)
+    whole, sizes, encode = known._encode(["a1 b2 c3 d4 e5", "f6 a1"]), [], known._encode
+    monkeypatch.setattr(T, "ENCODED", 2)
+    monkeypatch.setattr(known, "_encode", lambda texts: sizes.append(len(texts)) or encode(texts))
+    assert list(known.ids(["a1 b2 c3 d4 e5", "f6 a1"])) == whole
+    assert max(sizes) == 2 and len(sizes) >= 3
