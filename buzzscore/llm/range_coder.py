@@ -28,6 +28,8 @@ SLOT_BITS = 11
 TOTAL_BITS = 12  # of the choice's frequencies
 TOTAL = 1 << TOTAL_BITS
 FIRST_LIST = 16
+#: Lanes whose ids are looked up in their lists at a time.
+PLACED = 128
 U = np.uint64
 _TOP, _BOT, _WORD = U(1 << 48), U(1 << 32), U(16)
 _NONE = np.int32(1 << 28)  # no id yet
@@ -166,18 +168,11 @@ def encode(ids: np.ndarray) -> list[bytes]:
     ids = np.ascontiguousarray(ids, np.int32)
     wide = _wide(int(ids.max(initial=0)))
     coder, model = _Encoder(lanes, steps), _Model(lanes)
-    offset = np.arange(lanes, dtype=np.int64)[:, None] << 28
     for t in range(steps):
         if _renewed(t):
             model.renew(ids[:, :t])
-            flat, asked = (model.list + offset).ravel(), ids[:, t : 2 * t] + offset
-            order = np.argsort(asked, axis=1)  # neighbouring questions are answered from the cache
-            ranked = np.take_along_axis(asked, order, 1).ravel()
-            first, size = np.empty(asked.shape, np.int32), np.empty(asked.shape, np.int32)
-            left = np.searchsorted(flat, ranked)
-            np.put_along_axis(size, order, (np.searchsorted(flat, ranked, "right") - left).reshape(asked.shape).astype(np.int32), 1)
-            np.put_along_axis(first, order, (left.reshape(asked.shape) - np.arange(lanes)[:, None] * t).astype(np.int32), 1)
-            first, size, begin = np.ascontiguousarray(first.T), np.ascontiguousarray(size.T), t
+            first, size = _places(model.list, ids[:, t : 2 * t])
+            begin = t
         x = ids[:, t]
         two, one, *upto = model.predict()
         listed = size[t - begin] > 0 if model.size_bits >= 0 else False
@@ -199,6 +194,22 @@ def encode(ids: np.ndarray) -> list[bytes]:
     return coder.finish()
 
 
+def _places(listed: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each id of ``asked`` in its lane's list, and how often it is there; steps x lanes."""
+    first, size = np.empty(asked.shape[::-1], np.int32), np.empty(asked.shape[::-1], np.int32)
+    for begin in range(0, len(listed), PLACED):
+        part = slice(begin, begin + PLACED)
+        rows = np.arange(len(listed[part]), dtype=np.int64)[:, None]
+        flat, questions = (listed[part] + (rows << 28)).ravel(), asked[part] + (rows << 28)
+        order = np.argsort(questions, axis=1)  # neighbouring questions are answered from the cache
+        ranked = np.take_along_axis(questions, order, 1).ravel()
+        left = np.searchsorted(flat, ranked)
+        counts = (np.searchsorted(flat, ranked, "right") - left).reshape(order.shape)
+        size[order.T, rows.T + begin] = counts.T
+        first[order.T, rows.T + begin] = (left.reshape(order.shape) - rows * listed.shape[1]).T
+    return first, size
+
+
 def _wide(largest: int) -> int:
     """Bits of the second half of ids up to ``largest``."""
     return max(0, largest.bit_length() - 16)

@@ -47,6 +47,7 @@ KEPT, KEPT_CHARS = 400_000, 64
 #: Units that are encoded at a time.
 ENCODED = 4096
 _UNIT = re.compile(r"(?= \S)")
+_BEGINS = re.compile(r" \S")
 
 
 class Tokens:
@@ -55,8 +56,9 @@ class Tokens:
     A byte-level tokenizer divides a text before every blank that a character
     other than white space follows, whatever stands around, so the ids of a
     text are those of its units between such places.  Units repeat: most are
-    encoded once.  Texts with an added token, and other tokenizers, are encoded
-    whole.
+    encoded once.  New ones go to the library after each other as one text, and
+    the bytes of its ids tell them apart.  Texts with an added token, and other
+    tokenizers, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -70,12 +72,34 @@ class Tokens:
             and not form.get("normalizer") and not form.get("truncation") and not form.get("padding")
         )
         self.added = [t["content"] for t in form.get("added_tokens", [])]
+        # an added token with a blank might reach from one unit into the next
+        self.joins = self.by_units and not any(" " in a for a in self.added)
         self.kept: dict[str, bytes] = {}
+        # a byte-level token has a character for each of its bytes
+        vocab = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        self.sizes[list(vocab.values())] = [len(t) for t in vocab]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _alone(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        joined = [t for t in texts if _BEGINS.match(t)] if self.joins else []
+        if len(joined) < 2:
+            return self._alone(texts)
+        data = self._alone(["".join(joined)])[0]
+        upto = np.cumsum(self.sizes[np.frombuffer(data, "<u4")])
+        ends = np.cumsum([len(t.encode()) for t in joined])
+        stops = np.searchsorted(upto, ends) + 1
+        if stops[-1] != len(upto) or (upto[stops - 1] != ends).any():
+            return self._alone(texts)  # some bytes have no token
+        stops = (4 * stops).tolist()
+        done = dict(zip(joined, (data[i:j] for i, j in zip([0, *stops], stops, strict=False)), strict=True))
+        others = [t for t in texts if t not in done]
+        done.update(zip(others, self._alone(others), strict=True))
+        return [done[t] for t in texts]
+
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_units:
@@ -89,8 +113,9 @@ class Tokens:
             self.kept.update(zip(some, self._encode(some), strict=True))
         for t, w, u in zip(texts, whole, units, strict=True):
             yield self._encode([t])[0] if w else b"".join(map(self.kept.__getitem__, u))
-        if len(self.kept) > KEPT:
-            self.kept.clear()
+        if len(self.kept) > KEPT:  # those in use stay, if they are not too many
+            used = set().union(*units)
+            self.kept = {u: self.kept[u] for u in used} if 2 * len(used) < KEPT else {}
         for u in new:
             if len(u) > KEPT_CHARS:
                 self.kept.pop(u, None)

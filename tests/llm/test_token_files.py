@@ -85,6 +85,14 @@ def test_coder_learns():
     assert 8 * len(coded[0]) / ids.shape[1] < 2.5 and R.encode(ids[1:])[0] == coded[1]
 
 
+@pytest.mark.parametrize("placed", [1, 3, 7])
+def test_few_lanes_are_looked_up_at_a_time(monkeypatch, placed):
+    ids = np.random.default_rng(placed).integers(0, 300, (7, 500))
+    coded = R.encode(ids)
+    monkeypatch.setattr(R, "PLACED", placed)
+    assert R.encode(ids) == coded and (R.decode(coded, 500, 299) == ids).all()
+
+
 def test_units_are_exact():
     known = T.Tokens(PATH)
     assert known.by_units
@@ -107,3 +115,42 @@ def test_few_units_are_encoded_at_a_time(monkeypatch):
     monkeypatch.setattr(known, "_encode", lambda texts: sizes.append(len(texts)) or encode(texts))
     assert list(known.ids(["a1 b2 c3 d4 e5", "f6 a1"])) == whole
     assert max(sizes) == 2 and len(sizes) >= 3
+
+
+class Counted:
+    """A tokenizer that notes how many texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch(self, texts, **more):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch(texts, **more)
+
+
+def test_new_units_are_one_text(monkeypatch):
+    known, r = T.Tokens(PATH), random.Random(8)
+    signs = [" ", "  ", "a", "B1", "'s", "é", "\n", "\t", "　", "\x1c", "\x85", ".", "漢", "👩‍👩", "|>", "<|endof"]
+    texts = [" x" + "".join(r.choice(signs) for _ in range(r.randint(0, 40))) for _ in range(2000)]
+    whole = known.tokenizer.encode_batch(texts, add_special_tokens=False)
+    monkeypatch.setattr(known, "tokenizer", Counted(known.tokenizer))
+    assert [np.frombuffer(x, "<u4").tolist() for x in known.ids(texts)] == [e.ids for e in whole]
+    assert known.tokenizer.texts < len(known.kept) // 100
+    # bytes that cannot be told apart: each unit by itself
+    known.kept.clear()
+    known.sizes[:] = 3
+    assert [np.frombuffer(x, "<u4").tolist() for x in known.ids(texts)] == [e.ids for e in whole]
+
+
+def test_units_in_use_are_kept(monkeypatch):
+    known = T.Tokens(PATH)
+    monkeypatch.setattr(T, "KEPT", 9)
+    for k in range(6):
+        list(known.ids([f"a b c{k}1 d{k}2"]))
+        assert len(known.kept) <= 9 + 4
+    assert {"a", " b"} <= known.kept.keys()
+    monkeypatch.setattr(known, "tokenizer", Counted(known.tokenizer))
+    list(known.ids(["a b"]))
+    assert known.tokenizer.texts == 0
+    list(known.ids([" ".join(f"e{k}" for k in range(30))]))
+    assert not known.kept
