@@ -33,51 +33,63 @@ PLACED = 128
 U = np.uint64
 _TOP, _BOT, _WORD = U(1 << 48), U(1 << 32), U(16)
 _NONE = np.int32(1 << 28)  # no id yet
+_ONE, _TWO, _SHIFT = np.uint32(2654435761), np.uint32(2246822519), np.uint32(32 - SLOT_BITS)
+_RISE, _FALL = np.int32(3968), np.int32(32)
+# of each choice: where the rate of the list goes, and whether it moves
+_LISTED, _SEEN = np.array([0, 0, 4064, 32], np.int32), np.array([0, 0, -1, -1], np.int32)
 
 
 class _Model:
     """What is known of the lanes' ids so far."""
 
     def __init__(self, lanes: int):
-        self.lanes = lanes
-        self.base = np.arange(lanes, dtype=np.int64) << SLOT_BITS
+        # orders 2 and 1 after each other, so that a step takes both at once
+        self.base = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) << SLOT_BITS
         # id * 4 + confidence; a slot of each order
-        self.tables = [np.full(lanes << SLOT_BITS, _NONE * 4, np.int32) for _ in range(2)]
-        self.rate_base = np.arange(lanes, dtype=np.int32) * 4
-        self.rates = [np.tile(np.array(r, np.int32), lanes) for r in ([400, 1600, 2600, 3600], [300, 1000, 1800, 3000])]
+        self.table = np.full(2 * lanes << SLOT_BITS, _NONE * 4, np.int32)
+        self.rate_base = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) * 4
+        self.rates = np.concatenate([np.tile(np.array(r, np.int32), lanes) for r in ([400, 1600, 2600, 3600], [300, 1000, 1800, 3000])])
         self.listed = np.full(lanes, TOTAL // 2, np.int32)
-        self.none = np.zeros(lanes, np.int32)
         self.a = self.b = np.zeros(lanes, np.uint32)
+        self.slots = np.zeros((2, lanes), np.uint32)
+        # the bounds of the choices: order 2, order 1, list, other
+        self.edges = np.zeros((5, lanes), U)
+        self.edges[4] = TOTAL
+        self.every = np.arange(lanes)
         self.size_bits = -1  # of the lists
 
-    def predict(self) -> tuple[np.ndarray, ...]:
-        """The ids that orders 2 and 1 name, and the bounds of the choices: order 2, order 1, list, other."""
-        one_slot = self.a * np.uint32(2654435761)
-        two_slot = (one_slot ^ self.b) * np.uint32(2246822519)
-        shift = np.uint32(32 - SLOT_BITS)
-        self.at = [self.base + (two_slot >> shift), self.base + (one_slot >> shift)]
-        self.entry = [t[i] for t, i in zip(self.tables, self.at, strict=True)]
-        two, one = (e >> 2 for e in self.entry)
-        self.spot = [self.rate_base + (e & 3) for e in self.entry]
-        self.rate = [r[i] for r, i in zip(self.rates, self.spot, strict=True)]
-        r2, r1 = self.rate
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids that orders 2 and 1 name; sets the bounds of the choices."""
+        slots = self.slots
+        np.multiply(self.a, _ONE, out=slots[1])
+        np.multiply(slots[1] ^ self.b, _TWO, out=slots[0])
+        self.at = self.base + (slots >> _SHIFT)
+        self.entry = self.table.take(self.at)
+        self.named, self.confidence = self.entry >> 2, self.entry & 3
+        self.spot = self.rate_base + self.confidence
+        self.rate = self.rates.take(self.spot)
+        (two, one), (r2, r1) = self.named, self.rate
         upto1 = r2 + ((TOTAL - r2) * r1 >> TOTAL_BITS)
-        upto2 = np.where(one == two, upto1, r2)
-        if self.size_bits < 0:
-            return two, one, upto2, upto1, upto1
-        rest = TOTAL - upto1
-        return two, one, upto2, upto1, upto1 + np.maximum(1, np.minimum(rest - 1, rest * self.listed >> TOTAL_BITS))
-
-    def learn(self, x: np.ndarray, two: np.ndarray, one: np.ndarray, choice: np.ndarray) -> None:
-        for k, named in enumerate((two, one)):
-            hit = named == x
-            r, e = self.rate[k], self.entry[k]
-            self.rates[k][self.spot[k]] = r + ((np.where(hit, 3968, 32) - r) >> 4)
-            # a hit raises the confidence, a miss lowers it; without any left the id gives way
-            missed = np.where((e & 3) == 0, x << 2, e - 1)
-            self.tables[k][self.at[k]] = np.where(hit, np.minimum(e + 1, e | 3), missed)
+        upto0 = upto1
         if self.size_bits >= 0:
-            self.listed += np.where(choice >= 2, (np.where(choice == 2, 4064, 32) - self.listed) >> 5, 0)
+            rest = TOTAL - upto1
+            upto0 = upto1 + np.maximum(1, np.minimum(rest - 1, rest * self.listed >> TOTAL_BITS))
+        self.edges[1], self.edges[2], self.edges[3] = np.where(one == two, upto1, r2), upto1, upto0
+        return two, one
+
+    def bounds(self, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = choice * len(self.every) + self.every
+        starts = self.edges.take(at)
+        return starts, self.edges.take(at + len(self.every)) - starts
+
+    def learn(self, x: np.ndarray, choice: np.ndarray) -> None:
+        hit, e = self.named == x, self.entry
+        self.rates[self.spot] = self.rate + ((np.where(hit, _RISE, _FALL) - self.rate) >> 4)
+        # a hit raises the confidence, a miss lowers it; without any left the id gives way
+        missed = np.where(self.confidence == 0, x << 2, e - 1)
+        self.table[self.at] = np.where(hit, np.minimum(e + 1, e | 3), missed)
+        if self.size_bits >= 0:
+            self.listed += _LISTED.take(choice) - (self.listed & _SEEN.take(choice)) >> 5
         self.a, self.b = x.astype(np.uint32), self.a
 
     def renew(self, ids: np.ndarray) -> None:
@@ -90,13 +102,6 @@ def _renewed(t: int) -> bool:
     return t >= FIRST_LIST and t & (t - 1) == 0
 
 
-def _bounds(upto2, upto1, upto0, choice) -> tuple[np.ndarray, np.ndarray]:
-    later = choice >= 2
-    starts = np.where(later, np.where(choice == 2, upto1, upto0), np.where(choice == 0, 0, upto2))
-    stops = np.where(later, np.where(choice == 2, upto0, TOTAL), np.where(choice == 0, upto2, upto1))
-    return starts.astype(U), (stops - starts).astype(U)
-
-
 class _Coder:
     """The interval of each lane."""
 
@@ -168,16 +173,17 @@ def encode(ids: np.ndarray) -> list[bytes]:
     ids = np.ascontiguousarray(ids, np.int32)
     wide = _wide(int(ids.max(initial=0)))
     coder, model = _Encoder(lanes, steps), _Model(lanes)
+    columns = np.ascontiguousarray(ids.T)
     for t in range(steps):
         if _renewed(t):
             model.renew(ids[:, :t])
             first, size = _places(model.list, ids[:, t : 2 * t])
             begin = t
-        x = ids[:, t]
-        two, one, *upto = model.predict()
+        x = columns[t]
+        two, one = model.predict()
         listed = size[t - begin] > 0 if model.size_bits >= 0 else False
         choice = np.where(x == two, 0, np.where(x == one, 1, np.where(listed, 2, 3)))
-        coder.narrow(*_bounds(*upto, choice), U(TOTAL_BITS))
+        coder.narrow(*model.bounds(choice), U(TOTAL_BITS))
         free = choice == 3
         start, width, bits = np.where(free, x & 0xFFFF, 0), 1, np.where(free, 16, 0)
         if model.size_bits >= 0:
@@ -190,7 +196,7 @@ def encode(ids: np.ndarray) -> list[bytes]:
         if wide:
             coder.narrow(np.where(free, x >> 16, 0).astype(U), U(1), np.where(free, wide, 0).astype(U))
             coder.settle()
-        model.learn(x, two, one, choice)
+        model.learn(x, choice)
     return coder.finish()
 
 
@@ -218,7 +224,7 @@ def _wide(largest: int) -> int:
 def decode(blocks: list[bytes], steps: int, largest: int) -> np.ndarray:
     """The ids that :func:`encode` coded, ``steps`` of each block; ``largest`` is the largest of all."""
     lanes, wide = len(blocks), _wide(largest)
-    coder, model, every = _Decoder(blocks), _Model(lanes), np.arange(lanes)
+    coder, model = _Decoder(blocks), _Model(lanes)
     out = np.zeros((steps, lanes), np.int32)
     for t in range(steps):
         if _renewed(t):
@@ -228,10 +234,10 @@ def decode(blocks: list[bytes], steps: int, largest: int) -> np.ndarray:
             first = np.maximum.accumulate(np.where(new, np.arange(t, dtype=np.int32), 0), axis=1)
             ends = np.where(np.append(new[:, 1:], np.ones((lanes, 1), bool), axis=1), np.arange(1, t + 1, dtype=np.int32), t)
             size = np.minimum.accumulate(ends[:, ::-1], axis=1)[:, ::-1] - first
-        two, one, *upto = model.predict()
+        two, one = model.predict()
         v = coder.value(U(TOTAL_BITS))
-        choice = (v >= upto[0]).astype(np.int32) + (v >= upto[1]) + (v >= upto[2])
-        coder.narrow(*_bounds(*upto, choice), U(TOTAL_BITS))
+        choice = (v >= model.edges[1:4]).sum(axis=0)
+        coder.narrow(*model.bounds(choice), U(TOTAL_BITS))
         free = choice == 3
         x = np.where(choice == 0, two, one)
         bits = np.where(free, 16, 0)
@@ -243,10 +249,10 @@ def decode(blocks: list[bytes], steps: int, largest: int) -> np.ndarray:
         x = np.where(free, place, x)
         start, width = np.where(free, place, 0), 1
         if model.size_bits >= 0:
-            some = np.where(in_list, place, 0)
-            x = np.where(in_list, model.list[every, some], x)
-            start = np.where(in_list, first[every, some], start)
-            width = np.where(in_list, size[every, some], 1)
+            some = model.every * (1 << model.size_bits) + np.where(in_list, place, 0)
+            x = np.where(in_list, model.list.take(some), x)
+            start = np.where(in_list, first.take(some), start)
+            width = np.where(in_list, size.take(some), 1)
         coder.narrow(start.astype(U), np.asarray(width).astype(U), bits)
         coder.settle()
         if wide:
@@ -255,6 +261,6 @@ def decode(blocks: list[bytes], steps: int, largest: int) -> np.ndarray:
             coder.narrow(top.astype(U), U(1), bits)
             coder.settle()
             x = np.where(free, top << 16 | x, x)
-        model.learn(x, two, one, choice)
+        model.learn(x, choice)
         out[t] = x
     return np.ascontiguousarray(out.T)

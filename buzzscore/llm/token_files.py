@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import struct
 import sys
 import zlib
@@ -46,25 +47,75 @@ _NULL_ID, _ENDS = 1, 2
 KEPT, KEPT_CHARS = 400_000, 64
 #: Units that are encoded at a time.
 ENCODED = 4096
-_UNIT = re.compile(r"(?= \S)")
-_BEGINS = re.compile(r" \S")
+_BEGINS, _INK = re.compile(r" \S"), re.compile(r"\S")
+#: Units the library's pre-tokenizer leaves whole: words of Latin and Cyrillic letters, stops.
+_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏЀ-ҁҊ-ԯ]+|[.,;:!?]")
+#: The characters that byte-level tokens have for the bytes that are none in print.
+_SIGNS = dict(zip([*range(33), *range(127, 161), 173], range(256, 324), strict=True))
+
+
+def _bytes_of(chars: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars.encode())] = True
+    return out
+
+
+_ALNUM = _bytes_of(string.ascii_letters + string.digits)
+_STOPS = _bytes_of(".,;:!?")
+# first bytes of characters other than white space; behind the last four there may be some
+_OPENS = ~_bytes_of("\t\n\v\f\r\x1c\x1d\x1e\x1f ")
+_OPENS[[0xC2, 0xE1, 0xE2, 0xE3]] = False
+
+
+def divided(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct units of texts; the unit at each place, text after text; and where each text's places begin and end."""
+    data = [t.encode() for t in texts]
+    bounds = np.zeros(len(data) + 1, np.int64)
+    np.cumsum([len(d) for d in data], out=bounds[1:])
+    joined = b"".join(data)
+    if not joined:
+        return [], np.zeros(0, np.int32), np.zeros(len(data) + 1, np.int64)
+    b = np.frombuffer(joined + b"   ", np.uint8)
+    size = len(joined)
+    after, second, third = b[1:-2], b[2:-1], b[3:]
+    dash = (after == 0xE2) & (second == 0x80) & (third >= 0x90) & (third <= 0xA7)  # and quotes
+    opens = _OPENS[after] | dash
+    full = np.flatnonzero(np.diff(bounds))
+    opens[bounds[full + 1] - 1] = False  # what follows is in another text
+    begins = np.zeros(size + 2, bool)
+    begins[:size] = (b[:size] == 0x20) & opens
+    line = (b[:size] == 0x0A) & opens
+    begins[:size] |= line
+    begins[1 : size + 1] |= line
+    begins[bounds[full]] = True
+    begins[size:] = True
+    # a stop between a word and the next unit is a unit
+    stop = _ALNUM[b[: size - 1]] & _STOPS[b[1:size]] & ~begins[1:size] & begins[2 : size + 1]
+    begins[1:size] |= stop
+    at = np.flatnonzero(begins[: size + 1])
+    units = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(joined)).dictionary_encode()
+    return units.dictionary.to_pylist(), units.indices.to_numpy(), np.searchsorted(at, bounds)
 
 
 class Tokens:
     """A tokenizer of the ``tokenizers`` library, with the ids of texts between blanks kept.
 
-    A byte-level tokenizer divides a text before every blank that a character
-    other than white space follows, whatever stands around, so the ids of a
-    text are those of its units between such places.  Units repeat: most are
-    encoded once.  New ones go to the library after each other as one text, and
-    the bytes of its ids tell them apart.  Texts with an added token, and other
-    tokenizers, are encoded whole.
+    A byte-level tokenizer divides a text before every blank, and before and
+    after every line break, that a character other than white space follows,
+    and between a letter or digit and a stop, whatever stands around.  So the
+    ids of a text are those of its units between such places.  Units repeat:
+    most are encoded once.  Of the new ones, words go to
+    the library's model, which gets the same from its pre-tokenizer; the others
+    to the library after each other as one text, and the bytes of its ids tell
+    them apart.  Texts with an added token, and other tokenizers, are encoded
+    whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         form = json.loads(self.tokenizer.to_str())
         before = form.get("pre_tokenizer") or {}
         self.by_units = (
@@ -72,8 +123,8 @@ class Tokens:
             and not form.get("normalizer") and not form.get("truncation") and not form.get("padding")
         )
         self.added = [t["content"] for t in form.get("added_tokens", [])]
-        # an added token with a blank might reach from one unit into the next
-        self.joins = self.by_units and not any(" " in a for a in self.added)
+        # an added token with white space might reach from one unit into the next
+        self.joins = self.by_units and not any(re.search(r"\s", a) for a in self.added)
         self.kept: dict[str, bytes] = {}
         # a byte-level token has a character for each of its bytes
         vocab = self.tokenizer.get_vocab()
@@ -85,20 +136,33 @@ class Tokens:
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        joined = [t for t in texts if _BEGINS.match(t)] if self.joins else []
-        if len(joined) < 2:
+        if not self.by_units:
             return self._alone(texts)
-        data = self._alone(["".join(joined)])[0]
-        upto = np.cumsum(self.sizes[np.frombuffer(data, "<u4")])
-        ends = np.cumsum([len(t.encode()) for t in joined])
-        stops = np.searchsorted(upto, ends) + 1
-        if stops[-1] != len(upto) or (upto[stops - 1] != ends).any():
-            return self._alone(texts)  # some bytes have no token
-        stops = (4 * stops).tolist()
-        done = dict(zip(joined, (data[i:j] for i, j in zip([0, *stops], stops, strict=False)), strict=True))
+        done: dict[str, bytes] = {}
+        for t in filter(_WORD.fullmatch, texts):
+            token = "Ġ" + t[1:] if t[0] == " " else t
+            if not t.isascii():
+                token = t.encode().decode("latin-1").translate(_SIGNS)
+            found = [x.id for x in self.model.tokenize(token)]
+            done[t] = struct.pack(f"<{len(found)}I", *found)
+        if self.joins:  # a line break between texts is a token of its own
+            for begins, between in (_BEGINS, ""), (_INK, "\n"):
+                some = [t for t in texts if t not in done and begins.match(t)]
+                if len(some) > 1:
+                    done.update(zip(some, self._together(some, between), strict=True))
         others = [t for t in texts if t not in done]
         done.update(zip(others, self._alone(others), strict=True))
-        return [done[t] for t in texts]
+        return list(map(done.__getitem__, texts))
+
+    def _together(self, texts: list[str], between: str) -> list[bytes]:
+        data = self._alone([between.join(texts)])[0]
+        upto = np.append(0, np.cumsum(self.sizes[np.frombuffer(data, "<u4")]))
+        begins = np.cumsum([0] + [len(t.encode()) + len(between) for t in texts])
+        ends = begins[1:] - len(between)
+        starts, stops = np.searchsorted(upto, begins[:-1]), np.searchsorted(upto, ends)
+        if upto[-1] != ends[-1] or (upto[starts] != begins[:-1]).any() or (upto[stops] != ends).any():
+            return self._alone(texts)  # some bytes have no token
+        return [data[i:j] for i, j in zip((4 * starts).tolist(), (4 * stops).tolist(), strict=True)]
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -106,16 +170,22 @@ class Tokens:
             yield from self._encode(texts)
             return
         whole = [any(a in t for a in self.added) for t in texts]
-        units = [[] if w else _UNIT.split(t) for t, w in zip(texts, whole, strict=True)]
-        new = list(set().union(*units) - self.kept.keys())
+        units, at, bounds = divided(["" if w else t for t, w in zip(texts, whole, strict=True)])
+        new = [u for u in units if u not in self.kept]
         for begin in range(0, len(new), ENCODED):  # an encoding takes a hundred times its text until it is ids
             some = new[begin : begin + ENCODED]
             self.kept.update(zip(some, self._encode(some), strict=True))
-        for t, w, u in zip(texts, whole, units, strict=True):
-            yield self._encode([t])[0] if w else b"".join(map(self.kept.__getitem__, u))
+        found = list(map(self.kept.__getitem__, units))
+        ids = np.frombuffer(b"".join(found), "<u4")
+        size = np.array([len(x) for x in found], np.int64) // 4
+        first, n = (np.cumsum(size) - size)[at], size[at]
+        upto = np.cumsum(n)
+        ids = ids[np.arange(n.sum()) + np.repeat(first - (upto - n), n)]
+        ends = np.append(0, upto)[bounds].tolist()
+        for t, w, i, j in zip(texts, whole, ends, ends[1:], strict=False):
+            yield self._alone([t])[0] if w else ids[i:j].tobytes()
         if len(self.kept) > KEPT:  # those in use stay, if they are not too many
-            used = set().union(*units)
-            self.kept = {u: self.kept[u] for u in used} if 2 * len(used) < KEPT else {}
+            self.kept = dict(zip(units, found, strict=True)) if 2 * len(units) < KEPT else {}
         for u in new:
             if len(u) > KEPT_CHARS:
                 self.kept.pop(u, None)

@@ -154,3 +154,34 @@ def test_units_in_use_are_kept(monkeypatch):
     assert known.tokenizer.texts == 0
     list(known.ids([" ".join(f"e{k}" for k in range(30))]))
     assert not known.kept
+
+
+def test_words_and_lines_are_units():
+    known, r = T.Tokens(PATH), random.Random(9)
+    signs = ["\n", "\r\n", "\n\n", " ", " \n", "  ", ". ", "!", ",\n", "?", "7", "Ab", "ré", "Ñ", "Бю", "×", "'s", "“", "\u00a0", "\u2028", "\u3000", "한", "\x1d", "x"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    whole = [e.ids for e in known.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in known.ids(texts)] == whole
+    units, at, bounds = T.divided(texts)
+    assert ["".join(units[k] for k in at[i:j]) for i, j in zip(bounds, bounds[1:])] == texts
+    units, at, _ = T.divided(["One two.\nThree, four!", "", "é."])
+    assert [units[k] for k in at] == ["One", " two", ".", "\n", "Three", ",", " four", "!", "é."]
+
+
+def test_words_go_to_the_model(monkeypatch):
+    known = T.Tokens(PATH)
+    texts = ["Qwertz  zuiopü,\nasdfgh jklöä; 'yx", "Слово словами.\nÀÿ ɏ"]
+    whole = known._alone(texts)
+    monkeypatch.setattr(known, "tokenizer", Counted(known.tokenizer))
+    assert list(known.ids(texts)) == whole
+    assert known.tokenizer.texts <= 4
+    seen = known.tokenizer.texts
+    assert len(list(known.ids([" ".join(a + b + c for a in "bcdfg" for b in "aeiou" for c in "lmnr")]))) == 1
+    assert known.tokenizer.texts == seen
+
+
+def test_coder_learns_both_orders_at_once():
+    """The bytes of the blocks are those of the coder that took the orders one after the other."""
+    r = np.random.default_rng(12)
+    ids = np.where(r.random((5, 600)) < 0.6, r.integers(0, 40, (5, 600)), r.integers(0, 60_000, (5, 600)))
+    assert zlib.crc32(b"".join(R.encode(ids))) == 749386965
