@@ -30,13 +30,20 @@ TOTAL = 1 << TOTAL_BITS
 FIRST_LIST = 16
 #: Lanes whose ids are looked up in their lists at a time.
 PLACED = 128
+#: Steps that the encoder takes through each of its parts at a time.
+STRIDE = 64
 U = np.uint64
-_TOP, _BOT, _WORD = U(1 << 48), U(1 << 32), U(16)
-_NONE = np.int32(1 << 28)  # no id yet
+_TOP, _BOT, _WORD, _TOTAL_BITS = U(1 << 48), U(1 << 32), U(16), U(TOTAL_BITS)
+_HALF, _LOW = U(32), U(0xFFFFFFFF)
+_NONE = 1 << 28  # no id yet
 _ONE, _TWO, _SHIFT = np.uint32(2654435761), np.uint32(2246822519), np.uint32(32 - SLOT_BITS)
-_RISE, _FALL = np.int32(3968), np.int32(32)
+# an order's confidence if it is right, 4 and the confidence if it is wrong: where its rate goes, and what its entry gains
+_RATE = np.array([3968] * 4 + [32] * 4, np.int32)
+_GAIN = np.array([1, 1, 1, 0, 0, -1, -1, -1], np.int32)
 # of each choice: where the rate of the list goes, and whether it moves
 _LISTED, _SEEN = np.array([0, 0, 4064, 32], np.int32), np.array([0, 0, -1, -1], np.int32)
+# the bits of each choice's place, by those of the lists' places
+_BITS = [np.array([0, 0, n, 16], U) for n in range(28)]
 
 
 class _Model:
@@ -50,55 +57,66 @@ class _Model:
         self.rate_base = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) * 4
         self.rates = np.concatenate([np.tile(np.array(r, np.int32), lanes) for r in ([400, 1600, 2600, 3600], [300, 1000, 1800, 3000])])
         self.listed = np.full(lanes, TOTAL // 2, np.int32)
-        self.a = self.b = np.zeros(lanes, np.uint32)
-        self.slots = np.zeros((2, lanes), np.uint32)
-        # the bounds of the choices: order 2, order 1, list, other
-        self.edges = np.zeros((5, lanes), U)
-        self.edges[4] = TOTAL
-        self.every = np.arange(lanes)
-        self.size_bits = -1  # of the lists
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """The ids that orders 2 and 1 name; sets the bounds of the choices."""
-        slots = self.slots
-        np.multiply(self.a, _ONE, out=slots[1])
-        np.multiply(slots[1] ^ self.b, _TWO, out=slots[0])
-        self.at = self.base + (slots >> _SHIFT)
-        self.entry = self.table.take(self.at)
-        self.named, self.confidence = self.entry >> 2, self.entry & 3
-        self.spot = self.rate_base + self.confidence
-        self.rate = self.rates.take(self.spot)
-        (two, one), (r2, r1) = self.named, self.rate
-        upto1 = r2 + ((TOTAL - r2) * r1 >> TOTAL_BITS)
-        upto0 = upto1
-        if self.size_bits >= 0:
-            rest = TOTAL - upto1
-            upto0 = upto1 + np.maximum(1, np.minimum(rest - 1, rest * self.listed >> TOTAL_BITS))
-        self.edges[1], self.edges[2], self.edges[3] = np.where(one == two, upto1, r2), upto1, upto0
-        return two, one
-
-    def bounds(self, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = choice * len(self.every) + self.every
-        starts = self.edges.take(at)
-        return starts, self.edges.take(at + len(self.every)) - starts
-
-    def learn(self, x: np.ndarray, choice: np.ndarray) -> None:
-        hit, e = self.named == x, self.entry
-        self.rates[self.spot] = self.rate + ((np.where(hit, _RISE, _FALL) - self.rate) >> 4)
-        # a hit raises the confidence, a miss lowers it; without any left the id gives way
-        missed = np.where(self.confidence == 0, x << 2, e - 1)
-        self.table[self.at] = np.where(hit, np.minimum(e + 1, e | 3), missed)
-        if self.size_bits >= 0:
-            self.listed += _LISTED.take(choice) - (self.listed & _SEEN.take(choice)) >> 5
-        self.a, self.b = x.astype(np.uint32), self.a
-
-    def renew(self, ids: np.ndarray) -> None:
-        """Take ``ids`` (lanes x steps so far, a power of two) as the lists."""
-        self.list = np.sort(ids, axis=1)
-        self.size_bits = ids.shape[1].bit_length() - 1
+        self.room = [np.empty((2, lanes), np.int32) for _ in range(2)]
+
+    def slots(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Where orders 2 and 1 look after the ids ``b, a``; a row of both for each row of ``a``."""
+        out = np.empty((len(a), 2, a.shape[1]), np.uint32)
+        np.multiply(a, _ONE, out=out[:, 1])
+        np.multiply(out[:, 1] ^ b, _TWO, out=out[:, 0])
+        return (out >> _SHIFT) + self.base
+
+    def learn(self, at: np.ndarray, entry: np.ndarray, x4: np.ndarray, key: np.ndarray) -> None:
+        """Set ``key``, and let the slots know the ids ``x4 / 4``: a hit raises the confidence, a miss lowers it."""
+        differ, gain = self.room
+        np.bitwise_and(entry, 3, out=key)
+        np.bitwise_or(key, 4, out=key)
+        np.bitwise_xor(entry, x4, out=differ)  # of equal ids the confidence, else more than the key of a miss
+        np.minimum(key, differ, out=key)
+        _GAIN.take(key, out=gain, mode="clip")
+        gain += entry
+        np.copyto(gain, x4, where=key == 4)  # without any confidence left the id gives way
+        self.table[at] = gain
+
+    def rate(self, spot: np.ndarray, rate: np.ndarray, key: np.ndarray) -> None:
+        goal = self.room[0]
+        _RATE.take(key, out=goal, mode="clip")
+        goal -= rate
+        goal >>= 4
+        goal += rate
+        self.rates[spot] = goal
+
+    def move_listed(self, choice: np.ndarray) -> None:
+        goal = _LISTED.take(choice)
+        goal -= self.listed & _SEEN.take(choice)
+        goal >>= 5
+        self.listed += goal
+
+    @staticmethod
+    def edges(rate: np.ndarray, same: np.ndarray, listed: np.ndarray | None, out: np.ndarray) -> None:
+        """Set the three bounds between the choices: order 2, order 1, list, other; ``same`` if both orders name one id."""
+        two, one = rate[..., 0, :], rate[..., 1, :]
+        upto2, upto1, upto0 = out
+        np.subtract(TOTAL, two, out=upto1)
+        upto1 *= one
+        upto1 >>= TOTAL_BITS
+        upto1 += two
+        upto2[:] = two
+        np.copyto(upto2, upto1, where=same)
+        if listed is None:
+            upto0[:] = upto1
+            return
+        rest = TOTAL - upto1
+        np.multiply(rest, listed, out=upto0)
+        upto0 >>= TOTAL_BITS
+        rest -= 1
+        np.minimum(upto0, rest, out=upto0)
+        np.maximum(upto0, 1, out=upto0)
+        upto0 += upto1
 
 
 def _renewed(t: int) -> bool:
+    """Whether the lists are renewed before step ``t``: from the ids so far, a power of two."""
     return t >= FIRST_LIST and t & (t - 1) == 0
 
 
@@ -107,45 +125,57 @@ class _Coder:
 
     def __init__(self, lanes: int):
         self.low, self.range = np.zeros(lanes, U), np.full(lanes, U(0xFFFFFFFFFFFFFFFF))
-        self.n = np.zeros(lanes, np.int64)
+        self.unit, self.part = np.empty(lanes, U), np.empty(lanes, U)
 
     def narrow(self, start: np.ndarray, size: np.ndarray, bits: np.ndarray | np.uint64) -> None:
-        unit = self.range >> bits
-        self.low += start * unit
-        self.range = size * unit
+        np.right_shift(self.range, bits, out=self.unit)
+        np.multiply(start, self.unit, out=self.part)
+        self.low += self.part
+        np.multiply(size, self.unit, out=self.range)
 
     def settle(self) -> None:
         """Move the words that no longer change out of the intervals, so that these stay wide."""
         lanes = None
         low, rng = self.low, self.range
         while True:
-            settled = (low ^ (low + rng)) < _TOP
-            move = np.flatnonzero(settled | (rng < _BOT))
+            ends = low + rng
+            ends ^= low
+            settled = ends < _TOP
+            small = rng < _BOT
+            small |= settled
+            move = small.nonzero()[0]
             if not len(move):
                 return
-            lanes = move if lanes is None else lanes[move]
-            low, rng = low[move], rng[move]
-            rng = np.where(settled[move], rng, (U(0) - low) & (_BOT - U(1)))
+            lanes = move if lanes is None else lanes.take(move)
+            low, rng = low.take(move), rng.take(move)
+            settled = settled.take(move)
+            if not settled.all():
+                rng = np.where(settled, rng, (U(0) - low) & (_BOT - U(1)))
             self.word(lanes, low)
-            self.n[lanes] += 1
-            low, rng = low << _WORD, rng << _WORD
+            low <<= _WORD
+            rng <<= _WORD
             self.low[lanes], self.range[lanes] = low, rng
 
 
 class _Encoder(_Coder):
-    def __init__(self, lanes: int, steps: int):
+    def __init__(self, lanes: int):
         super().__init__(lanes)
-        self.out = np.zeros((lanes, 3 * steps + 8), np.uint16)
+        self.out: list[tuple[np.ndarray, np.ndarray]] = []
+        self.kind = np.uint16 if lanes <= 1 << 16 else np.uint32
 
     def word(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        self.out[lanes, self.n[lanes]] = (low >> U(48)).astype(np.uint16)
+        self.out.append((lanes.astype(self.kind), (low >> U(48)).astype("<u2")))
 
     def finish(self) -> list[bytes]:
         every = np.arange(len(self.low))
-        for shift in (48, 32, 16, 0):
-            self.out[every, self.n] = ((self.low >> U(shift)) & U(0xFFFF)).astype(np.uint16)
-            self.n += 1
-        return [self.out[i, :n].astype("<u2").tobytes() for i, n in enumerate(self.n)]
+        for shift in (0, 16, 32, 48):
+            self.word(every, self.low << U(shift))
+        lanes = np.concatenate([x for x, _ in self.out])
+        words = np.concatenate([x for _, x in self.out])
+        self.out = []
+        words = words[np.argsort(lanes, kind="stable")].tobytes()
+        ends = 2 * np.cumsum(np.bincount(lanes, minlength=len(every)))
+        return [words[i:j] for i, j in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
 
 
 class _Decoder(_Coder):
@@ -157,14 +187,26 @@ class _Decoder(_Coder):
         self.code = np.zeros(len(blocks), U)
         for k in range(4):
             self.code = self.code << _WORD | self.data[:, k].astype(U)
+        # the next word of each lane, and its last
+        self.next = np.arange(len(blocks)) * self.data.shape[1] + 4
+        self.last = self.next + (self.data.shape[1] - 5)
+        self.data = self.data.ravel()
 
     def word(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        at = np.minimum(self.n[lanes] + 4, self.data.shape[1] - 1)
-        self.code[lanes] = self.code[lanes] << _WORD | self.data[lanes, at].astype(U)
+        at = self.next.take(lanes)
+        code = self.code.take(lanes)
+        code <<= _WORD
+        code |= self.data.take(np.minimum(at, self.last.take(lanes)))
+        self.code[lanes] = code
+        at += 1
+        self.next[lanes] = at
 
     def value(self, bits: np.ndarray | np.uint64) -> np.ndarray:
         # a damaged block may point outside: the checksum of its ids will tell
-        return np.minimum((self.code - self.low) // np.maximum(self.range >> bits, U(1)), (U(1) << bits) - U(1)).astype(np.int32)
+        np.right_shift(self.range, bits, out=self.unit)
+        np.maximum(self.unit, U(1), out=self.unit)
+        np.subtract(self.code, self.low, out=self.part)
+        return np.minimum(self.part // self.unit, (U(1) << bits) - U(1))
 
 
 def encode(ids: np.ndarray) -> list[bytes]:
@@ -172,48 +214,93 @@ def encode(ids: np.ndarray) -> list[bytes]:
     lanes, steps = ids.shape
     ids = np.ascontiguousarray(ids, np.int32)
     wide = _wide(int(ids.max(initial=0)))
-    coder, model = _Encoder(lanes, steps), _Model(lanes)
-    columns = np.ascontiguousarray(ids.T)
-    for t in range(steps):
+    coder, model = _Encoder(lanes), _Model(lanes)
+    columns = np.zeros((steps + 2, lanes), np.int32)  # two before the first
+    columns[2:] = ids.T
+    size_bits, t = -1, 0
+    if steps > FIRST_LIST:
+        number = _numbered(ids)
+        counts = np.zeros(int(number.max(initial=-1)) + 1, np.int32)
+        new, every = 0, np.arange(lanes, dtype=np.int32)
+    while t < steps:
         if _renewed(t):
-            model.renew(ids[:, :t])
-            first, size = _places(model.list, ids[:, t : 2 * t])
-            begin = t
-        x = columns[t]
-        two, one = model.predict()
-        listed = size[t - begin] > 0 if model.size_bits >= 0 else False
-        choice = np.where(x == two, 0, np.where(x == one, 1, np.where(listed, 2, 3)))
-        coder.narrow(*model.bounds(choice), U(TOTAL_BITS))
-        free = choice == 3
-        start, width, bits = np.where(free, x & 0xFFFF, 0), 1, np.where(free, 16, 0)
-        if model.size_bits >= 0:
-            in_list = choice == 2
-            start = np.where(in_list, first[t - begin], start)
-            width = np.where(in_list, size[t - begin], 1)
-            bits = np.where(in_list, model.size_bits, bits)
-        coder.narrow(start.astype(U), np.asarray(width).astype(U), bits.astype(U))
+            begin, size_bits = t, t.bit_length() - 1
+            counts += np.bincount(number[new:t].ravel(), minlength=len(counts)).astype(np.int32)
+            new = t
+            # how many ids of the lane's list are less, and how many equal; a list has t ids
+            before = (np.cumsum(counts) - counts).astype(np.int32)
+            asked = number[t : 2 * t]
+            first, size = before.take(asked) - every * t, counts.take(asked)
+        # as far as the lists stay
+        n = min(STRIDE, steps - t, (FIRST_LIST if size_bits < 0 else 2 * begin) - t)
+        x = columns[t + 2 : t + 2 + n]
+        in_lists = (first[t - begin : t - begin + n], size[t - begin : t - begin + n], size_bits) if size_bits >= 0 else None
+        _encode_some(coder, model, x, columns[t + 1 : t + 1 + n], columns[t : t + n], in_lists, wide)
+        t += n
+    return coder.finish()
+
+
+def _encode_some(coder: _Encoder, model: _Model, x: np.ndarray, a: np.ndarray, b: np.ndarray, in_lists: tuple | None, wide: int) -> None:
+    """Some steps ``x``, after ``b, a``: the orders' slots, their rates, the list's rate, the choices, the intervals."""
+    n, lanes = x.shape
+    at = model.slots(a.view(np.uint32), b.view(np.uint32))
+    x4 = x << 2
+    entry, key = np.empty((n, 2, lanes), np.int32), np.empty((n, 2, lanes), np.int32)
+    for t in range(n):
+        model.table.take(at[t], out=entry[t], mode="clip")
+        model.learn(at[t], entry[t], x4[t], key[t])
+    spot = (key & 3) + model.rate_base
+    rate = np.empty((n, 2, lanes), np.int32)
+    for t in range(n):
+        model.rates.take(spot[t], out=rate[t], mode="clip")
+        model.rate(spot[t], rate[t], key[t])
+    right = key < 4
+    free = ~(right[:, 0] | right[:, 1])
+    listed = None
+    start, width = np.where(free, x & 0xFFFF, 0), 1
+    bits = np.where(free, U(16), U(0))
+    choice = np.where(right[:, 0], 0, np.where(right[:, 1], 1, 3))
+    if in_lists:
+        first, size, size_bits = in_lists
+        there = free & (size > 0)
+        choice -= there
+        free &= ~there
+        listed = np.empty((n, lanes), np.int32)
+        for t in range(n):
+            listed[t] = model.listed
+            model.move_listed(choice[t])
+        start = np.where(there, first, start)
+        width = np.where(there, size, 1)
+        bits = np.where(there, U(size_bits), bits)
+    bounds = np.zeros((5, n, lanes), np.int32)
+    bounds[4] = TOTAL
+    model.edges(rate, (entry[:, 0] ^ entry[:, 1]) < 4, listed, bounds[1:4])
+    at = choice * x.size + np.arange(x.size).reshape(x.shape)
+    lower = bounds.take(at)
+    part = (bounds.take(at + x.size) - lower).astype(U)
+    lower, start, width = lower.astype(U), start.astype(U), np.broadcast_to(np.asarray(width), x.shape).astype(U)
+    for t in range(n):
+        coder.narrow(lower[t], part[t], _TOTAL_BITS)
+        coder.narrow(start[t], width[t], bits[t])
         coder.settle()
         if wide:
-            coder.narrow(np.where(free, x >> 16, 0).astype(U), U(1), np.where(free, wide, 0).astype(U))
+            coder.narrow(np.where(free[t], x[t] >> 16, 0).astype(U), U(1), np.where(free[t], U(wide), U(0)))
             coder.settle()
-        model.learn(x, choice)
-    return coder.finish()
 
 
-def _places(listed: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first place of each id of ``asked`` in its lane's list, and how often it is there; steps x lanes."""
-    first, size = np.empty(asked.shape[::-1], np.int32), np.empty(asked.shape[::-1], np.int32)
-    for begin in range(0, len(listed), PLACED):
-        part = slice(begin, begin + PLACED)
-        rows = np.arange(len(listed[part]), dtype=np.int64)[:, None]
-        flat, questions = (listed[part] + (rows << 28)).ravel(), asked[part] + (rows << 28)
-        order = np.argsort(questions, axis=1)  # neighbouring questions are answered from the cache
-        ranked = np.take_along_axis(questions, order, 1).ravel()
-        left = np.searchsorted(flat, ranked)
-        counts = (np.searchsorted(flat, ranked, "right") - left).reshape(order.shape)
-        size[order.T, rows.T + begin] = counts.T
-        first[order.T, rows.T + begin] = (left.reshape(order.shape) - rows * listed.shape[1]).T
-    return first, size
+def _numbered(ids: np.ndarray) -> np.ndarray:
+    """``ids`` as numbers (steps x lanes) that ascend by lane and id, without gaps."""
+    lanes, steps = ids.shape
+    out, upto = np.empty((steps, lanes), np.int32), 0
+    for begin in range(0, lanes, PLACED):
+        part = ids[begin : begin + PLACED]
+        ranked = np.sort((part.astype(np.int64) << 32) + np.arange(steps), axis=1)
+        new = np.ones(ranked.shape, bool)
+        new[:, 1:] = np.diff(ranked >> 32, axis=1) != 0
+        at = ((ranked & 0xFFFFFFFF) * lanes + np.arange(begin, begin + len(part))[:, None]).ravel()
+        out.ravel()[at] = np.cumsum(new.ravel()) + (upto - 1)
+        upto += int(new.sum())
+    return out
 
 
 def _wide(largest: int) -> int:
@@ -221,46 +308,78 @@ def _wide(largest: int) -> int:
     return max(0, largest.bit_length() - 16)
 
 
+def _listing(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``ids`` (steps x lanes) each lane's list; at each place the first of its id (high half), and how often it is there."""
+    listed = np.sort(ids.T, axis=1)
+    new = np.ones(listed.shape, bool)
+    new[:, 1:] = listed[:, 1:] != listed[:, :-1]
+    begins = np.flatnonzero(new)
+    size = np.diff(begins, append=new.size)
+    span = (begins & (len(ids) - 1)) << 32 | size
+    return listed.ravel(), np.repeat(span.astype(U), size)
+
+
 def decode(blocks: list[bytes], steps: int, largest: int) -> np.ndarray:
     """The ids that :func:`encode` coded, ``steps`` of each block; ``largest`` is the largest of all."""
     lanes, wide = len(blocks), _wide(largest)
     coder, model = _Decoder(blocks), _Model(lanes)
-    out = np.zeros((steps, lanes), np.int32)
+    out = np.zeros((steps + 2, lanes), np.int32)  # two before the first
+    entry, key, rate = (np.empty((2, lanes), np.int32) for _ in range(3))
+    every, size_bits = np.arange(lanes), -1
+    bounds = np.zeros((5, lanes), np.int64)  # of the choices
+    bounds[4] = TOTAL
+    rows, listing = lanes * np.arange(4), None
     for t in range(steps):
         if _renewed(t):
-            model.renew(np.ascontiguousarray(out[:t].T))
-            new = np.ones((lanes, t), bool)
-            new[:, 1:] = model.list[:, 1:] != model.list[:, :-1]
-            first = np.maximum.accumulate(np.where(new, np.arange(t, dtype=np.int32), 0), axis=1)
-            ends = np.where(np.append(new[:, 1:], np.ones((lanes, 1), bool), axis=1), np.arange(1, t + 1, dtype=np.int32), t)
-            size = np.minimum.accumulate(ends[:, ::-1], axis=1)[:, ::-1] - first
-        two, one = model.predict()
-        v = coder.value(U(TOTAL_BITS))
-        choice = (v >= model.edges[1:4]).sum(axis=0)
-        coder.narrow(*model.bounds(choice), U(TOTAL_BITS))
+            size_bits = t.bit_length() - 1
+            listing = _listing(out[2 : t + 2])
+            lane_begins = every << size_bits
+        at = model.slots(out[t + 1 : t + 2].view(np.uint32), out[t : t + 1].view(np.uint32))[0]
+        model.table.take(at, out=entry, mode="clip")
+        spot = entry & 3
+        spot = spot + model.rate_base
+        model.rates.take(spot, out=rate, mode="clip")
+        model.edges(rate, (entry[0] ^ entry[1]) < 4, model.listed if listing else None, bounds[1:4])
+        np.right_shift(coder.range, _TOTAL_BITS, out=coder.unit)
+        inside = bounds.view(U) * coder.unit
+        np.subtract(coder.code, coder.low, out=coder.part)
+        beyond = (coder.part >= inside[1:4]).view(np.int8)
+        choice = beyond[0] + beyond[1]
+        choice += beyond[2]
+        spots = rows.take(choice)
+        spots += every
+        lower = inside.take(spots)
+        spots += lanes
+        coder.low += lower
+        np.subtract(inside.take(spots), lower, out=coder.range)
         free = choice == 3
-        x = np.where(choice == 0, two, one)
-        bits = np.where(free, 16, 0)
-        if model.size_bits >= 0:
-            in_list = choice == 2
-            bits = np.where(in_list, model.size_bits, bits)
-        bits = bits.astype(U)
+        bits = _BITS[max(size_bits, 0)].take(choice)
         place = coder.value(bits)
-        x = np.where(free, place, x)
-        start, width = np.where(free, place, 0), 1
-        if model.size_bits >= 0:
-            some = model.every * (1 << model.size_bits) + np.where(in_list, place, 0)
-            x = np.where(in_list, model.list.take(some), x)
-            start = np.where(in_list, first.take(some), start)
-            width = np.where(in_list, size.take(some), 1)
-        coder.narrow(start.astype(U), np.asarray(width).astype(U), bits)
+        p = place.astype(np.int32)
+        named = entry >> 2
+        x = np.where(choice == 0, named[0], named[1])
+        np.copyto(x, p, where=free)
+        width: np.ndarray | int = 1
+        if listing:
+            in_list = choice == 2
+            some = lane_begins + np.where(in_list, p, 0)
+            ids, spans = listing
+            np.copyto(x, ids.take(some), where=in_list)
+            span = spans.take(some)
+            np.copyto(place, span >> _HALF, where=in_list)
+            width = np.where(in_list, span & _LOW, U(1))
+        # the place of the orders' choices is of no bits: 0
+        coder.narrow(place, width, bits)
         coder.settle()
         if wide:
-            bits = np.where(free, wide, 0).astype(U)
+            bits = np.where(free, U(wide), U(0))
             top = coder.value(bits)
-            coder.narrow(top.astype(U), U(1), bits)
+            coder.narrow(top, U(1), bits)
             coder.settle()
-            x = np.where(free, top << 16 | x, x)
-        model.learn(x, choice)
-        out[t] = x
-    return np.ascontiguousarray(out.T)
+            x = np.where(free, top.astype(np.int32) << 16 | x, x)
+        model.learn(at, entry, x << 2, key)
+        model.rate(spot, rate, key)
+        if listing:
+            model.move_listed(choice)
+        out[t + 2] = x
+    return np.ascontiguousarray(out[2:].T)

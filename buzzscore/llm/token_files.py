@@ -21,6 +21,7 @@ import struct
 import sys
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
 from types import ModuleType
 
 import numpy as np
@@ -44,27 +45,38 @@ _NULL_ID, _ENDS = 1, 2
 
 # --- tokens --------------------------------------------------------------------
 #: Texts between blanks whose ids are kept in a worker, and the longest of these.
-KEPT, KEPT_CHARS = 400_000, 64
+KEPT, KEPT_CHARS = 800_000, 64
 #: Units that are encoded at a time.
 ENCODED = 4096
 _BEGINS, _INK = re.compile(r" \S"), re.compile(r"\S")
-#: Units the library's pre-tokenizer leaves whole: words of Latin and Cyrillic letters, stops.
-_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏЀ-ҁҊ-ԯ]+|[.,;:!?]")
-#: The characters that byte-level tokens have for the bytes that are none in print.
-_SIGNS = dict(zip([*range(33), *range(127, 161), 173], range(256, 324), strict=True))
-
-
-def _bytes_of(chars: str) -> np.ndarray:
-    out = np.zeros(256, bool)
-    out[list(chars.encode())] = True
-    return out
-
-
-_ALNUM = _bytes_of(string.ascii_letters + string.digits)
-_STOPS = _bytes_of(".,;:!?")
-# first bytes of characters other than white space; behind the last four there may be some
-_OPENS = ~_bytes_of("\t\n\v\f\r\x1c\x1d\x1e\x1f ")
-_OPENS[[0xC2, 0xE1, 0xE2, 0xE3]] = False
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏЀ-ҁҊ-ԯ"
+#: Units of Latin and Cyrillic letters, ASCII digits and signs only, and the pieces the library's pre-tokenizer makes of them.
+_PLAIN = re.compile(f" ?[!-~{_LETTERS}]+")
+_PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[!-/:-@[-`{{-~]+")
+_WORD = re.compile(f" ?[{_LETTERS}]+")
+#: The characters that byte-level tokens have for bytes; a line break stays.
+_SIGNS = np.arange(256, dtype="<u2")
+_SIGNS[[*range(33), *range(127, 161), 173]] = np.arange(256, 324)
+_SIGNS[10] = 10
+
+
+def _marks(*chars: tuple[int, bytes]) -> bytes:
+    out = np.zeros(256, np.uint8)
+    for mark, some in chars:
+        out[list(some)] |= mark
+    return out.tobytes()
+
+
+_BLANK, _LINE, _OPENS, _ALNUM, _STOP, _E2 = 1, 2, 4, 8, 16, 32
+# opens: first bytes of characters other than white space; behind the last four there may be some
+_MARKS = _marks(
+    (_BLANK, b" "),
+    (_LINE, b"\n"),
+    (_OPENS, bytes(set(range(256)) - set(b"\t\n\v\f\r\x1c\x1d\x1e\x1f \xc2\xe1\xe2\xe3"))),
+    (_ALNUM, (string.ascii_letters + string.digits).encode()),
+    (_STOP, b".,;:!?"),
+    (_E2, b"\xe2"),
+)
 
 
 def divided(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -75,26 +87,30 @@ def divided(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     joined = b"".join(data)
     if not joined:
         return [], np.zeros(0, np.int32), np.zeros(len(data) + 1, np.int64)
-    b = np.frombuffer(joined + b"   ", np.uint8)
     size = len(joined)
-    after, second, third = b[1:-2], b[2:-1], b[3:]
-    dash = (after == 0xE2) & (second == 0x80) & (third >= 0x90) & (third <= 0xA7)  # and quotes
-    opens = _OPENS[after] | dash
+    b, marks = np.frombuffer(joined + b"  ", np.uint8), np.frombuffer(joined.translate(_MARKS) + b"\0", np.uint8)
+    opens = (marks[1:] & _OPENS) != 0
+    if b"\xe2" in joined:
+        at = np.flatnonzero(marks & _E2)
+        dash = at[(b[at + 1] == 0x80) & (b[at + 2] >= 0x90) & (b[at + 2] <= 0xA7)]  # and quotes
+        opens[dash[dash > 0] - 1] = True
     full = np.flatnonzero(np.diff(bounds))
     opens[bounds[full + 1] - 1] = False  # what follows is in another text
     begins = np.zeros(size + 2, bool)
-    begins[:size] = (b[:size] == 0x20) & opens
-    line = (b[:size] == 0x0A) & opens
+    marks = marks[:-1]
+    line = ((marks & _LINE) != 0) & opens
+    begins[:size] = ((marks & _BLANK) != 0) & opens
     begins[:size] |= line
     begins[1 : size + 1] |= line
     begins[bounds[full]] = True
     begins[size:] = True
     # a stop between a word and the next unit is a unit
-    stop = _ALNUM[b[: size - 1]] & _STOPS[b[1:size]] & ~begins[1:size] & begins[2 : size + 1]
+    stop = ((marks[:-1] & _ALNUM) != 0) & ((marks[1:] & _STOP) != 0)
+    stop &= begins[2 : size + 1] & ~begins[1:size]
     begins[1:size] |= stop
     at = np.flatnonzero(begins[: size + 1])
     units = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(joined)).dictionary_encode()
-    return units.dictionary.to_pylist(), units.indices.to_numpy(), np.searchsorted(at, bounds)
+    return units.dictionary.to_numpy(zero_copy_only=False).tolist(), units.indices.to_numpy(), np.searchsorted(at, bounds)
 
 
 class Tokens:
@@ -104,8 +120,9 @@ class Tokens:
     after every line break, that a character other than white space follows,
     and between a letter or digit and a stop, whatever stands around.  So the
     ids of a text are those of its units between such places.  Units repeat:
-    most are encoded once.  Of the new ones, words go to
-    the library's model, which gets the same from its pre-tokenizer; the others
+    most are encoded once.  Of the new ones, those of letters,
+    digits and signs that are sure go to the library's model in the pieces it
+    gets from its pre-tokenizer; the others
     to the library after each other as one text, and the bytes of its ids tell
     them apart.  Texts with an added token, and other tokenizers, are encoded
     whole.
@@ -138,13 +155,7 @@ class Tokens:
     def _encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_units:
             return self._alone(texts)
-        done: dict[str, bytes] = {}
-        for t in filter(_WORD.fullmatch, texts):
-            token = "Ġ" + t[1:] if t[0] == " " else t
-            if not t.isascii():
-                token = t.encode().decode("latin-1").translate(_SIGNS)
-            found = [x.id for x in self.model.tokenize(token)]
-            done[t] = struct.pack(f"<{len(found)}I", *found)
+        done = self._modelled(list(filter(_PLAIN.fullmatch, texts)))
         if self.joins:  # a line break between texts is a token of its own
             for begins, between in (_BEGINS, ""), (_INK, "\n"):
                 some = [t for t in texts if t not in done and begins.match(t)]
@@ -154,6 +165,24 @@ class Tokens:
         done.update(zip(others, self._alone(others), strict=True))
         return list(map(done.__getitem__, texts))
 
+    def _modelled(self, texts: list[str]) -> dict[str, bytes]:
+        """The ids of plain texts by the library's model, which gets the pieces that its pre-tokenizer would make."""
+        if not texts:
+            return {}
+        pieces = {t: _PARTS.findall(t) for t in texts if not _WORD.fullmatch(t)}
+        words = dict.fromkeys(texts)
+        if pieces:
+            words = dict.fromkeys([t for t in texts if t not in pieces] + [p for some in pieces.values() for p in some])
+        words = list(words)
+        signs = _SIGNS.take(np.frombuffer("\n".join(words).encode(), np.uint8)).tobytes().decode("utf-16-le")
+        tokenize = self.model.tokenize
+        found = [[x.id for x in tokenize(token)] for token in signs.split("\n")]
+        data = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+        ends = list(accumulate([4 * len(x) for x in found], initial=0))
+        done = dict(zip(words, [data[i:j] for i, j in pairwise(ends)], strict=True))
+        done.update({t: b"".join([done[p] for p in some]) for t, some in pieces.items()})
+        return done
+
     def _together(self, texts: list[str], between: str) -> list[bytes]:
         data = self._alone([between.join(texts)])[0]
         upto = np.append(0, np.cumsum(self.sizes[np.frombuffer(data, "<u4")]))

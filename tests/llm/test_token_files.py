@@ -185,3 +185,28 @@ def test_coder_learns_both_orders_at_once():
     r = np.random.default_rng(12)
     ids = np.where(r.random((5, 600)) < 0.6, r.integers(0, 40, (5, 600)), r.integers(0, 60_000, (5, 600)))
     assert zlib.crc32(b"".join(R.encode(ids))) == 749386965
+
+
+def test_plain_units_go_to_the_model_in_pieces(monkeypatch):
+    """Words with stops and signs, and numbers, also take no run of the whole tokenizer."""
+    known, r = T.Tokens(PATH), random.Random(10)
+    signs = ["a", "Bc", "é", "ß", "Ж", "7", "42", ".", ",", "!!", "&&&", "'s", "'", "'ll", "-", "_", "[", "`", "~", "\\", "@"]
+    texts = [" " + "".join(r.choice(signs) for _ in range(r.randint(1, 12))) for _ in range(3000)]
+    whole = known._alone(texts)
+    monkeypatch.setattr(known, "tokenizer", Counted(known.tokenizer))
+    assert list(known.ids(texts)) == whole
+    assert known.tokenizer.texts == 0
+
+
+@pytest.mark.parametrize("stride", [1, 7, 1000])
+def test_strides_do_not_show(monkeypatch, stride):
+    r = np.random.default_rng(stride)
+    ids = np.where(r.random((6, 300)) < 0.5, r.integers(0, 30, (6, 300)), r.integers(0, 100_000, (6, 300)))
+    coded = R.encode(ids)
+    monkeypatch.setattr(R, "STRIDE", stride)
+    assert R.encode(ids) == coded and (R.decode(coded, 300, int(ids.max())) == ids).all()
+
+
+def test_numbers_ascend_by_lane_and_id(monkeypatch):
+    monkeypatch.setattr(R, "PLACED", 2)
+    assert R._numbered(np.array([[5, 3, 5], [7, 7, 1], [0, 9, 4]])).T.tolist() == [[1, 0, 1], [3, 3, 2], [4, 6, 5]]
