@@ -6,8 +6,8 @@ holds F x l, with l some more than the components wanted.
 
 * *Range finder*: a seeded random F x l block V; each step replaces it by
   XᵀXV, one pass over the posts.  A task multiplies its rows with V and back
-  and emits a row per term that it has; a ``groupBy`` adds them, combined
-  before the shuffle.  Every new block is made orthogonal to all before
+  and emits a row per term that it has; a ``groupBy`` adds them.  There are no
+  more tasks than cores, so the rows that move do not grow with the posts.  Every new block is made orthogonal to all before
   (block Krylov), so the basis K has (steps + 1) blocks.
 * *Tall-skinny QR*: one more pass computes XK, n x |K|, which is never stored:
   each task keeps the triangle R of its rows, and triangles are merged by QR of
@@ -21,10 +21,10 @@ tasks, but for rounding.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buzzscore.functions.pyhelpers import range_step, triangle_of_rows, triangle_of_triangles
+from buzzscore.functions.pyhelpers import PACKED, pack_rows, range_step, triangle_of_rows, triangle_of_triangles
 from buzzscore.operators.lsa import fix_signs
 from buzzscore.session import written
 
@@ -45,26 +45,46 @@ def _orthonormal(block: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return q[:, size > 1e-10 * max(1.0, size.max(initial=0.0))]
 
 
-def gram_times(vectors: DataFrame, v: np.ndarray) -> np.ndarray:
-    """XᵀXV: one pass over the posts; the driver gets F rows of l numbers."""
+#: Bytes of a row group of the packed rows: the reader holds one at a time.
+ROW_GROUP = 16 << 20
+#: Entries for each term that are worth a task: it gives out a row a term.
+ENTRIES_PER_TERM = 8
+
+
+def packed(vectors: DataFrame, n_terms: int) -> DataFrame:
+    """The rows ``term_ids, weights`` as bytes, written once, to be read in a task a core at most.
+
+    What a task gives out has F rows, however few its posts.
+    """
+    rows = vectors.select("term_ids", "weights").mapInArrow(pack_rows(), "sizes binary, ids binary, weights binary")
+    rows = written(rows, "packed", **{"parquet.block.size": ROW_GROUP})
+    worth = rows.count() * PACKED // (n_terms * ENTRIES_PER_TERM)
+    return rows.coalesce(max(1, min(worth, vectors.sparkSession.sparkContext.defaultParallelism)))
+
+
+def gram_times(rows: DataFrame, v: np.ndarray) -> np.ndarray:
+    """XᵀXV: one pass over the packed rows; the driver gets F rows of l numbers."""
     names = [f"c{i}" for i in range(v.shape[1])]
-    partial = vectors.select("term_ids", "weights").mapInPandas(range_step(v), "term_id int, " + ", ".join(f"{c} double" for c in names))
+    sent = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(v))
+    partial = rows.mapInArrow(range_step(sent), "term_id int, " + ", ".join(f"{c} double" for c in names))
     sums = partial.groupBy("term_id").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
+    sent.destroy()
     out = np.zeros(v.shape)
     out[sums["term_id"].to_numpy()] = sums[names].to_numpy()
     return out
 
 
-def triangle(vectors: DataFrame, k: np.ndarray) -> np.ndarray:
-    """R of the QR decomposition of XK: a triangle a task, merged ``FAN_IN`` at a time."""
+def triangle(rows: DataFrame, k: np.ndarray) -> np.ndarray:
+    """R of the QR decomposition of XK, X in packed rows: a triangle a task, merged ``FAN_IN`` at a time."""
     schema = "part long, r array<double>"
     width = k.shape[1]
-    level = vectors.select("term_ids", "weights").mapInPandas(triangle_of_rows(k), schema)
-    level = written(level, "triangles")
+    sent = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(k))
+    level = written(rows.mapInArrow(triangle_of_rows(sent), schema), "triangles")
+    sent.destroy()
     while level.count() > 1:
-        ranked = written(level.withColumn("rank", F.row_number().over(Window.orderBy("part"))), "triangles")  # a row a task
-        groups = ranked.withColumn("group", F.floor((F.col("rank") - 1) / FAN_IN).cast("long")).drop("rank")
-        level = written(groups.groupBy("group").applyInPandas(triangle_of_triangles(width), schema), "triangles")
+        groups = level.withColumn("group", F.floor(F.col("part") / FAN_IN).cast("long"))
+        merged = groups.groupBy("group").applyInPandas(triangle_of_triangles(width), schema)
+        level = written(merged.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("long")), "triangles")
     row = level.first()
     return np.zeros((width, width)) if row is None else np.array(row.r).reshape(width, width)
 
@@ -87,16 +107,17 @@ def components_randomized(
     block = min(n_terms, k + oversample)
     if n_terms * min(n_terms, block * (power_steps + 1)) > MAX_CELLS:
         raise ValueError(f"{n_terms} terms by {block * (power_steps + 1)} columns do not fit a task")
+    rows = packed(vectors, n_terms)
     basis = _orthonormal(np.random.default_rng(seed).standard_normal((n_terms, block)), np.zeros((n_terms, 0)))
     last = basis
     for _ in range(power_steps):
         if basis.shape[1] >= n_terms or not last.shape[1]:
             break
-        last = _orthonormal(gram_times(vectors, last), basis)[:, : n_terms - basis.shape[1]]
+        last = _orthonormal(gram_times(rows, last), basis)[:, : n_terms - basis.shape[1]]
         basis = np.hstack([basis, last])
-    _, sigma, w = np.linalg.svd(triangle(vectors, basis))
+    _, sigma, w = np.linalg.svd(triangle(rows, basis))
     v, sigma = basis @ w[:k].T, sigma[:k]
     return fix_signs(v, sigma, k)
 
 
-__all__ = ["components_randomized", "gram_times", "triangle"]
+__all__ = ["components_randomized", "gram_times", "packed", "triangle"]

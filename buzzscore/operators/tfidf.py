@@ -4,7 +4,8 @@ Per document, in the row (no shuffle): lowercase + accent fold, tokenise, then
 drop stop words, add bigrams and count each term in a small Arrow function.
 
 Fit: a task adds up its documents' terms, at most some ``HELD_TERMS`` at a time;
-one ``groupBy(term)`` over that gives document frequency and corpus count;
+one ``groupBy(term)`` over that gives document frequency and corpus count (of many
+posts only for terms that may be kept, see ``frequent_term_stats``);
 pruning and the ``max_features`` cut run on that
 table, and only the kept vocabulary (at most ``max_features`` rows) comes to
 the driver.  Transform: each row's weights come from its own term array; the
@@ -21,8 +22,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buzzscore.functions.pyhelpers import combine_terms, count_terms, weigh_terms
+from buzzscore.functions.pyhelpers import bigram_counts, combine_terms, count_terms, weigh_terms, word_and_bucket_counts
 from buzzscore.functions.text import fold_accents, spark_stop_words, tokenize
+from buzzscore.session import written
 
 # Largest vocabulary that is collected to the driver and sent to the tasks.
 MAX_BROADCAST_TERMS = 100_000
@@ -34,6 +36,10 @@ MAX_GRAM_TERMS = 2048
 HELD_TERMS = 300_000
 # Posts a partition of the terms' shuffle: their distinct terms, some hundred a post, fit a task.
 POSTS_PER_PARTITION = 20_000
+# Posts up to which all terms are counted in one pass; beyond, bigrams that may be in the vocabulary only.
+ONE_PASS_POSTS = 20_000
+# Buckets that all bigrams are counted by: 2^20, 8 bytes each in a task.
+BUCKET_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -139,6 +145,40 @@ def row_term_stats(rows: DataFrame, n_docs: int, params: TfidfParams) -> DataFra
     return dealt.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
+def frequent_term_stats(rows: DataFrame, n_docs: int, params: TfidfParams) -> DataFrame:
+    """``row_term_stats`` of all terms that may be in the vocabulary, in two passes over the rows.
+
+    Most bigrams come once or twice, and to add up all of them costs more than all else.
+    The first pass counts single words, and bigrams by buckets of a hash.  If as many words
+    as the vocabulary has places pass the document frequencies, the last of them has t
+    occurrences, and so no term of fewer gets a place; with fewer words a bigram needs
+    ``min_df`` occurrences.  A bucket holds all occurrences of its bigrams, so those of a
+    bucket of fewer are none of them in the vocabulary.  The second pass counts the others.
+    """
+    spark = rows.sparkSession
+    shuffles = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_docs // POSTS_PER_PARTITION))
+    # a task a core at most: each gives out as many buckets, however few its posts
+    tokens = rows.select("_tokens").coalesce(max(1, spark.sparkContext.defaultParallelism))
+    high, low = _count_threshold(params.max_df, n_docs), _count_threshold(params.min_df, n_docs)
+    sums = [F.sum("df").alias("df"), F.sum("cf").alias("cf")]
+
+    first = tokens.mapInArrow(word_and_bucket_counts(params.stop_words, params.bigrams, HELD_TERMS, BUCKET_BITS), "term string, bucket int, df long, cf long")
+    counts = first.repartition(shuffles, "term", "bucket").groupBy("term", "bucket").agg(*sums)
+    counts = written(counts.where(F.col("bucket").isNotNull() | F.col("df").between(low, high)), "counts")
+    words = counts.where("bucket IS NULL").select("term", "df", "cf")
+    places = words.orderBy(F.col("cf").desc()).limit(params.max_features).agg(F.count(F.lit(1)), F.min("cf")).first()
+    least = max(low, places[1]) if places[0] == params.max_features else low
+    enough = F.col("cf") >= least
+    if not params.bigrams:
+        return words.where(enough)
+    full = counts.where(F.col("bucket").isNotNull() & enough).select("bucket").toPandas()  # 2^BUCKET_BITS at most
+    wanted = np.zeros(1 << BUCKET_BITS, bool)
+    wanted[full["bucket"].to_numpy()] = True
+    second = tokens.mapInArrow(bigram_counts(params.stop_words, HELD_TERMS, BUCKET_BITS, np.packbits(wanted).tobytes()), "term string, df long, cf long")
+    bigrams = second.repartition(shuffles, "term").groupBy("term").agg(*sums)
+    return words.union(bigrams).where(enough)
+
+
 def fit_vocabulary(terms: DataFrame, n_docs: int, params: TfidfParams) -> Vocabulary:
     """Prune by document frequency, keep the ``max_features`` most frequent
     terms (ties: alphabetical), number them alphabetically, compute idf.
@@ -148,7 +188,10 @@ def fit_vocabulary(terms: DataFrame, n_docs: int, params: TfidfParams) -> Vocabu
     low = _count_threshold(params.min_df, n_docs)
     if high < low:
         raise ValueError("max_df corresponds to < documents than min_df")
-    stats = row_term_stats(terms, n_docs, params) if "_tokens" in terms.columns else term_stats(terms)
+    if "_tokens" in terms.columns:
+        stats = (row_term_stats if n_docs <= ONE_PASS_POSTS else frequent_term_stats)(terms, n_docs, params)
+    else:
+        stats = term_stats(terms)
     stats = stats.filter((F.col("df") >= low) & (F.col("df") <= high))
     top = stats.orderBy(F.col("cf").desc(), F.col("term")).limit(params.max_features)
     rows = top.collect()  # at most max_features rows

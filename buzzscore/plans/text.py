@@ -54,7 +54,7 @@ def fit_from_rows(
     vectors = row_vectors(known, vocab)
     k = n_components_for(vocab.size, strict, n_components)
     if vocab.size > MAX_GRAM_TERMS:
-        v, sig = components_randomized(written(vectors, "vectors"), vocab.size, k)
+        v, sig = components_randomized(vectors, vocab.size, k)
     else:
         gram = collect_gram(gram_matrix(vectors, vocab.size, n_docs), vocab.size)
         v, sig = components_from_gram(gram, k)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from buzzscore.operators.lsa import components_from_gram
+from buzzscore.operators import randomized_svd as R
 from buzzscore.operators.randomized_svd import components_randomized
 from buzzscore.plans import queries as Q
 from buzzscore.plans import text as T
@@ -66,3 +67,33 @@ def test_large_vocabularies_use_it(spark, monkeypatch):
     monkeypatch.setattr(T, "MAX_GRAM_TERMS", 10)
     again = T.fit_text_model(posts)
     np.testing.assert_allclose(again.singular_values, exact.singular_values, rtol=1e-6)
+
+
+def test_what_a_pass_adds_up_is_bounded_by_the_cores(spark):
+    """Posts in many partitions: a sum a core at most, and fewer if there are few entries; all rows are in."""
+    r = np.random.default_rng(3)
+    x = r.random((3000, 10)) * (r.random((3000, 10)) < 0.8)
+    x[::7] = 0
+    vectors, v = vectors_of(spark, x, 60), r.standard_normal((10, 4))
+    rows = R.packed(vectors, 10)
+    assert rows.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism < 60
+    np.testing.assert_allclose(R.gram_times(rows, v), x.T @ (x @ v))
+    t = R.triangle(rows, v)
+    np.testing.assert_allclose(t.T @ t, (x @ v).T @ (x @ v))
+    few = R.packed(vectors_of(spark, x[:40], 8), 5000)
+    assert few.rdd.getNumPartitions() == 1
+    np.testing.assert_allclose(R.triangle(few, np.eye(10)).T @ R.triangle(few, np.eye(10)), x[:40].T @ x[:40], atol=1e-12)
+
+
+def test_triangles_of_many_tasks_are_merged(spark):
+    x = np.random.default_rng(5).random((400, 6))
+    parts = vectors_of(spark, x, 40).mapInArrow(R.pack_rows(), "sizes binary, ids binary, weights binary")
+    t = R.triangle(parts, np.eye(6))
+    np.testing.assert_allclose(t.T @ t, x.T @ x)
+
+
+def test_rows_longer_than_a_pack(spark):
+    x = np.random.default_rng(4).random((7, 3000))
+    rows = R.packed(vectors_of(spark, x, 2), 3000)
+    v = np.random.default_rng(5).standard_normal((3000, 3))
+    np.testing.assert_allclose(R.gram_times(rows, v), x.T @ (x @ v))
